@@ -94,7 +94,8 @@ RULES = [
     Rule("symbols", ("q_n_words", "q_n_symbols"), lambda: 10 * F.col("q_n_symbols") > F.col("q_n_words")),
     Rule("word_length", ("q_n_words", "q_word_chars"), lambda: (F.col("q_word_chars") < 2 * F.col("q_n_words")) | (F.col("q_word_chars") > 15 * F.col("q_n_words"))),
     Rule("shouting", ("q_n_words", "q_n_shouts"), lambda: 4 * F.col("q_n_shouts") > F.col("q_n_words")),
-    Rule("repeated_lines", ("q_lines",), lambda: 100 * F.col("q_n_dup_lines") > 30 * F.col("q_n_lines")),
+    # A text of a few lines may repeat one of them and be sound.
+    Rule("repeated_lines", ("q_lines",), lambda: (F.col("q_n_dup_lines") >= 3) & (100 * F.col("q_n_dup_lines") > 30 * F.col("q_n_lines"))),
 ]
 
 
@@ -216,6 +217,6 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\
       FROM d JOIN w USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN ln USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 4 * shouts > n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 4 * shouts > n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)) AS kept
 FROM f
 """
