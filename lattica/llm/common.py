@@ -8,7 +8,7 @@ import types
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
@@ -58,69 +58,54 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 2)
 
 
+def integer_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table of numbers held by the driver, as SQL literals."""
+    values = ", ".join("(" + ", ".join(f"{v}L" if isinstance(v, int) else f"{v!r}D" for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def weighted_splits(
-    rows: DataFrame, group: str, key: str, weight: str, goals: dict, buckets: int = 1024, tolerance: float = 1e-6, rounds: int = 8
-) -> dict:
-    """For each group the largest key k such that rows with a key < k weigh about goals[group].
-
-    rows: group, key (long), weight (numeric, >= 0). Exact to one distinct key, or to ``tolerance`` of the group's weight.
-    Each round sums the weight in ``buckets`` equal ranges of what is left of each group's key range, so the driver gets
-    one row for each group and round, whatever the number of rows. Groups must be few (bounded by the caller).
-    Returns {group: k}: take rows with key < k. Ties in the key stay together.
+    rows: DataFrame, group: str, key: str, weight: str, goals: dict[int, float], buckets: int = 1024, tolerance: float = 1e-6, rounds: int = 8
+) -> dict[int, int]:
+    """For each group in goals a key k such that the group's rows with a key < k weigh as nearly goals[group] as whole keys allow.
+
+    rows: group (integer), key (long, >= 0), weight (numeric, >= 0). Exact to one distinct key, or to ``tolerance`` of the group's weight.
+    Each round sums the weights in ``buckets`` equal parts of what is left of each group's key range, so the driver gets
+    one row for each group and round, whatever the number of rows; the caller bounds the number of groups.
+    Rows with equal keys stay together.
     """
-    if not goals:
-        return {}
     spark = rows.sparkSession
-    state = {
-        r["g"]: [r["lo"], r["hi"], 0.0, float(r["w"] or 0)]
-        for r in rows.where(F.col(group).isin(list(goals))).groupBy(F.col(group).alias("g"))
-        .agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.sum(weight).alias("w")).collect()
-    }
-    total = {g: s[3] for g, s in state.items()}
-    out, open_ = {}, {}
-    for g, (lo, hi, _, w) in state.items():
-        if goals[g] <= 0:
-            out[g] = lo
-        elif goals[g] >= w:
-            out[g] = hi + 1
+    rows = rows.select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("k"), F.col(weight).cast("double").alias("w")).where("g IS NOT NULL AND k IS NOT NULL")
+    stats = {r.g: (r.lo, r.hi, r.w) for r in rows.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("w").alias("w")).collect()} if goals else {}
+    out: dict[int, int] = {}
+    left: dict[int, tuple[int, int, float]] = {}  # group: key range that holds the split, weight below it
+    for g, goal in goals.items():
+        lo, hi, w = stats.get(g, (0, 0, 0.0))
+        if goal <= 0 or goal >= w:
+            out[g] = lo if goal <= 0 else hi + 1
         else:
-            open_[g] = [lo, hi, 0.0]
+            left[g] = (lo, hi, 0.0)
     for _ in range(rounds):
-        if not open_:
+        if not left:
             break
-        table = spark.createDataFrame(
-            [(g, int(lo), int(max(1, -(-(hi - lo + 1) // buckets))), int(hi), float(goals[g] - below)) for g, (lo, hi, below) in open_.items()],
-            f"`{group}` {rows.schema[group].dataType.simpleString()}, _lo long, _width long, _hi long, _goal double",
-        )
-        inside = rows.join(F.broadcast(table), group).where(F.col(key).between(F.col("_lo"), F.col("_hi")))
-        bins = inside.groupBy(group, "_lo", "_width", "_goal", F.expr(f"cast((`{key}` - _lo) div _width as int)").alias("_b")).agg(
-            F.sum(weight).cast("double").alias("_w"), F.min(key).alias("_min"), F.max(key).alias("_max")
-        )
-        from pyspark.sql import Window
-
-        upto = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        hit = (
-            bins.withColumn("_cum", F.sum("_w").over(upto))
-            .where(F.col("_cum") >= F.col("_goal"))
-            .groupBy(group)
-            .agg(F.min_by(F.struct("_b", "_w", "_min", "_max", "_cum"), "_b").alias("_x"))
-            .collect()
-        )
-        found = {r[group]: r["_x"] for r in hit}
-        for g in list(open_):
-            lo, hi, below = open_[g]
+        parts = integer_table(spark, ["g", "lo", "hi", "width", "goal"], [(g, lo, hi, -(-(hi - lo + 1) // buckets), float(goals[g] - below)) for g, (lo, hi, below) in left.items()])
+        bins = (
+            rows.join(F.broadcast(parts), "g").where("k BETWEEN lo AND hi")
+            .groupBy("g", "goal", F.expr("(k - lo) div width AS b")).agg(F.sum("w").alias("w"), F.min("k").alias("first"), F.max("k").alias("last"))
+        )
+        upto = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        reached = bins.withColumn("upto", F.sum("w").over(upto)).where("upto >= goal").groupBy("g").agg(F.min_by(F.struct("w", "first", "last", "upto"), "b").alias("x")).collect()
+        found = {r.g: r.x for r in reached}
+        for g, (lo, hi, below) in list(left.items()):
             x = found.get(g)
-            if x is None:  # rounding of sums at the very end
+            if x is None:  # the parts' sums round to just below the goal
                 out[g] = hi + 1
-                del open_[g]
-                continue
-            before = below + x["_cum"] - x["_w"]
-            if x["_min"] == x["_max"] or x["_w"] <= tolerance * total[g]:
-                # one key, or too little to matter: take it or leave it, whichever comes nearer
-                out[g] = x["_max"] + 1 if below + x["_cum"] - goals[g] <= goals[g] - before else x["_min"]
-                del open_[g]
+            elif x["first"] == x["last"] or x["w"] <= tolerance * stats[g][2]:
+                # One key, or too little to matter: in or out, whichever comes nearer.
+                with_it = below + x["upto"]
+                out[g] = x["last"] + 1 if with_it - goals[g] <= goals[g] - (with_it - x["w"]) else x["first"]
             else:
-                open_[g] = [x["_min"], x["_max"], before]
-    for g, (lo, hi, _) in open_.items():
-        out[g] = lo
-    return out
+                left[g] = (x["first"], x["last"], below + x["upto"] - x["w"])
+                continue
+            del left[g]
+    return out | {g: lo for g, (lo, _, _) in left.items()}

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_quality
+from . import op1_quality, op2_simhash, op4_sharding, op10_mixing
 
-QUERIES = {"op1_quality": op1_quality.query}
+QUERIES = {
+    "op1_quality": op1_quality.query,
+    "op2_simhash": op2_simhash.query,
+    "op4_sharding": op4_sharding.query,
+    "op10_mixing": op10_mixing.query,
+}
 ORACLE = {"op1_quality": op1_quality.ORACLE}
