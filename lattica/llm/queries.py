@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op2_simhash, op4_sharding, op5_chat, op6_urls, op8_toxicity, op9_packing, op10_mixing
+from . import op1_quality, op2_simhash, op3_ann, op4_sharding, op5_chat, op6_urls, op8_toxicity, op9_packing, op10_mixing
 
 QUERIES = {
     "op1_quality": op1_quality.query,
     "op2_simhash": op2_simhash.query,
+    "op3_ann": op3_ann.query,
     "op4_sharding": op4_sharding.query,
     "op5_chat": op5_chat.query,
     "op6_urls": op6_urls.query,
