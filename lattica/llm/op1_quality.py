@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
 A rule names the measures it needs and says when it rejects. The cascade measures, on a sample, what a rule costs and what
-share it rejects, and orders the rules by rejection per cost. A document that one rule has rejected is not measured
-for the later ones: their inputs become null for it, so costly measures run on the survivors of cheap ones.
+share it rejects, and orders the rules by rejection per cost. :func:`filter_quality` measures for each rule what is not yet measured and
+drops what it rejects before the next one, so costly measures run on the survivors of cheap ones; :func:`judge` is the
+report on all rows, with all measures and the first rule in that order that rejects.
 
 Defined results: a null text counts as empty; an empty text has no words and fails ``few_words``; documents are judged
 row by row, so repeated rows, null ids and null columns pass through unchanged; an empty table gives an empty table. Columns of the
@@ -99,22 +100,26 @@ RULES = [
 ]
 
 
-def _measured(df: DataFrame, names: list[str], done: set[str], live: Column) -> DataFrame:
-    """df with the measures; null where live is false."""
+def _measured(df: DataFrame, names: list[str], done: set[str], apart: bool = False) -> DataFrame:
+    """df with the measures of q_text. apart: behind a generator, so that no filter above is moved below and measures anew."""
     names = [x for x in names if x not in done]
     if not names:
         return df
-    df = df.withColumn("q_t", F.when(live, F.col("q_text")))
+    before = df.columns
     if any(MEASURES[x].words for x in names):
-        df = df.withColumn("q_w", F.when(live, words_of(F.col("q_text"))))
+        df = df.withColumn("q_w", words_of(F.col("q_text")))
     for depth in range(max(len(MEASURES[x].layers) for x in names)):
         new: dict[str, Column] = {}
         for x in names:
             if depth < len(MEASURES[x].layers):
-                new |= MEASURES[x].layers[depth]("q_t", "q_w")
+                new |= MEASURES[x].layers[depth]("q_text", "q_w")
         df = df.withColumns(new)
     done.update(names)
-    return df.drop("q_t", "q_w", "q_h", "q_s", "q_p", "q_l")
+    df = df.drop("q_w", "q_h", "q_s", "q_p", "q_l")
+    if apart:
+        measured = [c for c in df.columns if c not in before]
+        df = df.select(*[F.col(f"`{c}`") for c in before], F.inline(F.array(F.struct(*measured))))
+    return df
 
 
 @dataclass(frozen=True)
@@ -143,7 +148,7 @@ def estimate(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, text:
             took, hit = [], 0
             for _ in range(2):  # the first run compiles
                 began = time.perf_counter()
-                hit = _measured(sample, list(r.needs), set(), F.lit(True)).agg(F.sum(r.rejects().cast("long"))).first()[0] or 0
+                hit = _measured(sample, list(r.needs), set()).agg(F.sum(r.rejects().cast("long"))).first()[0] or 0
                 took.append(time.perf_counter() - began)
             out.append(Estimate(r.name, min(took) / n, hit / n))
         return out
@@ -151,43 +156,38 @@ def estimate(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, text:
         sample.unpersist()
 
 
-def quality_cascade(
-    docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000, text: str = "text", measure_all: bool = False, order: list[str] | None = None
-) -> DataFrame:
-    """docs with q_rejected_by: the first rule, in the cascade's order, that rejects the row, or null if none does.
-
-    Which rows are rejected does not depend on the order; which of several rules is named does. measure_all keeps every measure for every
-    row (a report); otherwise a rejected row's later measures stay null and are not computed. order fixes the order by
-    name instead of measuring it.
-    """
-    rules = RULES if rules is None else rules
+def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, text: str = "text", order: list[str] | None = None) -> list[Rule]:
+    """The rules by falling rejection per cost; or, without measuring, as order names them."""
     if order is None:
         order = [e.name for e in sorted(estimate(docs, rules, sample_rows, text), key=lambda e: -e.rank)]
-    by_name = {r.name: r for r in rules}
-    df = docs.withColumn("q_text", F.coalesce(F.col(text), F.lit(""))).withColumn("q_rejected_by", F.lit(None).cast("string"))
-    done: set[str] = set()
-    if measure_all:
-        df = _measured(df, sorted({m for r in rules for m in r.needs}), done, F.lit(True))
-        verdict = F.lit(None).cast("string")
-        for name in reversed(order):
-            verdict = F.when(by_name[name].rejects(), F.lit(name)).otherwise(verdict)
-        return df.withColumn("q_rejected_by", verdict).drop("q_text")
-    for name in order:
-        rule = by_name[name]
-        df = _measured(df, list(rule.needs), done, F.col("q_rejected_by").isNull())
-        df = df.withColumn("q_rejected_by", F.coalesce("q_rejected_by", F.when(rule.rejects(), F.lit(name))))
-    return df.drop("q_text")
-
-
-def filter_quality(docs: DataFrame, **options) -> DataFrame:
+    return sorted(rules, key=lambda r: order.index(r.name))
+
+
+def judge(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", **options) -> DataFrame:
+    """docs with every measure and q_rejected_by: the first rule, in the cascade's order, that rejects the row, or null.
+
+    Which rows are rejected does not depend on the order; which of several rules is named does.
+    """
+    rules = ordered(docs, RULES if rules is None else rules, text=text, **options)
+    df = _measured(docs.withColumn("q_text", F.coalesce(F.col(text), F.lit(""))), sorted({m for r in rules for m in r.needs}), set())
+    verdict = F.lit(None).cast("string")
+    for r in reversed(rules):
+        verdict = F.when(r.rejects(), F.lit(r.name)).otherwise(verdict)
+    return df.withColumn("q_rejected_by", verdict).drop("q_text")
+
+
+def filter_quality(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", **options) -> DataFrame:
     """The documents that no rule rejects, with docs' own columns."""
-    return quality_cascade(docs, **options).where(F.col("q_rejected_by").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    df, done = docs.withColumn("q_text", F.coalesce(F.col(text), F.lit(""))), set()
+    for r in ordered(docs, RULES if rules is None else rules, text=text, **options):
+        df = _measured(df, list(r.needs), done, apart=True).where(~r.rejects())
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: the measures, base_failed and kept for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    judged = quality_cascade(docs, measure_all=True)
+    judged = judge(docs)
     failed = (F.col("q_n_words") < 50) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words"))
     return judged.select(
         "doc_id",
