@@ -8,7 +8,7 @@ repeated histograms (:func:`weighted_splits`); with it, a row's copies follow fr
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, the last; repeated rows
 are taken alike, so a source whose rows mostly repeat one id comes less near its target; sources of size 0 have target 0 and get no copies; an empty table gives an
-empty table. Columns of the input pass through; those of the operator start with ``mix_``.
+empty table. Columns of the input pass through; the operator's own replace columns of the same name (``OWN``).
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import WORD, materialize, unit_hash, weighted_splits
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
+#: Columns that the operator adds; input columns of these names are replaced.
+OWN = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 #: The driver holds a row for each source, and so does each executor; beyond this many, group them first.
 MAX_SOURCES = 100_000
 
@@ -51,14 +53,21 @@ def mix(
     proportion to it as far as the cap on copies allows (default: alike for all rows).
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("mix_size", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")).withColumn("mix_pref", F.lit(1.0) if preference is None else preference.cast("double"))
-    slim = materialize(sized.select(F.col(source).cast("string").alias("source"), F.col(id_col).alias("id"), "mix_size", "mix_pref"), "mix")
-    found = slim.groupBy("source").agg(F.sum("mix_size").alias("size")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"),  # apart from the operator's own names
+        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("mix_size"),
+        (F.lit(1.0) if preference is None else preference.cast("double")).alias("mix_pref"),
+        F.col(source).cast("string").alias("mix_source"),
+        F.col(id_col).alias("mix_id"),
+    )
+    own = [F.col(f"mix_row.`{c}`") for c in docs.columns if c not in OWN]
+    slim = materialize(sized.drop("mix_row"), "mix")
+    found = slim.groupBy("mix_source").agg(F.sum("mix_size").alias("size")).orderBy(F.col("mix_source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
     if not found:
-        return sized.select(*docs.columns, "mix_size", *[F.lit(None).cast(t).alias(n) for n, t in (("mix_source_size", "long"), ("mix_target", "double"), ("mix_copies", "int"))])
-    names, sizes = [r["source"] for r in found], [int(r["size"]) for r in found]
+        return sized.select(*own, "mix_size", *[F.lit(None).cast(t).alias(n) for n, t in (("mix_source_size", "long"), ("mix_target", "double"), ("mix_copies", "int"))])
+    names, sizes = [r["mix_source"] for r in found], [int(r["size"]) for r in found]
     goal = targets([float(s) for s in sizes], [weights[i % len(weights)] for i in range(len(sizes))], cap)
 
     def with_rates(rows: DataFrame, rates: list[float], cuts: list[int]) -> DataFrame:
@@ -73,7 +82,6 @@ def mix(
     q = (u / (1 - u)) / (p / (1 - p))
     key = F.when(p > 1e-12, (q / (1 + q) * float(1 << 60)).cast("long"))
 
-    slim = slim.withColumnsRenamed({"source": "mix_source", "id": "mix_id"})
     rates = [g / s if s else 0.0 for g, s in zip(goal, sizes)]
     if preference is not None:
         rates = _rates(with_rates, slim, goal, cap)
@@ -81,9 +89,9 @@ def mix(
     certain = {r["mix_no"]: int(r["n"] or 0) for r in known.groupBy("mix_no").agg(F.sum(F.col("whole") * F.col("mix_size")).alias("n")).collect()}
     lack = {i: goal[i] - certain.get(i, 0) for i in range(len(names)) if goal[i] - certain.get(i, 0) > 1e-6 * max(1.0, goal[i])}
     cut = weighted_splits(known.where("key IS NOT NULL"), "mix_no", "key", "mix_size", lack, tolerance=1e-7)
-    out = with_rates(sized.withColumn("mix_source", F.col(source).cast("string")).withColumn("mix_id", F.col(id_col)), rates, [int(cut.get(i, 0)) for i in range(len(names))])
+    out = with_rates(sized, rates, [int(cut.get(i, 0)) for i in range(len(names))])
     copies = F.when(F.col("mix_size") > 0, whole + F.coalesce((key < F.col("mix_cut")).cast("int"), F.lit(0))).otherwise(F.lit(0)).cast("int")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
+    return out.select(*own, "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
 
 
 def _rates(with_rates, slim: DataFrame, goal: list[float], cap: float) -> list[float]:
@@ -100,10 +108,11 @@ def _rates(with_rates, slim: DataFrame, goal: list[float], cap: float) -> list[f
     return rates
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """docs' own columns, each row as often as the mix takes it."""
-    took = mix(docs, **options).where("mix_copies > 0")
-    return took.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    took = mix(rows, **options).where("mix_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return took.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ report on all rows, with all measures and the first rule in that order that reje
 
 Defined results: a null text counts as empty; an empty text has no words and fails ``few_words``; documents are judged
 row by row, so repeated rows, null ids and null columns pass through unchanged; an empty table gives an empty table. Columns of the
-input are kept; the operator's own columns start with ``q_``, an input column of such a name is replaced.
+input are kept; columns that :func:`judge` adds start with ``q_`` and replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -178,10 +178,11 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text",
 
 def filter_quality(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", **options) -> DataFrame:
     """The documents that no rule rejects, with docs' own columns."""
-    df, done = docs.withColumn("q_text", F.coalesce(F.col(text), F.lit(""))), set()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row")  # apart from the measures' names
+    df, done = docs.select(whole, F.coalesce(F.col(text), F.lit("")).alias("q_text")), set()
     for r in ordered(docs, RULES if rules is None else rules, text=text, **options):
         df = _measured(df, list(r.needs), done, apart=True).where(~r.rejects())
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return df.select(*[F.col(f"q_row.`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
