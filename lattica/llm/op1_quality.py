@@ -169,7 +169,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text",
     Which rows are rejected does not depend on the order; which of several rules is named does.
     """
     rules = ordered(docs, RULES if rules is None else rules, text=text, **options)
-    df = _measured(docs.withColumn("q_text", F.coalesce(F.col(text), F.lit(""))), sorted({m for r in rules for m in r.needs}), set())
+    df = _measured(docs.withColumn("q_text", F.coalesce(F.col(text), F.lit(""))), sorted({m for r in rules for m in r.needs}), set(), apart=True)
     verdict = F.lit(None).cast("string")
     for r in reversed(rules):
         verdict = F.when(r.rejects(), F.lit(r.name)).otherwise(verdict)
