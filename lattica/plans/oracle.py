@@ -2,4 +2,228 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+#: Nodes, raw edges, merged edges and clusters of the relational graph, as common table expressions.
+NODES = """
+nodes AS (
+  SELECT r_regionkey::BIGINT AS node_seq, 'region:' || r_regionkey AS id, 'Controller' AS type, 0::BIGINT AS complexity_score, 'region' AS package, r_name AS simple_name FROM region
+  UNION ALL SELECT 10000000000000 + n_nationkey, 'nation:' || n_nationkey, 'Service', n_nationkey, 'nation', n_name FROM nation
+  UNION ALL SELECT 20000000000000 + c_custkey, 'customer:' || c_custkey, 'Entity', 0, 'customer', c_name FROM customer
+  UNION ALL SELECT 30000000000000 + s_suppkey, 'supplier:' || s_suppkey, 'Entity', 0, 'supplier', s_name FROM supplier
+  UNION ALL SELECT 40000000000000 + p_partkey, 'part:' || p_partkey, 'Entity', p_size, 'part', p_name FROM part
+  UNION ALL SELECT 50000000000000 + o_orderkey, 'orders:' || o_orderkey, 'Repository', 0, 'orders', o_orderpriority FROM orders)"""
+RAW = """
+raw0 AS (
+  SELECT 'nation' AS kind, lpad(n_nationkey::VARCHAR, 12, '0') AS seq, 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst, 'INHERITS' AS type FROM nation
+  UNION ALL SELECT 'customer', lpad(c_custkey::VARCHAR, 12, '0'), 'customer:' || c_custkey, 'nation:' || c_nationkey, 'INHERITS' FROM customer
+  UNION ALL SELECT 'supplier', lpad(s_suppkey::VARCHAR, 12, '0'), 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'INHERITS' FROM supplier
+  UNION ALL SELECT 'orders', lpad(o_orderkey::VARCHAR, 12, '0'), 'orders:' || o_orderkey, 'customer:' || o_custkey, 'CALLS' FROM orders
+  UNION ALL SELECT 'lineitem', strftime(l_shipdate, '%Y%m%d') || lpad(l_orderkey::VARCHAR, 12, '0') || lpad(l_linenumber::VARCHAR, 12, '0') || l_returnflag, 'supplier:' || l_suppkey, 'part:' || l_partkey,
+    CASE l_returnflag WHEN 'A' THEN 'IMPORTS' WHEN 'N' THEN 'CALLS' ELSE 'INHERITS' END FROM lineitem),
+raw AS (SELECT *, CASE type WHEN 'INHERITS' THEN 10.0::DOUBLE WHEN 'CALLS' THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM raw0)"""
+EDGES = RAW + """,
+by_type AS (SELECT kind, src, dst, type, sum(weight) AS w, min(seq) AS s FROM raw GROUP BY ALL),
+edges AS (SELECT kind, src, dst, arg_min(type, s) AS type, sum(w) AS weight, string_agg(type, ',' ORDER BY s) AS types FROM by_type GROUP BY kind, src, dst)"""
+CLUSTERS = """
+assigned AS (
+  SELECT 'region:' || r_regionkey AS id, r_regionkey::BIGINT AS c FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, n_regionkey FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'supplier:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'part:' || p_partkey, p_size % 5 FROM part
+  UNION ALL SELECT 'orders:' || o_orderkey, n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+CROSS = f"""{EDGES}, {CLUSTERS},
+linked AS (SELECT e.*, a.c AS cs, b.c AS cd FROM edges e JOIN assigned a ON a.id = e.src JOIN assigned b ON b.id = e.dst)"""
+REPORT = f"""{NODES}, {CROSS},
+n AS (SELECT c, count(*) AS n, sum(complexity_score)::BIGINT AS score FROM assigned JOIN nodes USING (id) GROUP BY c),
+ins AS (SELECT cs AS c, count(*) AS k FROM linked WHERE cs = cd GROUP BY cs),
+outs AS (SELECT c, sum(k) AS k FROM (SELECT cs AS c, count(*) AS k FROM linked WHERE cs <> cd GROUP BY cs UNION ALL SELECT cd, count(*) FROM linked WHERE cs <> cd GROUP BY cd) GROUP BY c),
+report AS (SELECT c, n.n, score, CASE WHEN n.n > 1 THEN coalesce(ins.k, 0) / (n.n * (n.n - 1) / 2) ELSE 0 END AS cohesion, coalesce(outs.k, 0) / n.n AS coupling
+           FROM n LEFT JOIN ins USING (c) LEFT JOIN outs USING (c))"""
+PAIRS = f"""{NODES}, {EDGES},
+ends AS (SELECT e.*, a.node_seq AS sa, b.node_seq AS sb, a.type AS ta, b.type AS tb,
+           weight * ((CASE WHEN contains(types, 'CALLS') THEN 2 ELSE 0 END) + (CASE WHEN contains(types, 'INHERITS') THEN 3 ELSE 0 END) + (CASE WHEN contains(types, 'IMPORTS') THEN 0.5 ELSE 0 END))::DOUBLE AS st
+         FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE src <> dst),
+pairs AS (SELECT CASE WHEN sa < sb THEN src ELSE dst END AS a, CASE WHEN sa < sb THEN dst ELSE src END AS b, kind, least(sum(st) / 10, 1.0)::DOUBLE AS structural,
+            max(CASE WHEN sa < sb AND ta = 'Entity' AND tb = 'Entity' AND weight > 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS gravity FROM ends GROUP BY ALL)"""
+RING = """
+ring AS (
+  SELECT 'vec:' || lpad(a.vec_id::VARCHAR, 8, '0') AS a, 'vec:' || lpad(b.vec_id::VARCHAR, 8, '0') AS b, a.label AS la, b.label AS lb, a.embedding::DOUBLE[] AS u, b.embedding::DOUBLE[] AS v
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+rp AS (SELECT a, b, u, v, CASE WHEN la = lb THEN 1.0::DOUBLE WHEN la < lb THEN 1.0::DOUBLE ELSE 0.05::DOUBLE END AS structural,
+         CASE WHEN la % 2 = 0 AND lb % 2 = 0 AND la = lb THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS gravity FROM ring)"""
+FAMILY = """
+parents AS (
+  SELECT 'nation.nation' || n_nationkey AS id, 'region' || n_regionkey AS sup, NULL AS parent FROM nation WHERE false
+  UNION ALL SELECT 'nation.nation' || n_nationkey, 'region' || n_regionkey, 'region.region' || n_regionkey FROM nation
+  UNION ALL SELECT 'customer.customer' || c_custkey, NULL, 'nation.nation' || c_nationkey FROM customer),
+chain AS (
+  SELECT id, parent AS ancestor, 1::BIGINT AS depth FROM parents
+  UNION ALL SELECT p.id, q.parent, 2 FROM parents p JOIN parents q ON q.id = p.parent)"""
+FIELDS = f"""{FAMILY},
+own AS (
+  SELECT 'region.region' || r_regionkey AS id, unnest([0, 1]) AS at, unnest(['id', 'name']) AS name, unnest(['int', 'String']) AS type FROM region
+  UNION ALL SELECT 'nation.nation' || n_nationkey, unnest([0, 1]), unnest(['name', 'code']), unnest(['String', 'int']) FROM nation
+  UNION ALL SELECT 'customer.customer' || c_custkey, unnest([0, 1]), unnest(['acctbal', 'name']), unnest(['double', 'String']) FROM customer),
+every AS (SELECT id, 0 AS depth, at, name, type FROM own UNION ALL SELECT c.id, c.depth, o.at, o.name, o.type FROM chain c JOIN own o ON o.id = c.ancestor),
+once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY depth, at) = 1),
+fields AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY depth, at) - 1 AS pos, name, type, depth > 0 AS inherited FROM once)"""
+
+ORACLE: dict[str, str] = {
+    "edge_merge": f"WITH {EDGES} SELECT src, dst, type, weight, types FROM edges WHERE kind = 'lineitem'",
+    "node_classify": """
+WITH x AS (SELECT 'part' AS of, p_partkey AS k, p_type AS mark, split_part(p_name, ' ', -1) AS name FROM part
+           UNION ALL SELECT 'event', event_id, event_type || 'Service', event_type FROM events WHERE event_id % 2 = 0)
+SELECT of, k, CASE WHEN contains(lower(mark), 'controller') THEN 'Controller' WHEN contains(lower(mark), 'service') THEN 'Service' WHEN regexp_matches(lower(mark), 'entity|table') THEN 'Entity'
+  WHEN regexp_matches(lower(mark), 'repository|dao') THEN 'Repository' WHEN regexp_matches(lower(name), 'service$') THEN 'Service' WHEN regexp_matches(lower(name), 'controller$') THEN 'Controller'
+  WHEN regexp_matches(lower(name), '(entity|model)$') THEN 'Entity' WHEN regexp_matches(lower(name), 'utils?$') THEN 'Utility' ELSE 'Unknown' END AS type,
+  CASE WHEN lower(name) IN ('entity', 'table') THEN 'Entity' WHEN k % 3 = 0 THEN 'Interface' ELSE 'Class' END AS class_type FROM x""",
+    "node_type_counts": f"WITH {NODES} SELECT type, count(*) AS n FROM nodes GROUP BY type",
+    "complexity_by_package": f"WITH {NODES} SELECT package, sum(complexity_score)::BIGINT AS complexity, count(*) AS n, max(simple_name) AS last_name FROM nodes GROUP BY package",
+    "keep_last_node": """
+WITH x AS (SELECT l_suppkey::VARCHAR AS id, l_orderkey * 100000000 + l_partkey * 100 + l_linenumber AS s, l_partkey AS part FROM lineitem)
+SELECT id, min(s) AS node_seq, arg_max(part, s) AS part FROM x GROUP BY id""",
+    "placeholder_nodes": """
+SELECT 'customer:' || c_custkey AS id, 'Entity' AS type, 'customer' AS package FROM customer
+UNION ALL SELECT 'nation:' || n_nationkey, CASE WHEN n_nationkey % 2 = 1 THEN 'Service' ELSE 'Unknown' END, CASE WHEN n_nationkey % 2 = 1 THEN 'nation' END FROM nation
+UNION ALL SELECT DISTINCT 'region:' || n_regionkey, 'Unknown', NULL FROM nation""",
+    "degree_stats": f"WITH {EDGES} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id",
+    "induced_subgraph": """
+SELECT 'node' AS kind, 'customer:' || c_custkey AS id, '' AS dst FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'node', 'nation:' || n_nationkey, '' FROM nation
+UNION ALL SELECT 'edge', 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer WHERE c_acctbal > 0""",
+    "dependents_of": "SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_nationkey = 7 UNION SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 7",
+    "dependencies_of": "SELECT DISTINCT 'part:' || l_partkey AS id FROM lineitem WHERE l_suppkey = 3",
+    "library_filter": "SELECT page_id, 'javac.' || page_id AS name, page_id::VARCHAR AS last FROM pages WHERE page_id % 3 = 2",
+    "ignored_paths": r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '^\w+://', '') AS path FROM pages)
+SELECT page_id, contains(path, 'en/') OR contains(path, 'fr/1*') AS loose, regexp_matches(path, '^(.*/)?en/.*$') OR regexp_matches(path, '^(.*/)?fr/1[^/]*$') AS strict FROM p""",
+    "boundary_edges": f"WITH {CROSS} SELECT 'service-' || cs AS from_service, 'service-' || cd AS to_service, count(*) AS edges, sum(weight) AS weight FROM linked WHERE cs <> cd GROUP BY cs, cd",
+    "cluster_report": f"""WITH {REPORT},
+kinds AS (SELECT c, type, count(*) AS k, min(node_seq) AS s FROM assigned JOIN nodes USING (id) GROUP BY c, type),
+top AS (SELECT c, type FROM kinds QUALIFY row_number() OVER (PARTITION BY c ORDER BY k DESC, s) = 1)
+SELECT c AS cluster_id, n AS class_count, round(cohesion, 6) AS internal_cohesion, round(coupling, 6) AS external_coupling, score AS complexity_score, type AS dominant_type FROM report JOIN top USING (c)""",
+    "cluster_report_stack": f"""WITH {REPORT},
+stack AS (SELECT c, (max((coalesce(type, 'Unknown') = 'Entity')::INT) + max((type = 'Controller')::INT) + max((type = 'Repository')::INT)) / 3.0 AS complete FROM assigned LEFT JOIN nodes USING (id) GROUP BY c)
+SELECT c AS cluster_id, n AS class_count, 1::BIGINT AS packages, round(greatest(cohesion, 0.5 + 0.5 * complete), 6)::DOUBLE AS internal_cohesion, round(coupling, 6) AS external_coupling FROM report JOIN stack USING (c)""",
+    "service_names": """
+WITH x AS (SELECT p_partkey, lower(split_part(p_type, '.', -1)) || '-service' AS base, lower(p_type) || '-service' AS same FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM x)
+SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS name, base = same AS by_package FROM r""",
+    "warnings": f"""WITH {REPORT}
+SELECT 'HIGH_COUPLING' AS kind, 'service-' || c AS service, round(coupling, 6)::DOUBLE AS number FROM report WHERE coupling > 5
+UNION ALL SELECT 'LOW_COHESION', 'service-' || c, round(cohesion, 6)::DOUBLE FROM report WHERE cohesion < 0.3
+UNION ALL SELECT 'MANY_BOUNDARY_CALLS', 'service-' || cs, count(*)::DOUBLE FROM linked WHERE cs <> cd GROUP BY cs HAVING count(*) > 10""",
+    "recommend_order": f"""WITH {REPORT},
+one AS (SELECT * FROM report ORDER BY coupling, c LIMIT 1),
+two AS (SELECT * FROM report WHERE c IN (SELECT cs FROM linked, one WHERE cd = one.c AND cs <> cd) ORDER BY coupling, c LIMIT 1)
+SELECT 1::INT AS step, 'Start with service-' || c AS title, round(coupling, 6)::DOUBLE AS number FROM one
+UNION ALL SELECT 2, 'Extract service-' || c || ' second', round(coupling, 6)::DOUBLE FROM two
+UNION ALL SELECT 3, 'Create shared DTOs', NULL WHERE EXISTS (SELECT 1 FROM linked WHERE cs <> cd)""",
+    "pair_priority": f"""WITH {CROSS} SELECT 'service-' || cs AS from_service, 'service-' || cd AS to_service, count(*) AS calls, min(src) AS first_class, CASE WHEN count(*) > 3 THEN 'HIGH' ELSE 'MEDIUM' END AS priority
+FROM linked WHERE cs <> cd GROUP BY cs, cd""",
+    "called_methods": "SELECT user_id::VARCHAR AS to_service, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (value > 50), '') AS methods FROM events GROUP BY user_id",
+    "package_summary": "SELECT source AS package, lang AS type, count(*) AS n FROM documents GROUP BY source, lang",
+    "package_proposal": "WITH f AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS cluster_id FROM documents GROUP BY source) SELECT doc_id::VARCHAR AS id, cluster_id FROM documents JOIN f USING (source)",
+    "proposal_assignment": """
+WITH s AS (SELECT n_nationkey AS k, n_nationkey % 3 AS c FROM nation WHERE n_nationkey < 15 UNION ALL SELECT n_nationkey, n_regionkey + 3 FROM nation WHERE n_nationkey BETWEEN 10 AND 19),
+b AS (SELECT k, max(c) AS c FROM s GROUP BY k)
+SELECT 'nation:' || k AS id, c::BIGINT AS cluster_id FROM b
+UNION ALL SELECT 'nation:' || n_nationkey, (SELECT max(c) FROM b) + row_number() OVER (ORDER BY n_nationkey) FROM nation WHERE n_nationkey NOT IN (SELECT k FROM b)""",
+    "domain_split": "SELECT CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'domain' ELSE 'excluded' END AS part, o_orderpriority AS simple_name, count(*) AS n FROM orders GROUP BY ALL",
+    "chunk_100": "SELECT (rn // 100)::BIGINT AS chunk, count(*) AS n, min(c_custkey) AS first FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS rn FROM customer) GROUP BY rn // 100",
+    "port_assignment": """
+WITH s AS (SELECT CASE WHEN s_suppkey = 1 THEN 'api-gateway' ELSE s_name END AS name FROM supplier)
+SELECT name, (row_number() OVER (ORDER BY (name <> 'api-gateway')::INT, name) - 1 + 18080)::BIGINT AS host_port FROM s""",
+    "structural_weight": f"WITH {PAIRS} SELECT a, b, round(structural, 6) AS structural FROM pairs WHERE kind = 'lineitem'",
+    "data_gravity": f"WITH {PAIRS} SELECT a, b, gravity FROM pairs WHERE kind = 'lineitem'",
+    "hybrid_weights": f"""WITH {RING}, w AS (SELECT a, b, 0.5 * structural + 0.2 * list_cosine_similarity(u, v) + 0.3 * gravity AS weight FROM rp)
+SELECT a, b, round(weight, 5)::DOUBLE AS weight FROM w WHERE weight > 0""",
+    "constraint_contract": f"""WITH {RING},
+m AS (SELECT DISTINCT a AS id, CASE WHEN a IN ('vec:00000005') THEN 'super:2' WHEN starts_with(a, 'vec:0000000') THEN 'super:0' WHEN a IN ('vec:00000020', 'vec:00000021') THEN 'super:1' ELSE a END AS s
+      FROM (SELECT a FROM ring UNION SELECT b FROM ring)),
+c AS (SELECT x.s AS a, y.s AS b, structural FROM rp JOIN m x ON x.id = rp.a JOIN m y ON y.id = rp.b WHERE x.s <> y.s)
+SELECT least(a, b) AS a, greatest(a, b) AS b, round(sum(structural), 6) AS weight FROM c GROUP BY 1, 2""",
+    "modularity": f"""WITH {PAIRS}, {CLUSTERS},
+l AS (SELECT p.structural AS w, x.c AS ca, y.c AS cb FROM pairs p JOIN assigned x ON x.id = p.a JOIN assigned y ON y.id = p.b WHERE kind IN ('customer', 'supplier', 'nation')),
+t AS (SELECT sum(w) AS m FROM l),
+d AS (SELECT c, sum(d) AS d, sum(i) AS i FROM (SELECT ca AS c, w AS d, CASE WHEN ca = cb THEN w ELSE 0 END AS i FROM l UNION ALL SELECT cb, w, 0 FROM l) GROUP BY c)
+SELECT round(sum(i / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM d, t""",
+    "wcc": """
+WITH n AS (SELECT n_nationkey, 'region:' || n_regionkey AS r FROM nation),
+m AS (SELECT n.r, min(x) AS component FROM n JOIN (SELECT r, 'nation:' || n_nationkey AS x FROM n UNION ALL SELECT r, r FROM n UNION ALL SELECT r, 'customer:' || c_custkey FROM customer JOIN n ON n_nationkey = c_nationkey) y USING (r) GROUP BY n.r)
+SELECT 'customer:' || c_custkey AS id, component FROM customer JOIN n ON n_nationkey = c_nationkey JOIN m USING (r)
+UNION ALL SELECT 'nation:' || n_nationkey, component FROM n JOIN m USING (r) UNION ALL SELECT r, component FROM m""",
+    "scc": """
+SELECT 'customer:' || c_custkey AS id, 'customer:' || c_custkey AS component FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier:' || s_suppkey FROM supplier
+UNION ALL SELECT 'region:' || r_regionkey, 'region:' || r_regionkey FROM region
+UNION ALL SELECT 'nation:' || n_nationkey, min('nation:' || n_nationkey) OVER (PARTITION BY n_regionkey) FROM nation""",
+    "is_dag": "SELECT 'references' AS graph, true AS is_dag UNION ALL SELECT 'with cycles', false",
+    "graph_statistics": """
+SELECT ((SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region))::BIGINT AS node_count, ((SELECT count(*) FROM customer) + (SELECT count(*) FROM nation))::BIGINT AS edge_count, true AS is_dag,
+  ((SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region))::BIGINT AS strongly_connected_components, (SELECT count(*) FROM region) AS weakly_connected_components, 3::INT AS n_types""",
+    "cosine_pairs": """
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""",
+    "top_k_similar": """
+WITH m AS (SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank, id, round(s, 4) AS similarity FROM m QUALIFY rank <= 10""",
+    "embed_texts": "SELECT doc_id::VARCHAR AS id, md5(text) AS file_hash, CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 384 END::BIGINT AS dimensions FROM documents",
+    "resolve_superclass": f"WITH {FAMILY} SELECT id, parent FROM parents",
+    "inherited_closure": f"WITH {FAMILY} SELECT id, ancestor, depth FROM chain",
+    "inherited_fields": f"WITH {FIELDS} SELECT id, pos, name, type, inherited FROM fields",
+    "entity_specs": f"""WITH {FIELDS}
+SELECT id, split_part(id, '.', 2) AS name, string_agg(name || ':' || type || ':' || CASE WHEN name = 'id' THEN '@Id+@GeneratedValue(strategy = GenerationType.IDENTITY)' ELSE '' END, ',' ORDER BY pos) AS fields,
+  coalesce(max(CASE WHEN name = 'id' THEN 'Integer' END), 'Long') AS id_type FROM fields WHERE starts_with(id, 'customer.') GROUP BY id""",
+    "external_superclass": rf"WITH {FAMILY} SELECT id, parent FROM parents WHERE regexp_extract(id, '(\d+)$', 1)::BIGINT % 3 <> regexp_extract(parent, '(\d+)$', 1)::BIGINT % 3",
+    "changed_docs": """
+SELECT doc_id::VARCHAR AS file_path, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 2 = 0 THEN 'unchanged' ELSE 'changed' END AS state FROM documents
+UNION ALL SELECT 'page' || page_id, 'deleted' FROM pages""",
+    "upsert_docs": "SELECT doc_id::VARCHAR AS file_path, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE 'old' END AS content_hash FROM documents WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0) AND doc_id % 10 <> 4",
+    "llm_cost_ledger": """
+WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN (length(text) // 4) * (60.0::DOUBLE / 1000000) ELSE (length(text) // 4) * (5.0::DOUBLE / 1000000) END AS cost FROM conversations),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM c)
+SELECT conv_id AS budget, turn AS seq, round(cost, 8) AS cost, round(total, 8) AS total, total <= 0.02 AS accepted FROM s""",
+    "llm_greedy_ledger": """
+WITH RECURSIVE c AS (SELECT conv_id, turn, (length(text) // 4)::DOUBLE AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, turn, i, cost <= 300 AS accepted, CASE WHEN cost <= 300 THEN cost ELSE 0 END AS total FROM c WHERE i = 1
+      UNION ALL SELECT c.conv_id, c.turn, c.i, f.total + c.cost <= 300, CASE WHEN f.total + c.cost <= 300 THEN f.total + c.cost ELSE f.total END FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1)
+SELECT conv_id AS budget, turn AS seq, accepted, total::DOUBLE AS total FROM f""",
+    "llm_cost_report": """
+WITH x AS (SELECT sum(length(text) // 4)::BIGINT AS t FROM conversations)
+SELECT t AS total_tokens, round(t * (5.0::DOUBLE / 1000000), 4) AS total_cost, 5.0::DOUBLE AS cost_limit, round(greatest(0, 5 - t * (5.0::DOUBLE / 1000000)), 4) AS remaining FROM x""",
+    "table_name_snake": r"""
+WITH x AS (SELECT *, replace(array_to_string(list_transform(string_split(p_type, ' '), w -> upper(w[1]) || lower(w[2:])), '') || 'Kind' || regexp_extract(p_brand, '(\d+)', 1), ' ', '') AS camel FROM part)
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 't' || p_size ELSE lower(camel[1] || regexp_replace(camel[2:], '([A-Z])', '_\1', 'g')) || 's' END AS table_name,
+  CASE WHEN p_size > 25 THEN 'org.x' ELSE 'com.example.' || replace(lower(p_brand), '-', '') END AS package, CASE WHEN length(p_name) > 12 THEN p_name[1:9] || '...' ELSE p_name END AS short FROM x""",
+    "extract_links": """
+SELECT page_id, (i - 1)::BIGINT AS pos, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages))""",
+    "extract_relations": "SELECT p_partkey AS id, 'OneToMany' AS relation, 'P' || p_size AS target, 'many' AS field FROM part UNION ALL SELECT p_partkey, 'ManyToOne', 'Q' || p_partkey, 'one' FROM part",
+    "extract_json_props": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -1 ELSE (props->>'k')::BIGINT END AS k FROM events",
+    "tool_calls": "SELECT event_id AS id, unnest([0, 1])::BIGINT AS pos, event_type AS name FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0",
+    "compile_errors": "SELECT o_orderkey AS id, '/src/A' || o_orderkey || '.java' AS file_path, o_custkey % 90 + 1 AS line, 5::BIGINT AS col, 'cannot find symbol' AS message FROM orders",
+    "fenced_code": "SELECT n_nationkey, 'key: ' || n_name AS body FROM nation",
+    "token_budget": """
+SELECT doc_id, (length(text) // 4)::BIGINT AS tokens, length(text) // 4 <= floor((8192 - 4000) * 0.9) AS fits, round_even((length(text) // 4)::DOUBLE / (8192 - 4000) * 100, 1) AS utilization FROM documents""",
+    "openapi_type_map": """
+SELECT p_partkey, ['integer', 'integer', 'array', 'number', 'integer', 'object', 'boolean'][p_size % 7 + 1] AS api_type, ['Long', 'Integer', 'List<Pet>', 'BigDecimal', 'Point', 'Pet', 'Boolean'][p_size % 7 + 1] AS boxed FROM part""",
+    "compose_failure_class": """
+SELECT event_id, ['compose_syntax', 'compose_semantic', 'service_build', 'environment_conflict', 'runtime_health', 'unknown', 'unknown'][event_id % 7 + 1] AS failure, event_id % 7 = 5 AS done,
+  event_type IN ('healthy', 'approved', 'completed', 'docker_built') AS finished FROM events""",
+    "boot_version": "SELECT n_nationkey, CASE WHEN n_nationkey >= 20 THEN '3.2.0' ELSE ['3.2.0', '3.1.5', '3.2.0', '3.2.0', '2.7'][n_nationkey % 5 + 1] END AS version FROM nation",
+    "class_text": """
+SELECT p_partkey, 'CLASS: ' || p_name || chr(10) || 'TYPE: ' || CASE WHEN p_size % 5 = 0 THEN 'Interface' WHEN p_size % 5 = 1 THEN 'Abstract' ELSE 'Class' END || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'ANNOTATIONS: @Entity, @' || p_brand ELSE '' END
+  || chr(10) || 'METHODS:' || chr(10) || '  - get' || p_type || '(long key) -> ' || CASE WHEN p_size > 20 THEN 'int' ELSE 'void' END || chr(10) || 'FIELDS:' || chr(10) || '  - int size' AS text,
+  p_name || CASE WHEN p_size % 2 = 0 THEN ' | [@Entity, @' || p_brand || ']' ELSE '' END || ' | methods: get' || p_type AS summary FROM part""",
+    "service_ports": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey + 9000 ELSE 8080 END AS port FROM supplier",
+    "host_ports": "SELECT DISTINCT s_suppkey AS port FROM supplier WHERE s_suppkey % 3 <> 1",
+    "invalid_services": """
+WITH s AS (SELECT 's' || n_nationkey AS name, 's' || n_regionkey AS dep FROM nation WHERE n_nationkey % 4 > 0)
+SELECT 'missing' AS problem, 's' || n_nationkey AS name FROM nation WHERE n_nationkey < 10 AND n_nationkey % 4 = 0
+UNION ALL SELECT DISTINCT 'undefined_dependency', dep FROM s WHERE dep NOT IN (SELECT name FROM s)""",
+    "compose_health": """
+WITH e AS (SELECT 'u' || user_id % 50 AS name, bool_and(value < 99) AS h FROM events GROUP BY 1)
+SELECT 'u' || n_nationkey * 3 AS name, coalesce(h, false) AS healthy FROM nation LEFT JOIN e ON e.name = 'u' || n_nationkey * 3""",
+    "success_summary": "SELECT count(*) FILTER (quality = 1) AS succeeded, count(*) AS total FROM labels",
+    "endpoint_paths": """
+WITH m AS (SELECT p_partkey, '/api/' || lower(p_brand) || '/x' AS path, ['get', 'post', NULL][p_size % 3 + 1] AS verb FROM part)
+SELECT path, arg_max(verb, p_partkey) AS verbs, 'm' || max(p_partkey) AS names FROM m WHERE verb IS NOT NULL GROUP BY path""",
+}
