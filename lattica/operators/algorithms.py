@@ -346,7 +346,7 @@ def girvan_newman(nodes: DataFrame, wedges: DataFrame, most_edges: int = 20_000)
         parts = betweenness_split(sorted(set(pdf.a) | set(pdf.b)), list(zip(pdf.a, pdf.b)))
         return pd.DataFrame([(v, min(p)) for p in parts for v in p], columns=["id", "leader"])
 
-    return number_clusters(nodes, whole.groupBy(F.lit(1)).applyInPandas(solve, f"id {kind}, leader {kind}"))
+    return number_clusters(nodes, whole.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(solve, f"id {kind}, leader {kind}"))
 
 
 def detect_communities(nodes: DataFrame, wedges: DataFrame, algorithm: str = "louvain", resolution: float | None = None, constraints: list[list[str]] | None = None) -> DataFrame:

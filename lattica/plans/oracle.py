@@ -61,12 +61,12 @@ chain AS (
   UNION ALL SELECT p.id, q.parent, 2 FROM parents p JOIN parents q ON q.id = p.parent)"""
 FIELDS = f"""{FAMILY},
 own AS (
-  SELECT 'region.region' || r_regionkey AS id, unnest([0, 1]) AS at, unnest(['id', 'name']) AS name, unnest(['int', 'String']) AS type FROM region
+  SELECT 'region.region' || r_regionkey AS id, unnest([0, 1]) AS k, unnest(['id', 'name']) AS name, unnest(['int', 'String']) AS type FROM region
   UNION ALL SELECT 'nation.nation' || n_nationkey, unnest([0, 1]), unnest(['name', 'code']), unnest(['String', 'int']) FROM nation
   UNION ALL SELECT 'customer.customer' || c_custkey, unnest([0, 1]), unnest(['acctbal', 'name']), unnest(['double', 'String']) FROM customer),
-every AS (SELECT id, 0 AS depth, at, name, type FROM own UNION ALL SELECT c.id, c.depth, o.at, o.name, o.type FROM chain c JOIN own o ON o.id = c.ancestor),
-once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY depth, at) = 1),
-fields AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY depth, at) - 1 AS pos, name, type, depth > 0 AS inherited FROM once)"""
+allf AS (SELECT id, 0 AS depth, k, name, type FROM own UNION ALL SELECT c.id, c.depth, o.k, o.name, o.type FROM chain c JOIN own o ON o.id = c.ancestor),
+once AS (SELECT * FROM allf QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY depth, k) = 1),
+fields AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY depth, k) - 1 AS pos, name, type, depth > 0 AS inherited FROM once)"""
 
 ORACLE: dict[str, str] = {
     "edge_merge": f"WITH {EDGES} SELECT src, dst, type, weight, types FROM edges WHERE kind = 'lineitem'",
@@ -191,7 +191,7 @@ SELECT conv_id AS budget, turn AS seq, accepted, total::DOUBLE AS total FROM f""
 WITH x AS (SELECT sum(length(text) // 4)::BIGINT AS t FROM conversations)
 SELECT t AS total_tokens, round(t * (5.0::DOUBLE / 1000000), 4) AS total_cost, 5.0::DOUBLE AS cost_limit, round(greatest(0, 5 - t * (5.0::DOUBLE / 1000000)), 4) AS remaining FROM x""",
     "table_name_snake": r"""
-WITH x AS (SELECT *, replace(array_to_string(list_transform(string_split(p_type, ' '), w -> upper(w[1]) || lower(w[2:])), '') || 'Kind' || regexp_extract(p_brand, '(\d+)', 1), ' ', '') AS camel FROM part)
+WITH x AS (SELECT *, replace(array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || 'Kind' || regexp_extract(p_brand, '(\d+)', 1), ' ', '') AS camel FROM part)
 SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 't' || p_size ELSE lower(camel[1] || regexp_replace(camel[2:], '([A-Z])', '_\1', 'g')) || 's' END AS table_name,
   CASE WHEN p_size > 25 THEN 'org.x' ELSE 'com.example.' || replace(lower(p_brand), '-', '') END AS package, CASE WHEN length(p_name) > 12 THEN p_name[1:9] || '...' ELSE p_name END AS short FROM x""",
     "extract_links": """
