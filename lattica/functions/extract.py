@@ -89,7 +89,7 @@ def fixed_files(replies: DataFrame, id_col: str = "id", text: str = "content") -
     pattern = r"(?s)### FIXED:\s*(\S+)\s*```\w*\s*(.*?)```"
     t = F.coalesce(F.col(text), F.lit(""))
     zipped = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("file"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("body"))
-    return replies.select(F.col(id_col).alias("id"), F.posexplode(zipped).alias("pos", "x")).select("id", "pos", "x.file", F.trim("x.body").alias("body"))
+    return replies.select(F.col(id_col).alias("id"), F.posexplode(zipped).alias("pos", "x")).select("id", "pos", "x.file", F.regexp_replace("x.body", r"^\s+|\s+$", "").alias("body"))
 
 
 def json_or(text: Column, schema: str, default: Column) -> Column:
