@@ -24,6 +24,33 @@ def worker_cache() -> dict:
     return module.__dict__.setdefault("items_by_name", {})
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers stay for the next task, and so would what their allocators keep."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run):
+    """A function for mapInArrow that tidies up when its partition ends."""
+
+    def then_tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return then_tidy
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or in local mode a temporary folder if unset."""
     sc = spark.sparkContext
@@ -43,7 +70,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Texts have no bounded length: few of them at a time go to Python workers.
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(before), 1024) if int(before) > 0 else 1024))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

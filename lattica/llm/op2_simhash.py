@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidied
 from .components import components
 
 SEED = 42
@@ -53,7 +53,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text
             fps = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    return slim.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def links(nodes: DataFrame) -> DataFrame:

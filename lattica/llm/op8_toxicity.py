@@ -25,7 +25,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidied
 
 #: Labelled documents that training takes at most.
 MAX_TOXIC, MAX_ORDINARY = 3000, 9000
@@ -93,7 +93,7 @@ class Gains:
     def gain(self, window: bytes) -> int:
         g = self.seen.get(window)
         if g is None:
-            if len(self.seen) > 400_000:
+            if len(self.seen) > 120_000:
                 self.seen.clear()
             framed = b" " + window + b" " + TAIL
             ordinary, toxic = self.compress
@@ -146,7 +146,7 @@ def _map_features(rows: DataFrame, id_col: str, contents: tuple[bytes, bytes], c
             yield pa.RecordBatch.from_arrays([b.column(0), out], ["id", "out"])
 
     kind = "array<double>" if curve is None else "double"
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col("text")).mapInArrow(run, f"id long, out {kind}")
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col("text")).mapInArrow(tidied(run), f"id long, out {kind}")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -179,7 +179,7 @@ class Model:
                 p = 1 / (1 + np.exp(-np.clip(_terms(x, curve[0], curve[1]) @ curve[2], -30, 30)))
                 yield b.filter(pa.array(p < threshold))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
