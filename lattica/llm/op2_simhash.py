@@ -85,12 +85,103 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
     Rows with a null id stay, since nothing tells them apart.
     """
-    found = cluster(docs, id_col, text, shingle)
-    keep = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep.where(F.col("_keep").isNotNull()), F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    return _keep_first(docs, cluster(docs, id_col, text, shingle), id_col)
+
+
+def _keep_first(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+# --- near duplicates by similarity -----------------------------------------------------------------------------------
+#
+# At a five-word Jaccard similarity of 0.8, 64-bit fingerprints of shingles differ in about ten bits, too many to enumerate. The words of such
+# texts differ far less: 128-bit fingerprints of distinct words serve for lookup, in four segments of 32 bits, and 256-bit fingerprints of five-word
+# shingles for the complete distance.
+
+SEGMENTS = 4
+SHINGLE_BITS = 256
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+
+
+def _majority(h: np.ndarray, lanes: int) -> np.ndarray:
+    """Counts, for each of lanes * 64 bits, how many hashes set it, times two less their number. Further lanes are mixed from the hashes."""
+    out = []
+    for mix in MIX[:lanes]:
+        x = (h ^ (h >> np.uint64(29)) ^ mix) * (mix | np.uint64(1))
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        out.append(2 * np.unpackbits(x.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64) - len(h))
+    return np.concatenate(out)
+
+
+def sketches(text: str | None, shingle: int = 5) -> tuple[bytes, bytes]:
+    """(128 bits of the distinct words, 256 bits of the shingles)."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(16), bytes(SHINGLE_BITS // 8)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    single = np.fromiter((digest(w, SEED) for w in set(words)), np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    counts = np.zeros(SHINGLE_BITS, np.int64)
+    for at in range(0, n, BLOCK):
+        counts += _majority(np.fromiter((digest(join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + BLOCK))), np.uint64), SHINGLE_BITS // 64)
+    pack = lambda c: np.packbits((c > 0).astype(np.uint8), bitorder="little").tobytes()
+    return pack(_majority(single, 2)), pack(counts)
+
+
+def farthest(similarity: float, bits: int = SHINGLE_BITS) -> int:
+    """The distance of shingle sketches up to which texts count as that similar: what is expected, and a standard deviation."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): documents linked by shingle sketches as near as ``similarity`` lets expect.
+
+    Distinct sketches write the balls of radius 1 within each segment of their word sketch to the lookup table, so sketches whose segment differs by two bits or fewer meet.
+    At a key each is compared to the smallest and to the one before it, so links grow with documents, not with pairs; true neighbours meet at several keys.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            found = [sketches(x.as_py(), shingle) for x in b.column(1)]
+            words = np.frombuffer(b"".join(w for w, _ in found), "<i8").reshape(-1, 2)
+            shingles = np.frombuffer(b"".join(s for _, s in found), "<i8").reshape(-1, 4)
+            columns = [pa.array(np.ascontiguousarray(x[:, k]), pa.int64()) for x in (words, shingles) for k in range(x.shape[1])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *WORD_COLUMNS, *SHINGLE_COLUMNS])
+
+    names = [*WORD_COLUMNS, *SHINGLE_COLUMNS]
+    rows = materialize(slim.mapInArrow(tidied(run), "doc_id long, " + ", ".join(f"{c} long" for c in names)), "sketches")
+    nodes = materialize(rows.where(F.col("doc_id").isNotNull()).groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
+    low = F.lit((1 << 32) - 1)
+    segments = [f(F.col(c)) for c in WORD_COLUMNS for f in (lambda x: x.bitwiseAND(low), lambda x: F.shiftrightunsigned(x, 32))]
+    table = nodes.select("node", F.posexplode(F.array(*segments)).alias("segment", "value"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
+    table = table.select("node", "segment", "value", F.explode(flips).alias("flip")).select("node", (F.shiftleft(F.col("segment").cast("long"), 32) + F.col("value").bitwiseXOR(F.col("flip"))).alias("key"))
+    order = Window.partitionBy("key").orderBy("node")
+    met = table.select("node", F.first("node").over(order).alias("first"), F.lag("node").over(order).alias("before"))
+    pairs = met.select("node", F.explode(F.array("first", "before")).alias("other")).where("other < node").distinct()
+    sketch = lambda side: nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in SHINGLE_COLUMNS])
+    far = sum((F.bit_count(F.col(f"node_{c}").bitwiseXOR(F.col(f"other_{c}"))) for c in SHINGLE_COLUMNS), F.lit(0))
+    near = pairs.join(sketch("node"), "node").join(sketch("other"), "other").where(far <= farthest(similarity)).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    named = nodes.join(components(near), "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    named = materialize(named, "named")
+    return rows.join(named, names, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+WORD_COLUMNS = ("w0", "w1")
+SHINGLE_COLUMNS = ("s0", "s1", "s2", "s3")
+
+
+def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of :func:`similar_groups`, as :func:`dedup` keeps it."""
+    return _keep_first(docs, similar_groups(docs, id_col, text, shingle, similarity), id_col)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -11,7 +11,7 @@ def test_stages_keep_their_contract(spark, sf_dir):
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert ids[1] == {r.doc_id for r in op1_quality.judge(docs).where("q_rejected_by IS NULL").collect()}
     assert ids[2] < ids[1]
-    found = op2_simhash.cluster(seen[2]).collect()
+    found = op2_simhash.similar_groups(seen[2]).collect()
     assert ids[3] == {r.component_id for r in found} and seen[3].count() == len(ids[3])
     assert ids[4] <= ids[3]
     packed = cp.packing(spark, seen[4], sf_dir)

@@ -72,3 +72,33 @@ def test_components_of_paths_stars_and_loops(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(200, 260)}, 1: 1, 2: 1}
+
+
+def test_similar_groups_find_near_copies_and_leave_others(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    originals = [rng.choices(vocabulary, k=rng.randrange(60, 400)) for _ in range(60)]
+    texts, of = [], []
+    for k, words in enumerate(originals):
+        texts.append(words)
+        of.append(k)
+        for _ in range(3):  # about one word in sixty changed: a similarity of 0.85 or so
+            texts.append([rng.choice(vocabulary) if rng.random() < 1 / 60 else w for w in words])
+            of.append(k)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t), i) for i, t in enumerate(texts)], "doc_id long, text string, node int")
+    got = {r.doc_id: r.component_id for r in s.similar_groups(docs).collect()}
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 100 and sum(got[i] == got[j] for i, j in alike) >= 0.97 * len(alike)
+    assert all(of[i] == of[c] for i, c in got.items())
+    assert s.dedup_similar(docs).columns == docs.columns
+
+
+def test_similar_groups_on_hard_rows(spark):
+    long = " ".join(f"w{i % 9973}" for i in range(60_000)) + " "
+    rows = [(4, None, 1), (2, "", 2), (9, "one", 3), (8, "ONE", 3), (8, "ONE", 3), (None, "one", 4), (6, long, 5), (7, long + "more", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    got = sorted((r.doc_id, r.component_id) for r in s.similar_groups(docs).collect() if r.doc_id is not None)
+    assert got == [(2, 2), (4, 2), (6, 6), (7, 6), (8, 8), (8, 8), (9, 8)]
+    assert sorted(r.doc_id for r in s.dedup_similar(docs).collect() if r.doc_id is not None) == [2, 6, 8]
+    assert s.similar_groups(docs.limit(0)).count() == 0
