@@ -226,4 +226,32 @@ SELECT 'u' || n_nationkey * 3 AS name, coalesce(h, false) AS healthy FROM nation
     "endpoint_paths": """
 WITH m AS (SELECT p_partkey, '/api/' || lower(p_brand) || '/x' AS path, ['get', 'post', NULL][p_size % 3 + 1] AS verb FROM part)
 SELECT path, arg_max(verb, p_partkey) AS verbs, 'm' || max(p_partkey) AS names FROM m WHERE verb IS NOT NULL GROUP BY path""",
+    "openapi_operations": """
+SELECT p_partkey AS id, '/x/' || p_size AS path, 'get' AS http_method, '{"operationId":"op","parameters":' ||
+  CASE WHEN p_size > 25 THEN '[{"name":"id","in":"path","required":true,"schema":{"type":"integer"}},{"name":"q","in":"query","required":true,"schema":{"type":"string"}}],"requestBody":{"required":true,"content":{"application/json":{"schema":{"$ref":"#/components/schemas/Owner"}}}}' ELSE '[]' END ||
+  ',"responses":{"200":{"description":"OK","content":{"application/json":{"schema":' || ['{}', '{"type":"array","items":{"$ref":"#/components/schemas/Pet"}}', '{"$ref":"#/components/schemas/Pet"}'][p_size % 3 + 1] || '}}}}}' AS operation FROM part""",
+    "entity_schemas": """SELECT 'customer' || c_custkey AS name, '{"type":"object","properties":{"acctbal":{"type":"number"}}}' AS schema FROM customer""",
+    "component_specs": "SELECT n_regionkey::BIGINT AS cluster_id, count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",
+    "shared_users": "SELECT DISTINCT (n_nationkey % 3)::BIGINT AS cluster_id FROM nation",
+    "missing_components": """
+SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'Controller' ELSE 'Entity' END AS kind, n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN 'missing' ELSE 'empty body' END AS problem
+FROM nation WHERE n_nationkey % 4 = 0 OR (n_nationkey % 2 = 0 AND n_nationkey % 5 = 0)""",
+    "source_blocks": "SELECT n_regionkey AS service, string_agg('### ' || n_name || '.yml' || chr(10) || '```yaml' || chr(10) || n_name || chr(10) || '```', chr(10) || chr(10) ORDER BY n_name) AS content FROM nation GROUP BY n_regionkey",
+    "service_states": "SELECT user_id AS service, ['pending', 'compiled', 'docker_built'][max(event_id % 4) FILTER (event_id % 4 < 3) + 1] AS state, count(*) FILTER (event_id % 4 < 3) AS iterations FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 4 < 3) > 0",
+    "service_calls": f"WITH {CROSS} SELECT 'service-' || cd AS to_service, count(*) AS n FROM linked WHERE cs <> cd AND (src IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_nationkey = 3) OR starts_with(src, 'supplier:')) GROUP BY cd",
+    "sequence_diagrams": """
+WITH p AS (SELECT r_regionkey AS r, 'Client' AS short, 'actor' AS kind FROM region UNION ALL SELECT r_regionkey, r_name, 'participant' FROM region UNION ALL SELECT n_regionkey, n_name, 'participant' FROM nation)
+SELECT r::BIGINT AS cluster_id, lower(r_name) AS name, '@startuml' || chr(10) || 'title ' || lower(r_name) || ' API Flow' || chr(10) || chr(10) || string_agg(kind || ' "' || short || '"', chr(10) ORDER BY short, kind)
+  || chr(10) || chr(10) || 'Client -> region:' || r || ': API Request' || chr(10) || '@enduml' AS diagram FROM p JOIN region ON r = r_regionkey GROUP BY r, r_name""",
+    "compose_file": """
+WITH s AS (SELECT CASE WHEN r_regionkey = 2 THEN 'api-gateway' ELSE lower(r_name) END AS name, r_regionkey + 8080 AS port FROM region)
+SELECT name, (row_number() OVER (ORDER BY (name <> 'api-gateway')::INT, name) - 1 + 18080)::BIGINT AS host_port,
+  (2 * length(name) + length('  :' || chr(10) || '    image: :latest' || chr(10) || '    ports:' || chr(10) || '      - "18080:8080"' || chr(10) || '    environment:' || chr(10) || '      - SERVER_PORT=8080' || chr(10) || '    healthcheck:' || chr(10)
+   || '      test: ["CMD-SHELL", "wget --spider -q http://localhost:8080/actuator/health || exit 1"]')
+   + CASE WHEN name = 'api-gateway' THEN length(chr(10) || '    depends_on:') + (SELECT sum(length(chr(10) || '      ' || name || ':' || chr(10) || '        condition: service_started')) FROM s WHERE name <> 'api-gateway') ELSE 0 END)::BIGINT AS chars FROM s""",
+    "gateway_routes": "SELECT lower(r_name) AS name, '/api/' || lower(r_name) || '/**' AS route FROM region",
+    "render_tables": f"""WITH {NODES}, {EDGES}
+SELECT 'node' AS of, id, CASE WHEN length(simple_name) > 20 THEN simple_name[1:17] || '...' ELSE simple_name END AS label, (2 * complexity_score + 10)::DOUBLE AS x FROM nodes
+UNION ALL SELECT 'edge', src, dst, least(weight / 2, 5.0)::DOUBLE FROM edges WHERE kind IN ('customer', 'orders')""",
+    "plan_rows": "SELECT n_regionkey::BIGINT AS id, count(*) + 1 AS n, round(count(*) / ((count(*) + 1) * count(*) / 2), 3)::DOUBLE AS cohesion, 0.0::DOUBLE AS coupling, 'region:' || n_regionkey AS entry_points FROM nation GROUP BY n_regionkey",
 }

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, extract
+from ..graph import CodeGraph
 from ..operators import algorithms, clusters, hierarchy, ledger, merge, vectors, weights
 from ..sources import incremental
 from ..sources.relational import Tables, assignment, nodes, raw_edges
+from . import openapi, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -582,3 +584,103 @@ def endpoint_paths(t):
     rows = t.part.select(F.col("p_partkey").alias("id"), extract.base_path(F.concat(F.lit('@RequestMapping("'), base, F.lit('")'))).alias("base"), F.array(method).alias("methods"))
     paths = extract.openapi_paths(extract.endpoints(rows), t.part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seq")))
     return paths.select("path", F.array_join(F.map_keys("operations"), ",").alias("verbs"), F.array_join(F.map_values("operations"), ",").alias("names"))
+
+
+# --- documents ---------------------------------------------------------------------------------------------------
+
+
+@query
+def openapi_operations(t):
+    """Operations of parts as controllers."""
+    p = lambda kind, name, mark: F.struct(F.lit(kind).alias("type"), F.lit(name).alias("name"), F.array(F.lit(mark)).alias("annotations"))
+    returns = F.element_at(F.array(F.lit("void"), F.lit("List<org.Pet>"), F.lit("org.Pet")), (F.col("p_size") % 3 + 1).cast("int"))
+    points = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("/x/"), F.col("p_size").cast("string")).alias("path"), F.lit("get").alias("http_method"), F.lit("op").alias("name"), returns.alias("returns"), F.when(F.col("p_size") > 25, F.array(p("Long", "id", "PathVariable"), p("String", "q", "RequestParam"), p("org.Owner<X>", "o", "RequestBody"))).otherwise(F.array(p("int", "n", "Other"))).alias("parameters"))
+    return openapi.operations(points)
+
+
+@query
+def entity_schemas(t):
+    """customers' fields without the relation."""
+    c = _family(t).where("package = 'customer'").withColumn("type", F.lit("Entity")).withColumn("jpa_relationships", F.array(F.struct(F.lit("X").alias("target_class"), F.lit("ManyToOne").alias("relationship_type"), F.lit("name").alias("field_name"))))
+    return openapi.schema_rows(c)
+
+
+@query
+def component_specs(t):
+    """H3: nations as services, by region."""
+    c = nodes(t, "nation").withColumn("methods", F.array(F.struct(F.lower("simple_name").alias("name"))))
+    s = hierarchy.component_specs(c, assignment(t), "Service")
+    return s.select("cluster_id", F.size("components").cast("long").alias("n"), F.array_join(F.transform("components", lambda x: x["name"]), ",").alias("names"))
+
+
+@query
+def shared_users(t):
+    """Clusters of the family that extend a class of the shared one."""
+    a = _family(t).select("id", F.when(F.col("package") == "region", 99).otherwise(F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 3).alias("cluster_id"))
+    names = t.spark.sql("SELECT * FROM VALUES (99L, 'shared-service'), (0L, 'a'), (1L, 'b'), (2L, 'c') AS v(cluster_id, name)")
+    return hierarchy.uses_shared(_family(t), a, names)
+
+
+@query
+def missing_components(t):
+    """Every fourth nation has no file, every fifth an empty controller."""
+    expected = t.nation.select(F.when(F.col("n_nationkey") % 2 == 0, "Controller").otherwise("Entity").alias("kind"), F.col("n_name").alias("name"))
+    body = F.when(F.col("n_nationkey") % 5 == 0, " \n ").otherwise(" int a; ")
+    files = t.nation.where("n_nationkey % 4 > 0").select(F.col("n_name").alias("stem"), F.concat(F.lit("public class X {"), body, F.lit("}")).alias("source"))
+    return openapi.missing_components(expected, files)
+
+
+@query
+def source_blocks(t):
+    """Nations as files of their regions."""
+    return openapi.as_blocks(t.nation.select(F.col("n_regionkey").alias("service"), F.concat("n_name", F.lit(".yml")).alias("name"), F.col("n_name").alias("source")))
+
+
+@query
+def service_states(t):
+    """The farthest state of each user's events taken as transitions."""
+    state = F.element_at(F.array(*map(F.lit, ["pending", "compiled", "docker_built", "unknown"])), (F.col("event_id") % 4 + 1).cast("int"))
+    return openapi.latest_states(t.events.select(F.col("user_id").alias("service"), F.col("event_id").alias("seq"), state.alias("state")))
+
+
+@query
+def service_calls(t):
+    """Boundary edges that leave orders' customers of nation 3."""
+    own = t.customer.where("c_nationkey = 3").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id")).unionByName(nodes(t, "supplier").select("id"))
+    return openapi.service_calls(_boundary(t), own).groupBy("to_service").agg(F.count("*").alias("n"))
+
+
+@query
+def sequence_diagrams(t):
+    """K9: regions' diagrams over nations and regions."""
+    n, e = nodes(t, "region", "nation"), _edges(t, "nation").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    names = t.region.select(F.col("r_regionkey").cast("long").alias("cluster_id"), F.lower("r_name").alias("name"))
+    return report.diagrams(n, e, assignment(t), names)
+
+
+@query
+def compose_file(t):
+    """K10."""
+    s = t.region.select(F.when(F.col("r_regionkey") == 2, "api-gateway").otherwise(F.lower("r_name")).alias("name"), (F.col("r_regionkey") + 8080).alias("port"))
+    return report.compose_services(s).select("name", F.col("host_port").cast("long").alias("host_port"), F.length("body").cast("long").alias("chars"))
+
+
+@query
+def gateway_routes(t):
+    """E6."""
+    return report.routes(t.region.select(F.lower("r_name").alias("name")))
+
+
+@query
+def render_tables(t):
+    """Sizes, labels and widths for a drawing."""
+    n, e = CodeGraph(nodes(t), _edges(t, "customer", "orders")).render_tables()
+    return n.select(F.lit("node").alias("of"), "id", "label", F.col("size").cast("double").alias("x")).unionByName(e.select(F.lit("edge").alias("of"), F.col("src").alias("id"), F.col("dst").alias("label"), F.col("width").alias("x")))
+
+
+@query
+def plan_rows(t):
+    """Clusters as the plan document rounds them."""
+    r = clusters.dedup_names(clusters.cluster_report(nodes(t, "region", "nation"), _edges(t, "nation"), assignment(t).where("id LIKE 'region%' OR id LIKE 'nation%'")), "base_name", "cluster_id")
+    rows = report.cluster_rows(r)
+    return rows.select("id", F.size("classes").cast("long").alias("n"), F.round("metrics.internal_cohesion", 3).alias("cohesion"), F.round("metrics.external_coupling", 3).alias("coupling"), F.array_join("entry_points", ",").alias("entry_points"))
