@@ -142,7 +142,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(doc_id, component_id): documents linked by shingle sketches as near as ``similarity`` lets expect.
 
     Distinct sketches write the balls of radius 1 within each segment of their word sketch to the lookup table, so sketches whose segment differs by two bits or fewer meet.
-    At a key each is compared to the smallest and to the one before it, so links grow with documents, not with pairs; true neighbours meet at several keys.
+    At a key each is compared to the smallest, so links grow with documents, not with pairs; true neighbours meet at several keys, at most of which
+    no chance match is smaller. That holds for up to some ten million distinct texts; beyond, segments should be longer.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -162,9 +163,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     table = nodes.select("node", F.posexplode(F.array(*segments)).alias("segment", "value"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
     table = table.select("node", "segment", "value", F.explode(flips).alias("flip")).select("node", (F.shiftleft(F.col("segment").cast("long"), 32) + F.col("value").bitwiseXOR(F.col("flip"))).alias("key"))
-    order = Window.partitionBy("key").orderBy("node")
-    met = table.select("node", F.first("node").over(order).alias("first"), F.lag("node").over(order).alias("before"))
-    pairs = met.select("node", F.explode(F.array("first", "before")).alias("other")).where("other < node").distinct()
+    # Any number of sketches may share a key: its smallest node is a pre-aggregated minimum, and the join back may be split where it is skewed.
+    first = materialize(table.groupBy("key").agg(F.min("node").alias("other"), F.count("*").alias("n")).where("n > 1").select("key", "other"), "first")
+    pairs = table.join(first, "key").where("other < node").select("node", "other").distinct()
     sketch = lambda side: nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in SHINGLE_COLUMNS])
     far = sum((F.bit_count(F.col(f"node_{c}").bitwiseXOR(F.col(f"other_{c}"))) for c in SHINGLE_COLUMNS), F.lit(0))
     near = pairs.join(sketch("node"), "node").join(sketch("other"), "other").where(far <= farthest(similarity)).select(F.col("node").alias("a"), F.col("other").alias("b"))
