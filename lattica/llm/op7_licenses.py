@@ -83,9 +83,15 @@ def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def _signature(shingles: Column) -> Column:
-    """The BANDS smallest hashes, one for each seed."""
-    least = lambda seed: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(seed))))
+def _hashes(words: Column) -> Column:
+    """A hash of each shingle of an array of words; of fewer words than a shingle, of all of them."""
+    window = lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " ")
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(window(i)))
+
+
+def _signature(hashes: Column) -> Column:
+    """BANDS minima. Shingles' hashes are uniform, so each point of their space has any of them nearest by XOR with equal chance: one minimum for each of BANDS points."""
+    least = lambda seed: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.xxhash64(F.lit(seed)))))
     return F.array(*map(least, range(BANDS)))
 
 
@@ -96,11 +102,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     kind = docs.schema[id_col].dataType
     if not templates:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).limit(0)
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    hit = "|".join(map(re.escape, hitting_words(templates)))
+    body = F.coalesce(F.col(text), F.lit(""))
+    # Plain searches, in a lower case that is quicker to make and equal for ASCII letters.
+    hit = F.lit(False)
+    for w in hitting_words(templates):
+        hit = hit | F.contains(F.col("low"), F.lit(w))
+    lower = F.translate("body", string.ascii_uppercase, string.ascii_lowercase)
     # Bound to a column of its own, so that it is split once and not for each window.
-    some = docs.select(F.col(id_col).alias("doc_id"), lower.alias("lower")).where(F.col("lower").rlike(hit))
+    # The generator keeps the filter above the lower case, which would else be made once for each word.
+    low = docs.select(F.col(id_col).alias("doc_id"), body.alias("body"), F.explode(F.array(F.lower(body))).alias("low"))
+    some = low.where(hit).select("doc_id", lower.alias("lower"))
     words = some.select("doc_id", F.regexp_extract_all("lower", F.lit(WORDS), F.lit(0)).alias("words"))
+    words = words.select("doc_id", "words", _hashes(F.col("words")).alias("hashes"))  # each shingle is hashed once, not once a window
     by_shape: dict[tuple[int, int], list[str]] = {}
     for name, body in templates.items():
         by_shape.setdefault(window_shape(len(normal_words(body))), []).append(name)
@@ -108,19 +121,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     last = F.greatest(F.size("words") - F.col("length"), F.lit(0))
     starts = F.array_union(F.sequence(F.lit(0), last, F.col("stride")), F.array(last))
     # Windows are cut before they become rows: no row carries the whole text.
-    cut_ = F.transform(starts, lambda at: F.struct(at.alias("first_word"), F.slice("words", at + 1, F.col("length")).alias("own")))
-    shaped = words.select("doc_id", "words", shapes.alias("shape")).select("doc_id", "words", "shape.*")
-    windows = shaped.select("doc_id", "length", F.explode(cut_).alias("w")).select("doc_id", "length", "w.first_word", "w.own")
-    shingle = lambda i: F.array_join(F.slice("own", i + 1, SHINGLE), " ")
-    windows = windows.select("doc_id", "length", "first_word", F.transform(F.sequence(F.lit(0), F.greatest(F.size("own") - SHINGLE, F.lit(0))), shingle).alias("shingles"))
-    bands = windows.select("doc_id", "length", "first_word", "shingles", F.posexplode(_signature(F.col("shingles"))).alias("band", "least"))
+    cut_ = F.transform(starts, lambda at: F.struct(at.alias("first_word"), F.slice("words", at + 1, F.col("length")).alias("own"), F.slice("hashes", at + 1, F.greatest(F.col("length") - SHINGLE + 1, F.lit(1))).alias("hashes")))
+    shaped = words.select("doc_id", "words", "hashes", shapes.alias("shape")).select("doc_id", "words", "hashes", "shape.*")
+    windows = shaped.select("doc_id", "length", F.explode(cut_).alias("w")).select("doc_id", "length", "w.first_word", "w.own", "w.hashes")
+    bands = windows.select("doc_id", "length", "first_word", "own", F.posexplode(_signature(F.col("hashes"))).alias("band", "least"))
     rows = [
-        F.struct(F.lit(name).alias("license"), F.lit(shape[0]).alias("length"), _strings(list(dict.fromkeys(shingles_of(normal_words(templates[name]))))).alias("template"))
+        F.struct(F.lit(name).alias("license"), F.lit(shape[0]).alias("length"), _strings(normal_words(templates[name])).alias("words"), _strings(list(dict.fromkeys(shingles_of(normal_words(templates[name]))))).alias("template"))
         for shape, names in by_shape.items() for name in names
     ]
     table = spark.range(1).select(F.inline(F.array(*rows)))
-    table = table.select("license", "length", "template", F.posexplode(_signature(F.col("template"))).alias("band", "least"))
+    table = table.select("license", "length", "template", F.posexplode(_signature(_hashes(F.col("words")))).alias("band", "least"))
     met = bands.join(F.broadcast(table), ["length", "band", "least"])
+    shingle = lambda i: F.array_join(F.slice("own", i + 1, SHINGLE), " ")
+    met = met.withColumn("shingles", F.transform(F.sequence(F.lit(0), F.greatest(F.size("own") - SHINGLE, F.lit(0))), shingle))
     share = F.size(F.array_intersect("template", "shingles")) / F.size("template")
     found = met.withColumn("containment", share.cast("double")).where(F.col("containment") >= CONTAINMENT)
     best = found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min(F.col("first_word").cast("long")).alias("first_word"))
