@@ -14,6 +14,8 @@ a null component and links nothing; an empty table gives an empty table. Extra c
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -96,86 +98,143 @@ def _keep_first(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
 
 # --- near duplicates by similarity -----------------------------------------------------------------------------------
 #
-# At a five-word Jaccard similarity of 0.8, 64-bit fingerprints of shingles differ in about ten bits, too many to enumerate. The words of such
-# texts differ far less: 128-bit fingerprints of distinct words serve for lookup, in four segments of 32 bits, and 256-bit fingerprints of five-word
-# shingles for the complete distance.
-
-SEGMENTS = 4
-SHINGLE_BITS = 256
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+# Texts are near duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. An exact join finds them: with all shingles in
+# one order, sets that similar share one of the first n - ceil(0.8 n) + 1 shingles of each (prefix filter). Any order gives the same result; shingles that
+# are common in a sample come last, so that passages that many texts share are hardly ever lookup keys. Shingles are known by 64-bit hashes.
 
+#: Documents of the sample that common shingles are counted in, and how many of them a common shingle is in at least.
+SAMPLE, COMMON = 20_000, 4
+#: Star rounds at most before the rest is compared pair by pair, and pairs for each row of the lookup table that are few enough to do so at once.
+STARS, FEW = 4, 4
 
-def _majority(h: np.ndarray, lanes: int) -> np.ndarray:
-    """Counts, for each of lanes * 64 bits, how many hashes set it, times two less their number. Further lanes are mixed from the hashes."""
-    out = []
-    for mix in MIX[:lanes]:
-        x = (h ^ (h >> np.uint64(29)) ^ mix) * (mix | np.uint64(1))
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        out.append(2 * np.unpackbits(x.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64) - len(h))
-    return np.concatenate(out)
 
-
-def sketches(text: str | None, shingle: int = 5) -> tuple[bytes, bytes]:
-    """(128 bits of the distinct words, 256 bits of the shingles)."""
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """The hashes of the text's distinct shingles, sorted."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(16), bytes(SHINGLE_BITS // 8)
+        return np.empty(0, np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    single = np.fromiter((digest(w, SEED) for w in set(words)), np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    counts = np.zeros(SHINGLE_BITS, np.int64)
-    for at in range(0, n, BLOCK):
-        counts += _majority(np.fromiter((digest(join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + BLOCK))), np.uint64), SHINGLE_BITS // 64)
-    pack = lambda c: np.packbits((c > 0).astype(np.uint8), bitorder="little").tobytes()
-    return pack(_majority(single, 2)), pack(counts)
+    n = max(1, len(words) - size + 1)
+    return np.unique(np.fromiter((digest(join(words[i : i + size]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
 
 
-def farthest(similarity: float, bits: int = SHINGLE_BITS) -> int:
-    """The distance of shingle sketches up to which texts count as that similar: what is expected, and a standard deviation."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]), pa.int64()))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents linked by shingle sketches as near as ``similarity`` lets expect.
+def _common(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the shingles that recur in a sample of bounded size, and how often they do."""
+    n = slim.count()
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), shingle), pa.int64())], ["h"])
+
+    some = slim.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(max(1, n))) < SAMPLE))
+    found = some.select("text").mapInArrow(tidied(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toPandas().sort_values("h")
+    return found.h.to_numpy(np.int64), found.n.to_numpy(np.int64)
+
+
+def _exceeds(similarity: float):
+    """A similarity as a ratio of integers, so that no comparison rounds."""
+    return Fraction(str(similarity)).as_integer_ratio()
 
-    Distinct sketches write the balls of radius 1 within each segment of their word sketch to the lookup table, so sketches whose segment differs by two bits or fewer meet.
-    At a key each is compared to the smallest, so links grow with documents, not with pairs; true neighbours meet at several keys, at most of which
-    no chance match is smaller. That holds for up to some ten million distinct texts; beyond, segments should be longer.
-    """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+def _prefixes(slim: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, s0, s1: hash of the whole set, n: its size, prefix) for each row."""
+    p, q = _exceeds(similarity)
+    common = slim.sparkSession.sparkContext.broadcast(_common(slim, shingle))
 
     def run(batches):
+        known, often = common.value
         for b in batches:
-            found = [sketches(x.as_py(), shingle) for x in b.column(1)]
-            words = np.frombuffer(b"".join(w for w, _ in found), "<i8").reshape(-1, 2)
-            shingles = np.frombuffer(b"".join(s for _, s in found), "<i8").reshape(-1, 4)
-            columns = [pa.array(np.ascontiguousarray(x[:, k]), pa.int64()) for x in (words, shingles) for k in range(x.shape[1])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *WORD_COLUMNS, *SHINGLE_COLUMNS])
-
-    names = [*WORD_COLUMNS, *SHINGLE_COLUMNS]
-    rows = materialize(slim.mapInArrow(tidied(run), "doc_id long, " + ", ".join(f"{c} long" for c in names)), "sketches")
-    nodes = materialize(rows.where(F.col("doc_id").isNotNull()).groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
-    low = F.lit((1 << 32) - 1)
-    segments = [f(F.col(c)) for c in WORD_COLUMNS for f in (lambda x: x.bitwiseAND(low), lambda x: F.shiftrightunsigned(x, 32))]
-    table = nodes.select("node", F.posexplode(F.array(*segments)).alias("segment", "value"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
-    table = table.select("node", "segment", "value", F.explode(flips).alias("flip")).select("node", (F.shiftleft(F.col("segment").cast("long"), 32) + F.col("value").bitwiseXOR(F.col("flip"))).alias("key"))
-    # Any number of sketches may share a key: its smallest node is a pre-aggregated minimum, and the join back may be split where it is skewed.
-    first = materialize(table.groupBy("key").agg(F.min("node").alias("other"), F.count("*").alias("n")).where("n > 1").select("key", "other"), "first")
-    pairs = table.join(first, "key").where("other < node").select("node", "other").distinct()
-    sketch = lambda side: nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in SHINGLE_COLUMNS])
-    far = sum((F.bit_count(F.col(f"node_{c}").bitwiseXOR(F.col(f"other_{c}"))) for c in SHINGLE_COLUMNS), F.lit(0))
-    near = pairs.join(sketch("node"), "node").join(sketch("other"), "other").where(far <= farthest(similarity)).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    named = nodes.join(components(near), "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    named = materialize(named, "named")
-    return rows.join(named, names, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+            whole, sizes, prefix = [], [], []
+            for x in b.column(1):
+                s = shingles(x.as_py(), shingle)
+                whole.append(xxhash.xxh128_digest(s.tobytes(), SEED))
+                sizes.append(len(s))
+                if len(known) and len(s):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
+                prefix.append(s[: len(s) - -(-p * len(s) // q) + 1])
+            sums = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
+            columns = [pa.array(np.ascontiguousarray(sums[:, k]), pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(sizes, pa.int64()), _lists(prefix)], ["doc_id", "s0", "s1", "n", "prefix"])
+
+    return slim.mapInArrow(tidied(run), "doc_id long, s0 long, s1 long, n long, prefix array<long>")
+
 
+def _sets(slim: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) for each row."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 64):
+                part = b.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(x.as_py(), shingle) for x in part.column(1)])], ["node", "shingles"])
 
-WORD_COLUMNS = ("w0", "w1")
-SHINGLE_COLUMNS = ("s0", "s1", "s2", "s3")
+    return slim.mapInArrow(tidied(run), "node long, shingles array<long>")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): the components of all pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Equal sets are linked to their smallest id and looked up once. At a lookup key all members are first compared to one of them, in each round another; what has come
+    into one component needs no comparison any more. When few pairs are left, or after STARS rounds, all pairs of different components that still meet at a
+    key are compared. Every comparison is of whole sets, so neither the rounds nor the order of shingles change the result.
+    """
+    p, q = _exceeds(similarity)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = materialize(_prefixes(slim, shingle, similarity), "prefixes")
+    known = rows.where(F.col("doc_id").isNotNull())
+    first = materialize(known.groupBy("s0", "s1").agg(F.min("doc_id").alias("node")), "nodes")
+    links = materialize(known.select("doc_id", "s0", "s1").join(first, ["s0", "s1"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "copies")
+    table = known.join(first.withColumnRenamed("node", "doc_id"), ["s0", "s1", "doc_id"]).dropDuplicates(["s0", "s1", "doc_id"])
+    table = materialize(table.select(F.col("doc_id").alias("node"), "n", F.explode("prefix").alias("key")), "keys")
+    shared = table.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    table = materialize(table.join(shared, "key"), "shared")
+    sets = materialize(_sets(slim.join(table.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(), shingle), "sets")
+    apart = lambda x, y: F.least(x, y) * q < F.greatest(x, y) * p  # noqa: E731  sizes alone rule them out
+
+    def near(pairs: DataFrame) -> DataFrame:
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
+        return both.where(F.col("common") * q >= (F.size("of_a") + F.size("of_b") - F.col("common")) * p).select("a", "b").distinct()
+
+    tried = None
+    for turn in range(STARS + 1):
+        found = materialize(components(links), "found")
+        labelled = table.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+        labelled = materialize(labelled, "labelled")
+        parts = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("labels")).where("labels > 1")
+        parts = materialize(parts.select("key", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")), "parts")
+        work = parts.agg(F.sum("m").alias("m"), F.sum("pairs").alias("pairs")).first()
+        if not work.m:
+            break
+        table = materialize(labelled.join(parts.select("key"), "key"), "shared")
+        last = turn == STARS or work.pairs <= FEW * work.m
+        if last:
+            other = table
+        else:
+            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "label")
+            other = table.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.node", "x.n", "x.label")
+        other = other.select("key", F.col("node").alias("node_2"), F.col("n").alias("n_2"), F.col("label").alias("label_2"))
+        pairs = table.join(other, "key").where((F.col("label") != F.col("label_2")) & ~apart(F.col("n"), F.col("n_2")))
+        if last:
+            pairs = pairs.where("node > node_2")
+        pairs = pairs.select(F.greatest("node", "node_2").alias("a"), F.least("node", "node_2").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = materialize(links.unionByName(near(pairs)), "links")
+        table = table.select("node", "n", "key")
+        if last:
+            found = materialize(components(links), "found")
+            break
+    return rows.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

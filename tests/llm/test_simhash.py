@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -102,3 +103,57 @@ def test_similar_groups_on_hard_rows(spark):
     assert got == [(2, 2), (4, 2), (6, 6), (7, 6), (8, 8), (8, 8), (9, 8)]
     assert sorted(r.doc_id for r in s.dedup_similar(docs).collect() if r.doc_id is not None) == [2, 6, 8]
     assert s.similar_groups(docs.limit(0)).count() == 0
+
+
+def exact_groups(texts):
+    """text's place -> smallest place of its component of pairs at a five-word Jaccard similarity of 0.8 or more; the similarities."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    often = Counter(x for s in sets for x in s)
+    column = {x: k for k, x in enumerate(x for x, n in often.items() if n > 1)}
+    x = np.zeros((len(sets), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        x[i, [column[w] for w in s if w in column]] = 1
+    common, n = x @ x.T, np.array([len(s) for s in sets], np.float32)
+    np.fill_diagonal(common, n)
+    union = n[:, None] + n - common
+    near, label = 5 * common >= 4 * union, np.arange(len(sets))
+    while True:
+        least = np.array([label[row].min() for row in near])
+        if (least == label).all():
+            return dict(enumerate(label.tolist())), common / union
+        label = least
+
+
+def edited(rng, words, rate):
+    return [f"new{rng.randrange(10**9)}" if rng.random() < rate else w for w in words]
+
+
+def family(rng, copies, rates, length=120):
+    base = [f"w{rng.randrange(4000)}" for _ in range(length)]
+    return [edited(rng, base, rng.choice(rates)) for _ in range(copies)]
+
+
+def grouped(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in s.similar_groups(docs).collect()}
+
+
+def test_similar_groups_of_families_whose_members_are_far_from_the_smallest(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(3):  # copies far from each other, each with a twin
+        for words in family(rng, 200, [0.06]):
+            texts += [" ".join(words), " ".join(edited(rng, words, 0.01))]
+    rng.shuffle(texts)
+    want, alike = exact_groups(texts)
+    assert (np.triu(alike, 1) >= 0.8).sum() > 400 and len(set(want.values())) > 500
+    assert grouped(spark, texts) == want
+
+
+def test_similar_groups_of_a_family_of_thousands_of_unequal_copies(spark):
+    rng = random.Random(22)
+    texts = [" ".join(w) for w in family(rng, 2500, [0.001, 0.01, 0.02, 0.03, 0.04], 80)]
+    want, _ = exact_groups(texts)
+    sizes = Counter(want.values())
+    assert max(sizes.values()) > 500 and sum(n == 1 for n in sizes.values()) > 100
+    assert grouped(spark, texts) == want
