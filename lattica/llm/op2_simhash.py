@@ -106,6 +106,8 @@ def _keep_first(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
 SAMPLE, COMMON = 20_000, 4
 #: Star rounds at most before the rest is compared pair by pair, and pairs for each row of the lookup table that are few enough to do so at once.
 STARS, FEW = 4, 4
+#: Bits of the bitmap of ids.
+MARKS = 1 << 23
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -166,16 +168,24 @@ def _prefixes(slim: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return slim.mapInArrow(tidied(run), "doc_id long, s0 long, s1 long, n long, prefix array<long>")
 
 
-def _sets(slim: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) for each row."""
+def _sets(slim: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) for each row that pairs (a, b) name, and by chance some more: their ids are marked in a bitmap of bounded size, so texts aren't shuffled."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place("id").alias("at"))
+    words = ids.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64)
+    shared = slim.sparkSession.sparkContext.broadcast(np.unpackbits(marks.view(np.uint8), bitorder="little").view(bool))
 
     def run(batches):
+        marked = shared.value
         for b in batches:
+            b = b.filter(pa.array(marked[b.column(2).to_numpy()]))
             for at in range(0, len(b), 64):
                 part = b.slice(at, 64)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(x.as_py(), shingle) for x in part.column(1)])], ["node", "shingles"])
 
-    return slim.mapInArrow(tidied(run), "node long, shingles array<long>")
+    return slim.where("doc_id IS NOT NULL").withColumn("at", place("doc_id")).mapInArrow(tidied(run), "node long, shingles array<long>")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -195,10 +205,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     table = materialize(table.select(F.col("doc_id").alias("node"), "n", F.explode("prefix").alias("key")), "keys")
     shared = table.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     table = materialize(table.join(shared, "key"), "shared")
-    sets = materialize(_sets(slim.join(table.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(), shingle), "sets")
     apart = lambda x, y: F.least(x, y) * q < F.greatest(x, y) * p  # noqa: E731  sizes alone rule them out
 
     def near(pairs: DataFrame) -> DataFrame:
+        sets = materialize(_sets(slim, pairs, shingle), "sets")
         side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
         return both.where(F.col("common") * q >= (F.size("of_a") + F.size("of_b") - F.col("common")) * p).select("a", "b").distinct()
@@ -224,7 +234,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         pairs = table.join(other, "key").where((F.col("label") != F.col("label_2")) & ~apart(F.col("n"), F.col("n_2")))
         if last:
             pairs = pairs.where("node > node_2")
-        pairs = pairs.select(F.greatest("node", "node_2").alias("a"), F.least("node", "node_2").alias("b")).distinct()
+        # Of a set's n shingles, n - ceil(0.8 n) + 1 are keys: what two sets have in common is at most the keys they share and the rest of one of them.
+        # Before the last round some shared keys may go uncounted; pairs passed over there come back in the last.
+        rest = lambda n: F.ceil(n * p / q) - 1
+        most = F.count("*") + F.greatest(rest(F.max("n")), rest(F.max("n_2")))
+        pairs = pairs.groupBy(F.greatest("node", "node_2").alias("a"), F.least("node", "node_2").alias("b")).agg(most.alias("most"), F.min(F.col("n") + F.col("n_2")).alias("both"))
+        pairs = pairs.where(F.col("most") * (p + q) >= F.col("both") * p).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
