@@ -1,5 +1,9 @@
+import random
+
 import corpus_pipeline as cp
+import numpy as np
 from lattica.llm import op1_quality, op2_simhash
+from test_simhash import edited, exact_groups, family
 
 
 def test_stages_keep_their_contract(spark, sf_dir):
@@ -23,3 +27,15 @@ def test_empty_tables(spark, sf_dir):
     for name, stage in cp.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_near_duplicates_keep_one_of_each_exact_group(spark):
+    rng = random.Random(23)
+    texts = [" ".join(w) for w in family(rng, 300, [0.005, 0.02, 0.03])]
+    for _ in range(60):  # pairs of 0.6 to 0.8 besides
+        words = family(rng, 1, [0])[0]
+        texts += [" ".join(words), " ".join(edited(rng, words, 0.03))]
+    want, alike = exact_groups(texts)
+    assert (np.triu((alike >= 0.6) & (alike < 0.8), 1)).sum() > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in cp.near_duplicates(spark, docs, "").select("doc_id").collect()} == set(want.values())
