@@ -51,10 +51,14 @@ def test_links_reach_all_at_two_bits(spark):
     base = [int(x) for x in rng.integers(0, 2**63, 12, dtype=np.uint64)]
     fps = {b ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (0, 1, 2, 2, 3, 4) for _ in range(6)}
     nodes = list(enumerate(sorted(fps)))
-    df = spark.createDataFrame([(i, np.uint64(f).astype(np.int64).item()) for i, f in nodes], "node long, fp long")
-    found = {r.node: r.component for r in components(s.links(df)).collect()}
-    want = brute_components([i for i, _ in nodes], [f for _, f in nodes])
-    assert {i: found.get(i, i) for i, _ in nodes} == want
+    # One segment shared by many, so that values are crowded, and the other near within it.
+    fps |= {(7 << 32) | int(x) for x in rng.integers(0, 2**12, 300)} | {(int(x) << 32) | 9 for x in rng.integers(0, 2**32, 200, dtype=np.uint64)}
+    nodes = list(enumerate(sorted(fps)))
+    signed = [np.uint64(f).astype(np.int64).item() for _, f in nodes]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    pairs = {frozenset((a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    for crowded in (512, 20):
+        assert {frozenset((r.a, r.b)) for r in s.links(df, crowded).collect()} == pairs
 
 
 def test_hard_rows(spark):
