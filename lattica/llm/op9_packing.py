@@ -7,7 +7,8 @@ partition is left or a round no longer merges anything worth it; then the rest i
 each round writes (bin, into which bin) and the pieces' final places follow from joining those tables.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed each; rows with a null id are packed
-too; an empty table gives an empty table; extra columns are ignored. A long text is encoded whole, in blocks that end where the tokenizer splits anyway.
+too; an empty table gives an empty table; extra columns are ignored. A very long text is encoded whole. Pieces of equal
+length are taken in the order of their place in the table, which reruns may change.
 """
 
 from __future__ import annotations
@@ -41,15 +42,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def encoder(path: str):
-    """A function from texts to arrays of ids, loaded once in a worker.
+    """A function from texts to lists of ids, loaded once in a worker: those of the tokenizers file, add_special_tokens=False.
 
-    A .json file is a tokenizers file. If the same vocabulary lies beside it as ranks (.tiktoken), ids come from those: the same ids, some
-    times faster. Special tokens' strings in a text are ordinary text.
+    Strings of the file's special tokens in a text become those tokens' ids. If the same vocabulary lies beside the file as ranks (.tiktoken), texts without such strings
+    are encoded by those: the same ids, some times faster.
     """
     cache = worker_cache()
     if path not in cache:
+        import re
         from pathlib import Path
 
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        exact = lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
         ranks = Path(path).with_suffix(".tiktoken")
         if path.endswith(".json") and ranks.exists():
             import public_tokenizers
@@ -57,13 +63,10 @@ def encoder(path: str):
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            cache[path] = lambda texts: [fast.encode_ordinary(t) for t in texts]
+            special = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or "(?!)")
+            cache[path] = lambda texts: [exact([t])[0] if special.search(t) else fast.encode_ordinary(t) for t in texts]
         else:
-            from tokenizers import Tokenizer
-
-            slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = True
-            cache[path] = lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+            cache[path] = exact
     return cache[path]
 
 
