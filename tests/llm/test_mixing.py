@@ -44,6 +44,33 @@ def test_pareto_order_by_brute_force(spark):
     assert got[got.source.isna()].mix_copies.max() <= 3 and got[got.mix_size == 0].mix_copies.max() == 0
 
 
+def test_rates_and_inclusion_of_unequal_sizes(spark):
+    docs = spark.createDataFrame([(i, "s" if i % 3 else "t", "w " * (50, 100, 400, 900, 5000)[i % 5]) for i in range(6000)], "doc_id long, source string, text string")
+    got = m.mix(docs, weights=(1.0, 6.0), preference=m.by_length).toPandas()
+    got["pref"] = got.mix_size.map({50: 0.5, 100: 0.5, 400: 1.0, 900: 2 ** (round(8 * 0.5849625) / 8), 5000: 2.0})
+    for _, own in got.groupby("source"):
+        target = own.mix_target.iloc[0]
+        lo, hi = 0.0, 1e6  # the rate, by bisection
+        for _ in range(200):
+            rate = (lo + hi) / 2
+            lo, hi = (rate, hi) if ((rate * own.pref).clip(upper=3) * own.mix_size).sum() < target else (lo, rate)
+        for size, some in own.groupby("mix_size"):
+            assert some.mix_copies.mean() == pytest.approx(min(3, rate * some.pref.iloc[0]), abs=0.06), size
+        assert abs((own.mix_copies * own.mix_size).sum() - target) <= own.mix_size.max()
+    odd = docs.limit(40).withColumn("p", F.when(F.col("doc_id") % 4 == 0, None).when(F.col("doc_id") % 4 == 1, float("nan")).when(F.col("doc_id") % 4 == 2, -1.0).otherwise(float("inf")))
+    assert m.mix(odd, preference=F.col("p")).count() == 40
+
+
+def test_extra_columns_ties_and_long_texts(spark):
+    rows = [(1, "s", "w " * 200_000, "x"), (2, "s", "a b", "y"), (2, "s", "a b", "y"), (3, None, None, None), (None, None, "q", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_row string")
+    got = m.mix(docs, preference=m.by_length)
+    assert got.columns[:4] == docs.columns
+    by_id = {r.doc_id: r for r in got.collect()}
+    assert by_id[1].mix_size == 200_000 and by_id[3].mix_size == 0 and by_id[3].mix_copies == 0
+    assert len({r.mix_copies for r in got.collect() if r.doc_id == 2}) == 1
+
+
 def test_preference_copies_and_empty(spark):
     docs = spark.createDataFrame([(i, "s" if i % 2 else "t", "w " * 10, i % 4 + 1) for i in range(800)], "doc_id long, source string, text string, mix_no int")
     got = m.mix(docs, preference=F.col("mix_no")).toPandas()
