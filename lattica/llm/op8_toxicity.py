@@ -1,17 +1,20 @@
-"""Toxicity by compression distance with trained zstandard dictionaries.
+"""Toxicity by compression distance with zstandard dictionaries.
 
-Two dictionaries are trained on labelled texts. The ordinary one is what zstandard's trainer picks from ordinary texts. The toxic one is the same
-content and, after it, the windows that recur in toxic texts and that ordinary texts lack. A text is cut into windows of
+Two dictionaries are made of labelled texts. The ordinary one is what zstandard's trainer picks from ordinary texts. The toxic one is the same
+content and, after it, the windows that recur in toxic texts at over ``RATIO`` times their rate in ordinary ones. A text is cut into windows of
 words; a window's gain is the bytes that the toxic dictionary saves over the ordinary one. Since the dictionaries differ in the toxic part
 only, the gain is near zero but for windows that toxic texts share. A logistic curve over the largest gains, the largest gains by
-length, the share of clear gains and the text's length is fitted on labelled texts, ordinary ones that the dictionaries have not seen and toxic ones, each class
-weighing what it weighs among all labels; it gives a score whose threshold is 0.5.
+length, the share of clear gains and the text's length is fitted on labelled texts, each class weighing what it weighs among all labels; it gives a score whose
+threshold is 0.5. The curve is cross-fitted: each half of the labelled texts is measured by dictionaries made of the other half, so no text is judged by windows that it gave itself.
+
+Windows of several words and a toxic dictionary that the trainer picks were tried and are measured in the README: they find fewer toxic texts.
 
 Labels are used of rows whose crc32(id) mod 5 is not 0. Training takes a bounded sample of those (``MAX_TOXIC`` and ``MAX_ORDINARY`` documents, the first in the order of a hash of
-the id); every other step covers all rows. A score depends on the text alone.
+the id, and of each class ``MAX_BYTES`` of text at most, whole texts only); every other step covers all rows. A score depends on the text alone.
 
-Defined results: null and empty texts are scored like any text (no gains); repeated rows score alike; a null id is scored and is not
-held out; with no label of either class every score is the share of toxic labels (0 without labels); an empty table gives an empty table. Extra columns are ignored.
+Defined results: null and empty texts are scored like any text (no gains); a very long text is scored by all its windows; equal texts and repeated rows score alike; ties at 0.5 are toxic; a null id is scored and is not
+held out; with no label of either class every score is the share of toxic labels (0 without labels); an empty table gives an empty table. Extra columns are ignored,
+and ``keep`` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +32,20 @@ from .common import materialize, tidied
 
 #: Labelled documents that training takes at most.
 MAX_TOXIC, MAX_ORDINARY = 3000, 9000
+#: Bytes of labelled text of each class that come to the driver at most.
+MAX_BYTES = 40_000_000
 #: Words in a window.
 WINDOW = 1
 #: Bytes of ordinary content in both dictionaries, and of toxic windows at most.
 BASE, EXTRA = 15_000, 8_000
-#: A toxic window must recur in this share of the toxic texts, and in three.
-RECURS = 0.012
+#: A toxic window must recur in this share of the toxic texts, and in four, so many times as often as in ordinary ones.
+RECURS, RATIO = 0.012, 20
 #: A toxic text that shares this part of its new windows with those before it is a copy and counts no window again.
 COPIED = 0.5
 #: Ends every window: bytes that both dictionaries hold, so that matches are sought up to the window's end.
 TAIL = bytes(range(128, 160))
 SPLIT = re.compile(rb"[\x00-\x2f:-@\[-`{-\x7f]+")
+#: Fewer texts of a class than this are not cross-fitted.
 LEAST_CALIBRATION = 30
 
 
@@ -56,16 +62,19 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
         base = zs.train_dictionary(BASE + 2000, plain, k=200, d=8).as_bytes()[-BASE:]
     except zs.ZstdError:  # too few or too short texts to train on: their own content serves
         base = b" ".join(plain)[:BASE]
-    known: set[bytes] = set()
-    for t in ordinary:
-        known.update(windows(t))
+    often: Counter[bytes] = Counter()
+    for t in dict.fromkeys(ordinary):
+        often.update(set(windows(t)))
     found: Counter[bytes] = Counter()
-    distinct = list(dict.fromkeys(toxic))
-    for t in distinct:
-        new = set(windows(t)) - known
+    texts = 0
+    for t in dict.fromkeys(toxic):
+        own = set(windows(t))
+        new = [w for w in own if w not in often]
         if len(new) < 8 or sum(w in found for w in new) < COPIED * len(new):
-            found.update(new)
-    least = max(4, int(len(distinct) * RECURS))
+            found.update(own)
+            texts += 1
+    least = max(4, int(texts * RECURS))
+    found = Counter({w: n for w, n in found.items() if len(w) > 2 and n * len(plain) >= RATIO * often[w] * texts})
     picked, size = [], 0
     for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
         if n < least or size + len(w) > EXTRA:
@@ -190,24 +199,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     picked = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_ORDINARY))]
     picked = picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("_id"), "y")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    sample = materialize(rows.select("doc_id", "text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0).alias("apart")).dropDuplicates(["doc_id"]), "labelled")
+    fold, third = (F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).alias(name) for salt, n, name in ((9, 2, "fold"), (10, 3, "third")))
+    sample = materialize(rows.select("doc_id", "text", "y", F.octet_length("text").cast("long").alias("bytes"), order.alias("order"), fold, third).dropDuplicates(["doc_id"]), "labelled")
     of_all = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    counts = {(r["y"], r["apart"]): r["count"] for r in sample.groupBy("y", "apart").count().collect()}
-    n = [counts.get((y, False), 0) + counts.get((y, True), 0) for y in (0, 1)]
+    # At most the two bounds of ids, and of their texts what fits MAX_BYTES; a longer text than is left is passed over.
+    left, fits = [MAX_BYTES, MAX_BYTES], []
+    for r in sample.select("doc_id", "y", "bytes").orderBy("order", "doc_id").collect():
+        if r["bytes"] <= left[r["y"]]:
+            left[r["y"]] -= r["bytes"]
+            fits.append((r["doc_id"],))
+    if not fits:
+        return Model(0.0)
+    sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long")), "doc_id")
+    got = sample.select("doc_id", "text", "y", "fold", "third").orderBy("doc_id").collect()
+    n = [sum(r["y"] == y for r in got) for y in (0, 1)]
     if min(n) < 2:
-        return Model(n[1] / sum(n) if sum(n) else 0.0)
-    # Ordinary texts whose windows the dictionaries know would look too ordinary; with few labels both share them.
-    split = min(counts.get((0, a), 0) for a in (False, True)) >= LEAST_CALIBRATION
-    seen = (F.col("y") == 1) | ~F.col("apart") if split else F.lit(True)
-    got = sample.where(seen).orderBy("doc_id").select("text", "y").collect()
-    contents = train_dictionaries([r["text"] for r in got if r["y"]], [r["text"] for r in got if not r["y"]])
-    judged = sample.where((F.col("y") == 1) | F.col("apart") if split else F.lit(True))
-    x = {r["id"]: r["out"] for r in _map_features(judged, "doc_id", contents).collect()}
-    y = {r["doc_id"]: r["y"] for r in judged.select("doc_id", "y").collect()}
+        return Model(n[1] / sum(n))
+    texts = lambda y, other: [r["text"] for r in got if r["y"] == y and r["fold"] != other]
+    least = min(sum(r["y"] == y and r["fold"] == k for r in got) for y in (0, 1) for k in (0, 1))
+    folds = (0, 1) if least >= LEAST_CALIBRATION else (None,)
+    x: dict[int, list[float]] = {}
+    for k in folds:
+        judged = sample.where((F.col("y") == 1) | (F.col("third") == 0) | F.lit(k is None))
+        judged = judged if k is None else judged.where(F.col("fold") == k)
+        x |= {r["id"]: r["out"] for r in _map_features(judged, "doc_id", train_dictionaries(texts(1, k), texts(0, k))).collect()}
+    y = {r["doc_id"]: r["y"] for r in got}
     ids = sorted(x)
     ys = np.array([y[i] for i in ids], np.float64)
     share = [of_all.get(k, 0) / max(1, (ys == k).sum()) for k in (0, 1)]
-    return Model(0.0, contents, calibrate(np.array([x[i] for i in ids]), ys, np.where(ys == 1, share[1], share[0])))
+    curve = calibrate(np.array([x[i] for i in ids]), ys, np.where(ys == 1, share[1], share[0]))
+    return Model(0.0, train_dictionaries(texts(1, None), texts(0, None)), curve)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
