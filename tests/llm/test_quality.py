@@ -31,7 +31,7 @@ def docs(spark):
 
 
 def test_measures_match_brute_force(docs):
-    got = q.judge(docs.select("doc_id", "text"), order=[r.name for r in q.RULES]).collect()
+    got = q.judge(docs.select("doc_id", "text"), order=[r.name for r in q.RULES], always=tuple(q.MEASURES)).collect()
     assert len(got) == len(TEXTS) + 2
     for r in got:
         assert (r.q_n_words, r.q_word_chars, r.q_n_symbols, r.q_n_dup_lines, r.q_n_repeat_words) == brute(r.text), r.text
@@ -46,6 +46,25 @@ def test_order_does_not_change_the_verdict(docs):
     assert {(r.doc_id, r.text) for r in kept.collect()} == {k for k, v in verdicts[0].items() if v}
 
 
+def test_order_changes_the_work(docs):
+    names = [r.name for r in q.RULES]
+    cheap, dear = (q.judge(docs.select("doc_id", "text"), order=o).collect() for o in (["few_words", *names[1:]], ["repeated_words", "few_words", *names[2:]]))
+    measured = lambda rows: sum(r.q_n_repeat_words is not None for r in rows)
+    # Windows are measured only of texts that have enough words, if that rule comes first.
+    assert measured(cheap) == sum(brute(t)[0] >= 50 for t in TEXTS) < measured(dear) == len(cheap)
+    assert all(r.q_rules_run == 1 and r.q_rejected_by == "few_words" for r in cheap if brute(r.text)[0] < 50)
+    assert all(r.q_rules_run == len(names) for r in cheap if r.q_rejected_by is None)
+
+
+def test_order_is_by_rejection_for_cost_and_repeats(docs):
+    first = q.estimate(docs, q.RULES)
+    assert first == q.estimate(docs.repartition(5), q.RULES)
+    assert [e.name for e in first][0] == "few_words"  # rejects most, at little cost
+    names = [e.name for e in first]
+    # Once words are counted, shouting is cheaper to find than repeated windows.
+    assert names.index("shouting") < names.index("repeated_words")
+
+
 def test_estimates_and_empty_table(docs):
     found = {e.name: e for e in q.estimate(docs, q.RULES)}
     assert found["few_words"].rejected > 0 and all(e.cost > 0 for e in found.values())
