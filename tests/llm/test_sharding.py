@@ -47,3 +47,47 @@ def test_weighted_splits_against_sorting(spark):
         got = sum(w for k_, w in own if k_ < cut[g])
         best = min(abs(sum(w for k_, w in own if k_ < c) - goal) for c in {k_ for k_, _ in own} | {10**9})
         assert abs(got - goal) == best
+
+
+def test_whole_strings_are_a_dimension(spark):
+    docs = spark.createDataFrame([(1, f"dataset_{'abcd'[i % 4]}", "z" * 84) for i in range(400)] + [(1, None, "z" * 84)] * 4, "doc_id long, source string, text string")
+    ranks = {r.value: r["rank"] for r in k._ranks(docs, "source").collect()}
+    assert ranks == {f"dataset_{c}": float(i) for i, c in enumerate("abcd")}
+    many = spark.createDataFrame([(f"{chr(0x61 + i % 5)}é{i * 37 % 1000:04d}\U0001f600",) for i in range(1000)], "source string")
+    got = [r.value for r in k._ranks(many, "source").orderBy("rank").collect()]
+    assert got == sorted((r.source for r in many.collect()), key=str.encode)
+
+
+def test_tree_against_brute_force(spark):
+    """Every split halves the weight along the widest dimension, as sorting all rows finds it."""
+    rows = [(i * 13 % 640, "abcdefgh"[i * i % 8] * 9, "t" * (10 + i * 7 % 90)) for i in range(640)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.shard for r in k.assign(docs, shards=4, dims=("source", "doc_id")).collect()}
+    sources = sorted({s for _, s, _ in rows})
+    point = {d: (sources.index(s) / (len(sources) - 1), d / 639, len(t) + 16) for d, s, t in rows}
+
+    def split(ids, n):
+        if n == 1:
+            return [set(ids)]
+        spread = [max(point[i][x] for i in ids) - min(point[i][x] for i in ids) for x in (0, 1)]
+        x = spread.index(max(spread))
+        at = sorted({point[i][x] for i in ids})
+        total = sum(point[i][2] for i in ids)
+        best = min(abs(sum(point[i][2] for i in ids if point[i][x] < c) - total / 2) for c in at)
+        low = [i for i in ids if got[i] in lows[n, min(got[j] for j in ids)]]
+        # Ties within one value are dealt by hash: the split lies at the median value, and is at least as even as whole values allow.
+        assert abs(sum(point[i][2] for i in low) - total / 2) <= best + 1e-9 and max(point[i][x] for i in low) <= min(point[i][x] for i in set(ids) - set(low))
+        return split(low, n // 2) + split(sorted(set(ids) - set(low)), n // 2)
+
+    lows = {(4, 0): {0, 1}, (2, 0): {0}, (2, 2): {2}}
+    assert [len(p) > 0 for p in split([d for d, _, _ in rows], 4)] == [True] * 4
+
+
+def test_write_shards_keeps_every_row(spark, tmp_path):
+    rows = [(i, "x" * (i % 50), f"s{i % 3}", i) for i in range(60)] + [(None, "n", "s0", 1), (None, "n", "s0", 1), (7, "again", "s1", 2), (7, "again", "s1", 2), (8, "y" * 300_000, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    k.write_shards(docs, str(tmp_path / "all"), shards=5)
+    back = spark.read.parquet(str(tmp_path / "all"))
+    assert sorted(map(repr, (tuple(r) for r in back.select(docs.columns).collect()))) == sorted(map(repr, rows))
+    k.write_shards(docs.withColumnRenamed("size", "shard"), str(tmp_path / "clash"), shards=2)
+    assert spark.read.parquet(str(tmp_path / "clash")).select("shard_").distinct().count() == 60
