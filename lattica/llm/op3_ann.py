@@ -6,8 +6,8 @@ nearest cells; there an asymmetric distance table (query residual against codebo
 reranked exactly, in double precision on the original vectors. Cells are cut into blocks of bounded size, and so are a cell's
 queries, so a crowded cell is spread over tasks; a query's results of all its blocks are merged by their exact scores.
 
-Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do those whose length is not the
-commonest (the longer of equally common ones); so do null ids. Ids are unique; of repeated rows of one id one counts. Equal
+Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part; null ids neither. A cosine is defined between vectors of one length:
+each length has an index of its own. Ids are unique; of repeated rows of one id the smallest vector counts. Very long vectors are compared whole. Equal
 scores go to the smaller id; fewer candidates than k give fewer rows; an empty table gives an empty table. Extra columns are ignored.
 """
 
@@ -165,25 +165,29 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds (a column over vec_id) its k nearest other rows.
 
-    cells: coarse cells; the default grows with the square root of the number of vectors, to 1024 at most.
+    cells: coarse cells; the default grows with the square root of the number of vectors, as far as the sample has 16 vectors for each.
     """
-    spark = rows.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
-    usable = materialize(valid_vectors(rows, id_col, vector), "vectors")
-    lengths = usable.groupBy(F.size("vec").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
-    if lengths is None:
-        return spark.createDataFrame([], out)
-    usable = usable.where(F.size("vec") == lengths["d"])
+    usable = materialize(valid_vectors(rows, id_col, vector).groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
+    out = None
+    for r in usable.select(F.size("vec").alias("d")).distinct().orderBy("d").collect():
+        found = _search(usable.where(F.size("vec") == r["d"]), is_query, k, cells, probe_recall, sample)
+        out = found if out is None else out.unionByName(found)
+    return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search(usable: DataFrame, is_query, k: int, cells: int | None, probe_recall: float, sample: int) -> DataFrame:
+    """:func:`search` among vectors of one length with ids of their own."""
+    spark = usable.sparkSession
     # Equal vectors: one entry each, with the k + 1 smallest ids, the most that one query's result can name.
     order = Window.partitionBy("vec").orderBy("vec_id")
-    first = materialize(usable.dropDuplicates(["vec_id", "vec"]).withColumn("no", F.row_number().over(order)).where(F.col("no") <= k + 1), "members")
+    first = materialize(usable.withColumn("no", F.row_number().over(order)).where(F.col("no") <= k + 1), "members")
     entry = first.groupBy("vec").agg(F.min("vec_id").alias("gid"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = materialize(entry, "entries")
     n = entries.count()
-    asked = usable.where(is_query).select("vec_id", "vec").dropDuplicates(["vec_id"])
+    asked = usable.where(is_query).select("vec_id", "vec")
     asked = materialize(asked.join(entries.select("vec", "gid"), "vec").select("vec_id", "gid"), "asked")
     picked = entries.orderBy(F.xxhash64("gid", F.lit(3)), "gid").select("vec").limit(sample).toArrow()
-    cells = cells or min(1024, max(1, 2 ** round(math.log2(math.sqrt(n) / 2 + 1))))
+    cells = cells or min(max(1, sample // 16), max(1, 2 ** round(math.log2(math.sqrt(n) / 2 + 1))))
     index = Index(_matrix(picked["vec"]), cells)
     cells = len(index.centroids)
     probes = min(cells, max(PROBE_LEAST, index.enough_probes(_matrix(picked["vec"]), k, probe_recall)))
@@ -207,7 +211,7 @@ def search(
 
     distinct = asked.select("gid").distinct().join(entries.select("gid", "vec"), "gid").select("gid", "vec")
     visits = materialize(distinct.mapInArrow(visit, "gid long, vec array<double>, cell long"), "visits")
-    # Blocks of each cell: a row for each of at most 1024 cells comes to the driver and goes to every task.
+    # Blocks of each cell: a row for each cell, of which the sample's size bounds the number, comes to the driver and goes to every task.
     sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}
     asks = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
     plan = [(c, max(1, math.ceil(sizes[c] / BLOCK)), max(1, math.ceil(asks[c] / QUERIES))) for c in sorted(sizes) if c in asks]

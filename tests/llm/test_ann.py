@@ -42,13 +42,14 @@ def test_recall_over_several_cells_and_blocks(spark, monkeypatch):
 
 def test_ties_copies_and_bad_vectors(spark):
     v, w = [1.0, 0.0, 2.0], [0.0, 1.0, 0.5]
-    rows = [(i, v) for i in range(0, 40)] + [(100, w), (101, [0.0, 2.0, 1.0]), (150, None), (200, [0.0, 0.0, 0.0]), (250, [1.0, None, 0.0]), (300, [float("nan"), 1.0, 1.0]), (350, [float("inf"), 1.0, 1.0]), (400, [1.0, 2.0]), (None, v), (0, v)]
+    rows = [(i, v) for i in range(0, 40)] + [(100, w), (101, [0.0, 2.0, 1.0]), (150, None), (200, [0.0, 0.0, 0.0]), (250, [1.0, None, 0.0]), (300, [float("nan"), 1.0, 1.0]), (350, [float("inf"), 1.0, 1.0]), (400, [1.0, 2.0]), (401, [2.0, 4.0]), (402, [2.0, 1.0]), (None, v), (0, v), (7, w)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = a.search(df, F.col("vec_id") % 50 == 0).collect()
     of = lambda q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
-    assert of(0) == [1, 2, 3, 4, 5]
-    assert of(100)[0] == 101 and len(of(100)) == 5 and of(100)[1:] == [0, 1, 2, 3]
-    assert {r.query_id for r in got} == {0, 100}
+    assert of(0) == [1, 2, 3, 4, 5]  # 7 counts as its smaller vector
+    assert of(100)[:2] == [7, 101] and len(of(100)) == 5 and of(100)[2:] == [0, 1, 2]
+    assert of(400) == [401, 402]  # another length
+    assert {r.query_id for r in got} == {0, 100, 400}
     assert a.search(df.limit(0), F.lit(True)).count() == 0
     few = spark.createDataFrame([(0, v), (1, w)], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in a.search(few, F.col("vec_id") == 0).collect()] == [(0, 1)]
