@@ -126,7 +126,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _colouring(edges: DataFrame, kind: str, rounds: int = 10_000) -> DataFrame:
-    """Strongly connected components of a large rest, by forward colours and backward reach."""
+    """Strongly connected components of a large rest, by forward colours and backward reach. Every round finishes a component at least; if any is left after ``rounds``, it raises."""
     done, left = None, materialize(edges, "rest")
     for _ in range(rounds):
         if left.isEmpty():
@@ -154,6 +154,8 @@ def _colouring(edges: DataFrame, kind: str, rounds: int = 10_000) -> DataFrame:
         done = part if done is None else done.unionByName(part)
         gone = reach.select("id")
         left = materialize(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "rest")
+    if not left.isEmpty():
+        raise RuntimeError(f"strong components did not settle in {rounds} rounds")
     return done
 
 
@@ -184,7 +186,7 @@ def modularity(wedges: DataFrame, assignment: DataFrame, resolution: float = 1.0
     ends = both.select(F.col("a_c").alias("c"), F.col("weight").alias("d"), F.when(F.col("a_c") == F.col("b_c"), F.col("weight")).otherwise(0.0).alias("l"))
     ends = ends.unionByName(both.select(F.col("b_c").alias("c"), F.col("weight").alias("d"), F.lit(0.0).alias("l")))
     per = ends.groupBy("c").agg(F.sum("d").alias("d"), F.sum("l").alias("l"))
-    per = per.withColumn("m", F.sum("d").over(Window.partitionBy()) / 2)  # a row for each cluster
+    per = per.crossJoin(F.broadcast(per.agg((F.sum("d") / 2).alias("m"))))  # one row
     return per.agg(F.coalesce(F.sum(F.col("l") / F.col("m") - resolution * (F.col("d") / (2 * F.col("m"))) * (F.col("d") / (2 * F.col("m")))), F.lit(0.0)).alias("modularity"))
 
 
@@ -234,7 +236,7 @@ def louvain(nodes: DataFrame, wedges: DataFrame, resolution: float = 1.0) -> Dat
     """(id, cluster_id) by Louvain; isolated nodes are clusters of their own. Cluster ids follow their smallest members.
 
     Communities never cross weak components and each component uses the whole graph's weight, so components are solved apart. A component of
-    more than LARGEST edges is not given to one task: labels spread over it in a fixed number of weighted rounds.
+    more than LARGEST edges is not given to one task: its local moves are joins, until what they merge it to is small enough (:func:`merge_by_moves`).
     """
     kind = nodes.schema["id"].dataType.simpleString()
     edges = wedges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -253,19 +255,69 @@ def louvain(nodes: DataFrame, wedges: DataFrame, resolution: float = 1.0) -> Dat
 
     leaders = tagged.join(large, "component", "left_anti").groupBy("component").applyInPandas(solve, f"id {kind}, leader {kind}")
     if large.count():
-        leaders = leaders.unionByName(spread_labels(tagged.join(large, "component", "left_semi").select("a", "b", "weight")))
+        leaders = leaders.unionByName(merge_by_moves(tagged.join(large, "component", "left_semi").select("a", "b", "weight"), two_m, resolution))
     return number_clusters(nodes, leaders)
 
 
-def spread_labels(wedges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, leader): each node takes the label with the most weight around it, its own included; smaller labels win ties."""
-    both = materialize(wedges.select("a", "b", "weight").unionByName(wedges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "both")
-    label = materialize(both.select(F.col("a").alias("id")).distinct().withColumn("leader", F.col("id")), "labels")
-    for _ in range(rounds):
-        votes = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a", "leader").agg(F.sum("weight").alias("w"))
-        top = votes.groupBy("a").agg(F.max("w").alias("most"))
-        label = materialize(votes.join(top, "a").where("w >= most").groupBy(F.col("a").alias("id")).agg(F.min("leader").alias("leader")), "labels")
-    return label
+def merge_by_moves(wedges: DataFrame, two_m: float, resolution: float = 1.0, small: int | None = None) -> DataFrame:
+    """(id, leader) by Louvain whose local moves are joins: for large components.
+
+    In a round those nodes whose turn it is, half of them by a hash of id and round, move to the neighbouring community of the largest gain; a round that does not raise the
+    modularity is dropped, and two such rounds end the level. Communities then become nodes. When the merged graph has ``small`` edges or fewer, the moves are made
+    in one task; if a level merges nothing, that is the result.
+    """
+    small = LARGEST if small is None else small
+    kind = wedges.schema["a"].dataType.simpleString()
+    graph = materialize(wedges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight")), "level")
+    ends = graph.select(F.col("a").alias("id")).unionByName(graph.select(F.col("b").alias("id"))).distinct()
+    owner = materialize(ends.select("id", F.col("id").alias("leader")), "owner")
+
+    def quality(label: DataFrame) -> float:
+        side = lambda x: label.select(F.col("id").alias(x), F.col("c").alias(f"{x}_c"))
+        inner = graph.join(side("a"), "a").join(side("b"), "b").where("a_c = b_c").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+        spread = label.groupBy("c").agg((F.sum("degree") / two_m).alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+        return 2 * inner / two_m - resolution * spread
+
+    while graph.count() > small:
+        both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))  # a self loop counts twice in its degree
+        label = materialize(both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("degree")).select("id", F.col("id").alias("c"), "degree"), "labels")
+        first = best = quality(label)
+        failed = turn = 0
+        while failed < 2:
+            turn += 1
+            total = label.groupBy("c").agg(F.sum("degree").alias("total"))
+            near = both.where("a != b").join(label.select(F.col("id").alias("b"), F.col("c").alias("to")), "b").groupBy(F.col("a").alias("id"), "to").agg(F.sum("weight").alias("w"))
+            own = label.select("id", F.col("c").alias("to"), F.lit(0.0).alias("w"))  # a node may always stay
+            options = near.unionByName(own).groupBy("id", "to").agg(F.sum("w").alias("w")).join(label, "id").join(total.withColumnRenamed("c", "to"), "to")
+            gain = F.col("w") - resolution * (F.col("total") - F.when(F.col("to") == F.col("c"), F.col("degree")).otherwise(0.0)) * F.col("degree") / two_m
+            top = options.groupBy("id").agg(F.max(F.struct(F.round(gain, 12).alias("gain"), (F.col("to") == F.col("c")).alias("stays"), "to")).alias("top"))
+            moves = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+            new = materialize(label.join(top, "id").select("id", F.when(moves, F.col("top.to")).otherwise(F.col("c")).alias("c"), "degree"), "labels")
+            now = quality(new)
+            if now > best + 1e-9:
+                label, best, failed = new, now, 0
+            else:
+                failed += 1
+        if best <= first + 1e-9:
+            return owner
+        # A community is named by its smallest member.
+        least = label.groupBy("c").agg(F.min("id").alias("name"))
+        named = materialize(label.join(least, "c").select(F.col("id").alias("leader"), "name"), "named")
+        owner = materialize(owner.join(named, "leader").select("id", F.col("name").alias("leader")), "owner")
+        side = lambda x: named.select(F.col("leader").alias(x), F.col("name").alias(f"{x}_n"))
+        merged = graph.join(side("a"), "a").join(side("b"), "b")
+        graph = materialize(merged.groupBy(F.least("a_n", "b_n").alias("a"), F.greatest("a_n", "b_n").alias("b")).agg(F.sum("weight").alias("weight")), "level")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(set(pdf.a) | set(pdf.b))
+        found = louvain_partition(ids, sorted(zip(pdf.a, pdf.b, pdf.weight)), two_m, resolution)
+        leaders: dict[int, object] = {}
+        for v in ids:
+            leaders.setdefault(found[v], v)
+        return pd.DataFrame({"leader": ids, "name": [leaders[found[v]] for v in ids]})
+
+    last = graph.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(solve, f"leader {kind}, name {kind}")
+    return owner.join(last, "leader").select("id", F.col("name").alias("leader"))
 
 
 def number_clusters(nodes: DataFrame, leaders: DataFrame) -> DataFrame:

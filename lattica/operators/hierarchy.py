@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.classify import boxed, field_annotations, last_part
 from ..sources.scratch import materialize
 
-#: Levels of superclasses that a walk follows; a cycle ends earlier.
-DEEPEST = 100
-
-
 def resolve_superclasses(classes: DataFrame) -> DataFrame:
     """(id, parent): a dotted superclass as it is; else the class of that name in the same package; else the first class by node_seq with that last part."""
     want = classes.where("superclass IS NOT NULL").select("id", "package", "superclass")
@@ -21,22 +17,21 @@ def resolve_superclasses(classes: DataFrame) -> DataFrame:
     return found.select("id", F.when(F.instr("superclass", ".") > 0, F.col("superclass")).otherwise(F.coalesce("near", "far")).alias("parent")).where("parent IS NOT NULL")
 
 
-def ancestors(parents: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """(id, ancestor, depth), nearest first from depth 1. A class that comes up again ends its walk.
 
-    One join a level, all classes at once; the levels' paths carry the cycle guard.
+    One join a level, all classes at once, to the deepest; the levels' paths carry the cycle guard.
     """
     step = materialize(parents.select("id", F.col("parent").alias("ancestor"), F.array("id", "parent").alias("path")).where("id <> parent"), "level")
     out, depth = step.select("id", "ancestor", F.lit(1).alias("depth")), 1
     up = parents.select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
-    while depth < deepest:
+    while True:
         step = step.join(up, "ancestor").where(~F.array_contains("path", F.col("next"))).select("id", F.col("next").alias("ancestor"), F.concat("path", F.array("next")).alias("path"))
         step = materialize(step, "level")
         if step.isEmpty():
             return out
         depth += 1
         out = out.unionByName(step.select("id", "ancestor", F.lit(depth).alias("depth")))
-    return out
 
 
 def all_fields(classes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.classify import class_text
 from ..functions.extract import endpoints
 from ..graph import CodeGraph
 from ..operators import algorithms, clusters, vectors, weights
+from ..operators.merge import sequential_ids
 from ..sources import incremental, java
 from ..sources.scratch import materialize
 from . import report as reports
@@ -43,11 +44,11 @@ class Analyzer:
         sources = java.scan(self.spark, self.root, self.config.ignore_paths)
         hashes = materialize(sources.select("file_path", "content_hash"), "hashes")
         stored = self.snapshots.load() if self.snapshots else None
-        if stored is None:
+        if stored is None or not {"parsed_files", "classes"} <= stored.keys():  # or only a stream's table
             parsed = materialize(java.classes(sources), "classes")
             self.parsed_files = hashes.count()
         else:
-            state = materialize(incremental.changes(stored["files"], hashes), "changes")
+            state = materialize(incremental.changes(stored["parsed_files"], hashes), "changes")
             fresh = sources.join(state.where("state IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
             kept = stored["classes"].join(state.where("state = 'unchanged'").select("file_path"), "file_path", "left_semi")
             parsed = materialize(kept.unionByName(java.classes(fresh)), "classes")
@@ -55,7 +56,7 @@ class Analyzer:
         self.classes = parsed
         self.graph = CodeGraph(*[materialize(t, "graph") for t in java.graph_tables(parsed)])
         if self.snapshots:
-            self.snapshots.save({"files": hashes, "classes": parsed, "nodes": self.graph.nodes, "edges": self.graph.edges}, file_count=hashes.count())
+            self.snapshots.save({"parsed_files": hashes, "classes": parsed, "nodes": self.graph.nodes, "edges": self.graph.edges}, file_count=hashes.count())
         return self.graph
 
     def _members(self) -> DataFrame:
@@ -66,7 +67,8 @@ class Analyzer:
         """Communities of the hybrid weights."""
         nodes = self._members()
         # Placeholders come after all parsed nodes, by name.
-        order = materialize(nodes.select("id", F.coalesce("node_seq", F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)) + (1 << 50)).alias("node_seq"), "type"), "order")
+        unseen = sequential_ids(nodes.where("node_seq IS NULL").select("id", "type"), ["id"], "node_seq", 1 << 50)
+        order = materialize(nodes.where("node_seq IS NOT NULL").select("id", "node_seq", "type").unionByName(unseen.select("id", F.col("node_seq").cast("long").alias("node_seq"), "type")), "order")
         c = self.classes.where("parsed")
         text = class_text(F.col("fully_qualified_name"), F.col("is_interface"), F.col("is_abstract"), F.col("annotations"), F.col("methods"), F.col("fields"))
         vecs = vectors.embed(c.select(F.col("fully_qualified_name").alias("id"), text.alias("text")).dropDuplicates(["id"]), encoder)

@@ -72,7 +72,7 @@ ORACLE: dict[str, str] = {
     "edge_merge": f"WITH {EDGES} SELECT src, dst, type, weight, types FROM edges WHERE kind = 'lineitem'",
     "node_classify": """
 WITH x AS (SELECT 'part' AS of, p_partkey AS k, p_type AS mark, split_part(p_name, ' ', -1) AS name FROM part
-           UNION ALL SELECT 'event', event_id, event_type || 'Service', event_type FROM events WHERE event_id % 2 = 0)
+           UNION ALL SELECT 'event', event_id, event_type || 'Service', event_type FROM events)
 SELECT of, k, CASE WHEN contains(lower(mark), 'controller') THEN 'Controller' WHEN contains(lower(mark), 'service') THEN 'Service' WHEN regexp_matches(lower(mark), 'entity|table') THEN 'Entity'
   WHEN regexp_matches(lower(mark), 'repository|dao') THEN 'Repository' WHEN regexp_matches(lower(name), 'service$') THEN 'Service' WHEN regexp_matches(lower(name), 'controller$') THEN 'Controller'
   WHEN regexp_matches(lower(name), '(entity|model)$') THEN 'Entity' WHEN regexp_matches(lower(name), 'utils?$') THEN 'Utility' ELSE 'Unknown' END AS type,
@@ -166,6 +166,14 @@ WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.
     "top_k_similar": """
 WITH m AS (SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank, id, round(s, 4) AS similarity FROM m QUALIFY rank <= 10""",
+    "vector_similarity": """
+WITH p(a, b) AS (VALUES (3, 7), (7, 3), (12, 40), (5, 5), (1, -1))
+SELECT p.a::BIGINT AS a, p.b::BIGINT AS b, CASE WHEN p.a = p.b THEN 0.0 ELSE coalesce(round(list_cosine_similarity(u.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4), 0.0) END::DOUBLE AS similarity
+FROM p LEFT JOIN embeddings u ON u.vec_id = p.a LEFT JOIN embeddings v ON v.vec_id = p.b""",
+    "fixed_files": """
+SELECT doc_id AS id, 0::BIGINT AS pos, 'src/' || doc_id || '.java' AS file, '// ' || source AS body FROM documents
+UNION ALL SELECT doc_id, 1, doc_id || '.yml', 'lang: ' || lang FROM documents""",
+    "annotation_values": "SELECT p_partkey, p_name AS value FROM part",
     "embed_texts": "SELECT doc_id::VARCHAR AS id, md5(text) AS file_hash, CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 384 END::BIGINT AS dimensions FROM documents",
     "resolve_superclass": f"WITH {FAMILY} SELECT id, parent FROM parents",
     "inherited_closure": f"WITH {FAMILY} SELECT id, ancestor, depth FROM chain",

@@ -64,7 +64,7 @@ def edge_merge(t):
 def node_classify(t):
     """P1, P4 on part names and event types."""
     p = t.part.select(F.col("p_partkey").alias("k"), F.array("p_type").alias("marks"), F.element_at(F.split("p_name", " "), -1).alias("name"))
-    e = t.events.select(F.col("event_id").alias("k"), F.array(F.concat("event_type", F.lit("Service"))).alias("marks"), F.col("event_type").alias("name")).where("k % 2 = 0")
+    e = t.events.select(F.col("event_id").alias("k"), F.array(F.concat("event_type", F.lit("Service"))).alias("marks"), F.col("event_type").alias("name"))
     both = p.withColumn("of", F.lit("part")).unionByName(e.withColumn("of", F.lit("event")))
     return both.select("of", "k", classify.node_type(F.col("marks"), F.col("name")).alias("type"), classify.class_type(F.array(F.initcap("name")), F.col("k") % 3 == 0).alias("class_type"))
 
@@ -352,6 +352,30 @@ def top_k_similar(t):
     return vectors.find_similar(v, v.where("id % 20 = 0"), 10).select("query", F.col("rank").cast("long").alias("rank"), "id", F.round("similarity", 4).alias("similarity"))
 
 
+@query
+def vector_similarity(t):
+    """V3: two given vectors, one of them with itself, and one that is missing."""
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    pairs = [(3, 7), (7, 3), (12, 40), (5, 5), (1, -1)]
+    out = [vectors.similarity(v, a, b).select(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.round("similarity", 4).alias("similarity")) for a, b in pairs]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+@query
+def fixed_files(t):
+    """Replies with two files, one of a language and one without."""
+    first = F.format_string("Here:\n### FIXED: src/%s.java\n```java\n  // %s\n```\n", F.col("doc_id").cast("string"), F.col("source"))
+    second = F.format_string("### FIXED: %s.yml\n```\nlang: %s\n```", F.col("doc_id").cast("string"), F.col("lang"))
+    return extract.fixed_files(t.documents.select(F.col("doc_id").alias("id"), F.concat(first, second).alias("content"))).select("id", F.col("pos").cast("long").alias("pos"), "file", "body")
+
+
+@query
+def annotation_values(t):
+    """Values in quotes, half quoted and plain."""
+    quoted = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('"'), "p_name", F.lit('"'))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('"'), "p_name")).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", extract.annotation_value(quoted).alias("value"))
+
+
 @query
 def embed_texts(t):
     """V1, V2: vectors of changed texts only; checked are the ids that were encoded and their dimension."""

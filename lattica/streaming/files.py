@@ -22,7 +22,7 @@ def watch(spark: SparkSession, root: str, suffix: str = "*.java") -> DataFrame:
 def fold_changes(stream: DataFrame, snapshots: incremental.Snapshots, checkpoint: str, on_change: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Upserts each batch's hashes into the snapshot's table ``files``; on_change gets the new and changed files of the batch.
 
-    A batch that is run again after a failure finds its files unchanged, so the fold is idempotent.
+    A batch that is run again after a failure finds its files unchanged, so the fold is idempotent. The snapshot's other tables stay: what an analysis has parsed is in its own.
     """
 
     def batch(df: DataFrame, _: int) -> None:
@@ -35,7 +35,7 @@ def fold_changes(stream: DataFrame, snapshots: incremental.Snapshots, checkpoint
             changed = incremental.changes(stored, hashes).where("state IN ('new', 'changed')").select("file_path")
             if on_change:
                 on_change(latest.join(changed, "file_path", "left_semi"))
-            snapshots.save({"files": incremental.upsert(stored, hashes)}, file_count=None)
+            snapshots.save({"files": incremental.upsert(stored, hashes)}, keep=True)
         finally:
             latest.unpersist()
 

@@ -107,6 +107,32 @@ def test_communities(spark, two_triangles, monkeypatch):
     assert sum(map(len, spread)) == 7
 
 
+def test_louvain_of_a_large_component_by_moves(spark):
+    rng = random.Random(5)
+    rows = {(min(a, b), max(a, b)) for g in range(6) for a in range(g * 12, g * 12 + 12) for b in range(g * 12, a) if rng.random() < 0.7}
+    rows |= {(g * 12, (g + 1) % 6 * 12 + 1) for g in range(6)}
+    w = spark.createDataFrame([(min(a, b), max(a, b), 1.0) for a, b in rows], "a long, b long, weight double")
+    nodes = spark.range(72).select("id")
+    best = al.modularity(w, al.louvain(nodes, w)).first()[0]
+    for small in (0, 20):
+        moved = al.merge_by_moves(w, 2.0 * len(rows), small=small)
+        found = al.number_clusters(nodes, moved)
+        assert found.count() == 72 and al.modularity(w, found).first()[0] >= 0.9 * best > 0.5
+
+
+def test_hierarchies_are_walked_to_the_end(spark):
+    from lattica.operators import hierarchy
+
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(16)], "id string, parent string")
+    assert hierarchy.ancestors(chain).where("id = 'c0'").agg(F.max("depth")).first()[0] == 16
+
+
+def test_unsettled_strong_components_raise(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, 3), (2, 3)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        al._colouring(edges, "bigint", rounds=1)
+
+
 def test_report_by_hand(spark):
     nodes = spark.createDataFrame([(0, "p.OwnerEntity", "Entity", 3, "p", "OwnerEntity"), (1, "p.B", "Service", 2, "p", "B"), (2, "q.C", "Unknown", 1, "q", "C"), (3, "q.D", "Service", 0, "q", "D")], "node_seq long, id string, type string, complexity_score int, package string, simple_name string")
     edges = spark.createDataFrame([("p.OwnerEntity", "p.B"), ("p.B", "p.OwnerEntity"), ("p.B", "q.C")], "src string, dst string").withColumn("type", F.lit("CALLS")).withColumn("weight", F.lit(5.0)).withColumn("method_name", F.lit(None).cast("string"))

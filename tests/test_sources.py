@@ -143,6 +143,26 @@ def test_stream(spark, tree, tmp_path):
     assert go() and sum(seen) == 8 and snaps.load()["files"].count() == 8
 
 
+def test_stream_and_analysis_share_a_snapshot(spark, tree, tmp_path):
+    from lattica.plans.analysis import Analyzer
+
+    cache = tmp_path / "cache"
+    a = Analyzer(spark, str(tree), cache=str(cache))
+    a.analyze()
+    (tree / "owner/Later.java").write_text("class Later { }")
+    snaps = a.snapshots
+    assert fold_changes(watch(spark, str(tree)), snaps, str(tmp_path / "cp2")).awaitTermination(60)
+    assert {"files", "classes", "parsed_files"} <= snaps.load().keys() and snaps.info()["files"] > 0
+    again = Analyzer(spark, str(tree), cache=str(cache))
+    again.analyze()
+    assert again.parsed_files == 1  # what the stream has seen is still parsed
+    remote = incremental.Snapshots(spark, f"file://{tmp_path}/remote")
+    remote.save({"files": spark.range(3)})
+    assert remote.load()["files"].count() == 3
+    remote.invalidate()
+    assert remote.load() is None
+
+
 def test_config(tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "lattica.json").write_text(json.dumps({"project": {"name": "p", "java_version": 11}, "analysis": {"constraints": [{"group": "g", "classes": ["a*"]}], "clustering": {"resolution": 2.0}}, "llm": {"model": "gpt-4"}}))
