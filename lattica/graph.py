@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .operators import algorithms, merge
 
 NODES = "node_seq long, id string, type string, complexity_score int, file_path string, package string, simple_name string, is_interface boolean, is_abstract boolean, annotations array<string>, method_count int, field_count int, superclass string, fields array<struct<type:string,name:string>>"
-EDGES = "src string, dst string, type string, weight double, types array<string>, method_name string"
+EDGES = "src string, dst string, type string, weight double, types array<string>, method_name string, seq long"
 
 
 class CodeGraph:
@@ -35,7 +35,7 @@ class CodeGraph:
     @classmethod
     def from_json(cls, spark: SparkSession, path: str) -> CodeGraph:
         """From a document {nodes: [{id, ..}], edges: [{source, target, ..}]}."""
-        schema = f"nodes array<struct<{_struct(NODES)}>>, edges array<struct<source:string,target:string,type:string,weight:double,types:array<string>,method_name:string>>"
+        schema = f"nodes array<struct<{_struct(NODES)}>>, edges array<struct<source:string,target:string,type:string,weight:double,types:array<string>,method_name:string,seq:bigint>>"
         doc = spark.read.schema(schema).option("multiLine", "true").json(path)
         nodes = doc.select(F.posexplode("nodes").alias("p", "n")).select(F.coalesce("n.node_seq", F.col("p").cast("long")).alias("node_seq"), *[F.col(f"n.{f.split(':')[0]}") for f in _names(NODES) if f != "node_seq"])
         edges = doc.select(F.inline("edges")).withColumnsRenamed({"source": "src", "target": "dst"})

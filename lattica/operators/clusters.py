@@ -95,16 +95,17 @@ def dedup_names(rows: DataFrame, base: str, seq: str, name: str = "name") -> Dat
 
 
 def boundary_edges(edges: DataFrame, assignment: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Edges between clusters, with services' names (cluster_id, name) or else service-<id>."""
+    """Edges between clusters, with services' names (cluster_id, name) or else service-<id>; seq, the place of an edge, is kept if there."""
     cross = with_clusters(edges, assignment).where("src_cluster <> dst_cluster")
     fallback = lambda side: F.concat(F.lit("service-"), F.col(f"{side}_cluster").cast("string"))
+    order = ["seq"] if "seq" in edges.columns else []
     if names is not None:
         for side in ("src", "dst"):
             cross = cross.join(names.select(F.col("cluster_id").alias(f"{side}_cluster"), F.col("name").alias(f"{side}_name")), f"{side}_cluster", "left")
     named = lambda side: F.coalesce(f"{side}_name", fallback(side)) if names is not None else fallback(side)
     return cross.select(
         named("src").alias("from_service"), named("dst").alias("to_service"), F.col("src").alias("from_class"), F.col("dst").alias("to_class"),
-        F.col("method_name").alias("method"), F.col("type").alias("edge_type"), "weight",
+        F.col("method_name").alias("method"), F.col("type").alias("edge_type"), "weight", *order,
     )
 
 
@@ -149,6 +150,14 @@ def pair_priority(boundary: DataFrame) -> DataFrame:
     return pairs.withColumn("priority", F.when(F.col("calls") > 3, "HIGH").otherwise("MEDIUM"))
 
 
+def first_calls(boundary: DataFrame) -> DataFrame:
+    """(from_service, to_service, from_class, to_class, method, calls, priority): each pair's first boundary edge, by seq where there is one; its type stands for a method that is not named."""
+    place = F.struct(*(["seq"] if "seq" in boundary.columns else []), "from_class", "to_class")
+    first = F.min_by(F.struct("from_class", "to_class", F.coalesce("method", "edge_type").alias("method")), place)
+    pairs = boundary.groupBy("from_service", "to_service").agg(first.alias("f"), F.count("*").alias("calls"))
+    return pairs.select("from_service", "to_service", "f.*", "calls", F.when(F.col("calls") > 3, "HIGH").otherwise("MEDIUM").alias("priority"))
+
+
 def called_methods(boundary: DataFrame) -> DataFrame:
     """(to_service, methods): what is called of each service, nulls left out."""
     return boundary.groupBy("to_service").agg(F.array_sort(F.collect_list("method")).alias("methods"))
@@ -161,11 +170,29 @@ def package_groups(nodes: DataFrame) -> DataFrame:
 
 def package_proposal(nodes: DataFrame) -> DataFrame:
     """(id, cluster_id): one service for each package, numbered by its first node; the proposal made without a language model."""
-    firsts = nodes.groupBy("package").agg(F.min("node_seq").alias("s"))
-    numbered = firsts.withColumn("cluster_id", F.row_number().over(Window.orderBy("s")) - 1)  # a row for each package
+    from .merge import sequential_ids
+
+    numbered = sequential_ids(nodes.groupBy("package").agg(F.min("node_seq").alias("s")), ["s", "package"], "cluster_id")
     return nodes.join(numbered, nodes["package"].eqNullSafe(numbered["package"])).select("id", "cluster_id")
 
 
+#: Fixed value: the one service of a proposal that could not be read.
+FALLBACK_SERVICE = "monolith-service"
+
+
+def readable_proposal(nodes: DataFrame, services: DataFrame) -> DataFrame:
+    """services (service_index, name, classes array); if there are none, one service. Its classes come as blocks of rows, not as one list."""
+    if not services.isEmpty():
+        return services.select("service_index", "name", "classes")
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-nodes.count() // CLASSES))))
+    blocks = nodes.groupBy(block.alias("_b")).agg(F.collect_list("id").alias("classes"))
+    return blocks.select(F.lit(0).cast("long").alias("service_index"), F.lit(FALLBACK_SERVICE).alias("name"), "classes")
+
+
+#: Classes in a row of the fallback proposal, about.
+CLASSES = 10_000
+
+
 def proposal_assignment(nodes: DataFrame, services: DataFrame) -> DataFrame:
     """services (service_index, classes) -> (id, cluster_id): the last service that names a class has it; unnamed nodes get ids of their own."""
     named = services.select("service_index", F.explode("classes").alias("id")).groupBy("id").agg(F.max("service_index").cast("long").alias("cluster_id"))

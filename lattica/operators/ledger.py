@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,18 +38,26 @@ def cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
 def greedy_accept(calls: DataFrame, limit: float, group: str = "budget") -> DataFrame:
     """calls (budget, seq, estimate, cost) with accepted: in order of seq a call counts if neither its estimate nor its cost overflows what is left.
 
-    A refused call costs nothing and later ones may still fit, so this is a fold, not a running sum. A budget's calls are folded together as an
-    array: they are what one run of a service makes. accepted calls' running total is total.
+    A refused call costs nothing and later ones may still fit, so this is a fold, not a running sum: each budget's calls are streamed in order
+    past one number, whatever their count. A call without estimate or cost is refused. accepted calls' running total is total.
     """
-    start = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<struct<seq:bigint,accepted:boolean,total:double>>").alias("rows"))
-
-    def step(acc: Column, c: Column) -> Column:
-        ok = (acc["total"] + c["estimate"] <= limit) & (acc["total"] + c["cost"] <= limit)
-        total = F.when(ok, acc["total"] + c["cost"]).otherwise(acc["total"])
-        return F.struct(total.alias("total"), F.concat(acc["rows"], F.array(F.struct(c["seq"].alias("seq"), ok.alias("accepted"), total.alias("total")))).alias("rows"))
-
-    listed = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("estimate").cast("double").alias("estimate"), F.col("cost").cast("double").alias("cost"))))
-    return calls.groupBy(group).agg(F.aggregate(listed, start, step, lambda a: a["rows"]).alias("rows")).select(group, F.inline("rows"))
+    number = lambda c, kind: F.col(c).cast(kind).alias(c)
+    ordered = calls.select(group, number("seq", "long"), number("estimate", "double"), number("cost", "double")).repartition(group).sortWithinPartitions(group, "seq", "estimate", "cost")
+
+    def run(batches):
+        now, total = object(), 0.0
+        for b in batches:
+            accepted, totals = [], []
+            for budget, estimate, cost in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if budget != now:
+                    now, total = budget, 0.0
+                ok = estimate is not None and cost is not None and total + estimate <= limit and total + cost <= limit
+                total += cost if ok else 0.0
+                accepted.append(ok)
+                totals.append(total)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(accepted, pa.bool_()), pa.array(totals, pa.float64())], [group, "seq", "accepted", "total"])
+
+    return ordered.mapInArrow(run, f"`{group}` {calls.schema[group].dataType.simpleString()}, seq long, accepted boolean, total double")
 
 
 def running_accept(calls: DataFrame, limit: float, group: str = "budget") -> DataFrame:

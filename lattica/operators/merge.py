@@ -16,8 +16,8 @@ def type_weight(kind: Column) -> Column:
     return out
 
 
-def merge_edges(raw: DataFrame) -> DataFrame:
-    """raw (seq, src, dst, type, weight, method_name) -> one row for each (src, dst).
+def merge_edges(raw: DataFrame, place: bool = False) -> DataFrame:
+    """raw (seq, src, dst, type, weight, method_name) -> one row for each (src, dst); with place also seq, that of the first raw edge.
 
     Weights add up; types holds each type once in the order of its first edge; type and method_name are those of the first edge by seq.
     Types are reduced to their first seq before a pair's list is built, so a pair with any number of raw edges keeps a short list.
@@ -31,6 +31,7 @@ def merge_edges(raw: DataFrame) -> DataFrame:
         F.sum("w").alias("weight"),
         F.transform(typed, lambda x: x["type"]).alias("types"),
         F.min_by("m", "seq")["method_name"].alias("method_name"),
+        *([F.min("seq").alias("seq")] if place else []),
     )
 
 

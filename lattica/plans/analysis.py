@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,11 @@ from ..config import Config
 from ..functions.classify import class_text
 from ..functions.extract import endpoints
 from ..graph import CodeGraph
-from ..operators import algorithms, clusters, vectors, weights
+from ..operators import algorithms, clusters, hierarchy, vectors, weights
 from ..operators.merge import sequential_ids
 from ..sources import incremental, java
 from ..sources.scratch import materialize
+from . import openapi, specs
 from . import report as reports
 
 
@@ -95,15 +97,50 @@ class Analyzer:
         c = self.classes.where("parsed").where(F.size("mapped") > 0)
         return endpoints(c.select(F.col("fully_qualified_name").alias("id"), F.col("base_path").alias("base"), F.col("mapped").alias("methods")))
 
+    def _typed(self) -> DataFrame:
+        """The class records that the graph's nodes come from, with their types and order."""
+        records = self.classes.where("parsed").select(F.col("fully_qualified_name").alias("id"), "file_path", F.col("package_name").alias("package"), "simple_name", "superclass", "fields", "jpa_relationships")
+        return records.join(self.graph.nodes.select("id", "file_path", "node_seq", "type"), ["id", "file_path"])
+
+    def specs(self) -> DataFrame:
+        """The components of every service's specification, with the sources as they are now."""
+        p = self.current or self.plan()
+        sources = java.scan(self.spark, self.root, self.config.ignore_paths).select("file_path", "source")
+        return specs.components(self._typed().join(sources, "file_path", "left"), p.boundary, p.assignment, p.report.select("cluster_id", "name"))
+
     def write(self, folder: str) -> None:
-        """plan.json, plan.md, guide.md, and a diagram for each cluster."""
+        """plan.json, plan.md, guide.md, and for each service openapi.yaml, spec.json and diagrams/api-flow.puml; files of services that the last plan here had and this one hasn't go."""
         p, out = self.current or self.plan(), Path(folder)
+        names = {r["cluster_id"]: r["name"] for r in p.report.select("cluster_id", "name").toLocalIterator()}
+        _remove_renamed(out / "services", set(names.values()))
         reports.write_plan(out / "plan.json", self.config.name, p.report, p.boundary, p.assignment.count())
         reports.write_lines(out / "plan.md", reports.markdown_lines(self.config.name, self.graph.nodes, self.graph.edges, p.assignment, p.report, p.boundary))
-        rows = [r.asDict() for r in p.report.select("cluster_id", "name", "class_count", "external_coupling", "entities", "entry_points").toLocalIterator()]
-        reports.write_lines(out / "guide.md", reports.guide_lines(rows, p.boundary, self.endpoints()))
+        typed, points = materialize(self._typed(), "typed"), materialize(self.endpoints(), "endpoints")
+        reports.write_lines(out / "guide.md", reports.guide_lines(self.config.name, p.report, p.boundary, reports.guide_rows(self.graph.nodes, p.assignment, points, hierarchy.schemas(typed))))
         for r in reports.diagrams(self.graph.nodes, self.graph.edges, p.assignment, p.report).toLocalIterator():
-            reports.write_lines(out / "services" / r["name"] / "flow.puml", iter([r["diagram"]]))
+            reports.write_lines(out / "services" / r["name"] / "diagrams" / "api-flow.puml", iter([r["diagram"]]))
+        parts = openapi.document_parts(points, openapi.entity_schemas(typed), p.assignment, typed.select("id", F.col("node_seq").alias("seq")))
+        wanted = self.spark.createDataFrame([(c,) for c in names], "cluster_id long").join(parts, "cluster_id", "left").orderBy("cluster_id", "part", "key")
+        for c, rows in groupby(wanted.toLocalIterator(), lambda r: r["cluster_id"]):
+            told = ((r["part"], r["key"], r["value"]) for r in rows if r["part"] is not None)
+            reports.write_lines(out / "services" / names[c] / "openapi.yaml", openapi.document_lines(names[c], told))
+        for c, rows in groupby(specs.in_order(self.specs()).toLocalIterator(), lambda r: r["cluster_id"]):
+            head = next(rows)["doc"]
+            reports.write_lines(out / "services" / names[c] / "spec.json", specs.lines(head, ((r["part"], r["doc"]) for r in rows)))
+
+
+#: What write() puts into a service's folder.
+SERVICE_FILES = ["openapi.yaml", "spec.json", "diagrams/api-flow.puml"]
+
+
+def _remove_renamed(services: Path, names: set[str]) -> None:
+    """Takes away what write() put into folders of services that are no more; other files and their folders stay."""
+    for old in [f for f in services.glob("*") if f.is_dir() and f.name not in names]:
+        for name in SERVICE_FILES:
+            (old / name).unlink(missing_ok=True)
+        for folder in (old / "diagrams", old):
+            if folder.is_dir() and not any(folder.iterdir()):
+                folder.rmdir()
 
 
 def run(spark: SparkSession, root: str, out: str, config: Config | None = None, checkpoints: str | None = None) -> dict:

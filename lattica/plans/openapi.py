@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ def _ref(name: Column) -> Column:
     return F.concat(F.lit("#/components/schemas/"), name)
 
 
+def quoted(text: Column) -> Column:
+    """The text as a JSON string."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+
+
 def operations(points: DataFrame) -> DataFrame:
     """(id, path, http_method, operation) of endpoints whose parameters have type, name, annotations: operation is its JSON text.
 
@@ -32,25 +38,55 @@ def operations(points: DataFrame) -> DataFrame:
     void, many = F.lower(returns).isin("void", "none"), F.lower(returns).rlike("list|collection")
     schema = F.when(void, F.lit("{}")).when(many, F.to_json(F.struct(F.lit("array").alias("type"), F.struct(_ref(item).alias("$ref")).alias("items")))).otherwise(F.to_json(F.struct(_ref(last_part(returns)).alias("$ref"))))
     body = F.when(body_type.isNotNull(), F.concat(F.lit(',"requestBody":{"required":true,"content":{"application/json":{"schema":'), F.to_json(F.struct(_ref(body_type).alias("$ref"))), F.lit("}}}")))
-    text = F.concat(F.lit('{"operationId":"'), F.col("name"), F.lit('","parameters":'), F.to_json(params), F.coalesce(body, F.lit("")), F.lit(',"responses":{"200":{"description":"OK","content":{"application/json":{"schema":'), schema, F.lit("}}}}}"))
+    text = F.concat(F.lit('{"operationId":'), quoted(F.col("name")), F.lit(',"parameters":'), F.to_json(params), F.coalesce(body, F.lit("")), F.lit(',"responses":{"200":{"description":"OK","content":{"application/json":{"schema":'), schema, F.lit("}}}}}"))
     return points.select("id", "path", "http_method", text.alias("operation"))
 
 
-def paths(ops: DataFrame, order: DataFrame) -> DataFrame:
-    """(path, verbs): JSON of each path's operations; of a path that two controllers have, the later one's (order: id, seq) counts whole."""
-    ranked = ops.join(order.select("id", "seq"), "id")
-    kept = ranked.join(ranked.groupBy("path").agg(F.max("seq").alias("seq")), ["path", "seq"])
-    one = kept.groupBy("path", "http_method").agg(F.min("operation").alias("operation"))
-    entry = F.concat(F.lit('"'), F.col("http_method"), F.lit('":'), F.col("operation"))
-    return one.groupBy("path").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("verbs"))
+def paths(ops: DataFrame, order: DataFrame, *by: str) -> DataFrame:
+    """(path, verbs): JSON of each path's operations; of a path that two controllers have, the later one's (order: id, seq) counts whole. With ``by`` (columns of order) for each of its values."""
+    keys = [*by, "path"]
+    ranked = ops.join(order.select("id", "seq", *by), "id")
+    kept = ranked.join(ranked.groupBy(*keys).agg(F.max("seq").alias("seq")), [*keys, "seq"])
+    one = kept.groupBy(*keys, "http_method").agg(F.min("operation").alias("operation"))
+    entry = F.concat(quoted(F.col("http_method")), F.lit(":"), F.col("operation"))
+    return one.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("verbs"))
 
 
-def schema_rows(classes: DataFrame) -> DataFrame:
-    """(name, schema): JSON of each entity."""
+def entity_schemas(classes: DataFrame) -> DataFrame:
+    """(id, name, schema): JSON of each entity."""
     rows = schemas(classes).join(classes.select("id", F.col("simple_name").alias("entity")), "id")
-    prop = F.struct("pos", F.concat(F.lit('"'), F.col("name"), F.lit('":{"type":"'), F.col("api_type"), F.lit('"}')).alias("t"))
+    prop = F.struct("pos", F.concat(quoted(F.col("name")), F.lit(':{"type":'), quoted(F.col("api_type")), F.lit("}")).alias("t"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(prop)), lambda p: p["t"]), ",")
-    return rows.groupBy("id", "entity").agg(F.concat(F.lit('{"type":"object","properties":{'), body, F.lit("}}")).alias("schema")).select(F.col("entity").alias("name"), "schema")
+    return rows.groupBy("id", "entity").agg(F.concat(F.lit('{"type":"object","properties":{'), body, F.lit("}}")).alias("schema")).select("id", F.col("entity").alias("name"), "schema")
+
+
+def schema_rows(classes: DataFrame) -> DataFrame:
+    """(name, schema): JSON of each entity."""
+    return entity_schemas(classes).select("name", "schema")
+
+
+def document_parts(points: DataFrame, entities: DataFrame, assignment: DataFrame, order: DataFrame) -> DataFrame:
+    """(cluster_id, part, key, value): the paths and schemas of each service's document, a row for each, so that no service is gathered.
+
+    points as operations takes them, entities (id, name, schema), order (id, seq) of controllers. Of entities with one name in a service the first by id counts.
+    """
+    placed = order.join(assignment.select("id", "cluster_id"), "id")
+    found = paths(operations(points), placed, "cluster_id").select("cluster_id", F.lit("paths").alias("part"), F.col("path").alias("key"), F.col("verbs").alias("value"))
+    named = entities.join(assignment.select("id", "cluster_id"), "id").groupBy("cluster_id", "name").agg(F.min_by("schema", "id").alias("value"))
+    return found.unionByName(named.select("cluster_id", F.lit("schemas").alias("part"), F.col("name").alias("key"), "value"))
+
+
+def document_lines(title: str, parts: Iterable[tuple[str, str, str]]) -> Iterator[str]:
+    """The document of one service, line by line, of its (part, key, value) in order: JSON, which is YAML as well."""
+    yield '{"openapi": "3.0.0", "info": ' + json.dumps({"title": title, "version": "1.0.0"}) + ', "paths": {'
+    open_part, comma = "paths", ""
+    for part, key, value in parts:
+        if part != open_part:
+            open_part, comma = part, ""
+            yield '}, "components": {"schemas": {'
+        yield f"{comma}{json.dumps(key)}: {value}"
+        comma = ","
+    yield "}}}" if open_part == "schemas" else '}, "components": {"schemas": {}}}'
 
 
 def document(title: str, path_rows: DataFrame, schemas_: DataFrame) -> str:

@@ -120,6 +120,12 @@ UNION ALL SELECT 2, 'Extract service-' || c || ' second', round(coupling, 6)::DO
 UNION ALL SELECT 3, 'Create shared DTOs', NULL WHERE EXISTS (SELECT 1 FROM linked WHERE cs <> cd)""",
     "pair_priority": f"""WITH {CROSS} SELECT 'service-' || cs AS from_service, 'service-' || cd AS to_service, count(*) AS calls, min(src) AS first_class, CASE WHEN count(*) > 3 THEN 'HIGH' ELSE 'MEDIUM' END AS priority
 FROM linked WHERE cs <> cd GROUP BY cs, cd""",
+    "first_calls": f"""WITH {EDGES}, {CLUSTERS},
+firsts AS (SELECT kind, src, dst, min(s) AS s FROM by_type GROUP BY ALL),
+crossing AS (SELECT e.src, e.dst, e.type, f.s, a.c AS cs, b.c AS cd FROM edges e JOIN firsts f USING (kind, src, dst) JOIN assigned a ON a.id = e.src JOIN assigned b ON b.id = e.dst WHERE a.c <> b.c),
+counted AS (SELECT *, count(*) OVER (PARTITION BY cs, cd) AS calls, row_number() OVER (PARTITION BY cs, cd ORDER BY s, src, dst) AS i FROM crossing)
+SELECT 'service-' || cs AS from_service, 'service-' || cd AS to_service, src AS from_class, dst AS to_class, type AS method, calls, CASE WHEN calls > 3 THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM counted WHERE i = 1""",
+    "single_service": "SELECT 'customer:' || c_custkey AS id, 0::BIGINT AS cluster_id, 'monolith-service' AS name FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 0, 'monolith-service' FROM nation",
     "called_methods": "SELECT user_id::VARCHAR AS to_service, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (value > 50), '') AS methods FROM events GROUP BY user_id",
     "package_summary": "SELECT source AS package, lang AS type, count(*) AS n FROM documents GROUP BY source, lang",
     "package_proposal": "WITH f AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS cluster_id FROM documents GROUP BY source) SELECT doc_id::VARCHAR AS id, cluster_id FROM documents JOIN f USING (source)",
@@ -239,6 +245,25 @@ SELECT p_partkey AS id, '/x/' || p_size AS path, 'get' AS http_method, '{"operat
   CASE WHEN p_size > 25 THEN '[{"name":"id","in":"path","required":true,"schema":{"type":"integer"}},{"name":"q","in":"query","required":true,"schema":{"type":"string"}}],"requestBody":{"required":true,"content":{"application/json":{"schema":{"$ref":"#/components/schemas/Owner"}}}}' ELSE '[]' END ||
   ',"responses":{"200":{"description":"OK","content":{"application/json":{"schema":' || ['{}', '{"type":"array","items":{"$ref":"#/components/schemas/Pet"}}', '{"$ref":"#/components/schemas/Pet"}'][p_size % 3 + 1] || '}}}}}' AS operation FROM part""",
     "entity_schemas": """SELECT 'customer' || c_custkey AS name, '{"type":"object","properties":{"acctbal":{"type":"number"}}}' AS schema FROM customer""",
+    "openapi_documents": """
+WITH p AS (SELECT p_partkey % 3 AS c, '/"x"/' || p_size AS path, max(p_partkey) AS k FROM part GROUP BY ALL)
+SELECT c::BIGINT AS cluster_id, 'paths' AS part, path AS key, '{"get":{"operationId":"op\\"' || k || '","parameters":[],"responses":{"200":{"description":"OK","content":{"application/json":{"schema":{}}}}}}}' AS value FROM p
+UNION ALL SELECT r_regionkey % 3, 'schemas', 'region' || r_regionkey, '{"type":"object","properties":{"id":{"type":"integer"},"name":{"type":"string"}}}' FROM region
+UNION ALL SELECT n_nationkey % 3, 'schemas', 'nation' || n_nationkey, '{"type":"object","properties":{"name":{"type":"string"}}}' FROM nation""",
+    "spec_documents": """
+WITH names(c, name) AS (VALUES (0, 'shared-service'), (1, 'one-service'), (2, 'two-service')),
+e AS (SELECT c_custkey % 3 AS c, c_custkey AS k, c_nationkey AS n FROM customer)
+SELECT c::BIGINT AS cluster_id, 'head' AS part, name AS key, '{"name":"' || name || '","base_package":"region","spring_boot_version":"3.2.0","java_version":17,"maven_dependencies":["spring-boot-starter-web","spring-boot-starter-data-jpa","spring-boot-starter-validation","h2","flyway-core"],"depends_on_shared":'
+  || (c <> 0 AND (EXISTS (SELECT 1 FROM e WHERE e.c = names.c AND n % 3 = 0) OR EXISTS (SELECT 1 FROM nation WHERE n_nationkey % 3 = names.c AND n_regionkey % 3 = 0)))::VARCHAR || '}' AS doc FROM names
+UNION ALL SELECT c, 'entities', 'customer.customer' || k, '{"fqn":"customer.customer' || k || '","simple_name":"customer' || k || '","table_name":"customer' || k || 's","fields":[{"name":"acctbal","type":"double","annotations":[],"is_inherited":false},{"name":"name","type":"String","annotations":[],"is_inherited":false},'
+  || '{"name":"code","type":"int","annotations":[],"is_inherited":true},{"name":"id","type":"int","annotations":["@Id","@GeneratedValue(strategy = GenerationType.IDENTITY)"],"is_inherited":true}],'
+  || '"relationships":[{"type":"ManyToOne","target_entity":"Nation","field_name":"home","mapped_by":null,"cascade":null,"fetch":null}],"methods":[],"superclass":' || CASE WHEN n % 3 = c THEN 'null' ELSE '"nation.nation' || n || '"' END
+  || ',"source_code":"@ManyToOne private Nation home; //customer' || k || '"}' FROM e
+UNION ALL SELECT c, 'repositories', 'customer.customer' || k, '{"interface_name":"customer' || k || 'Repository","entity_fqn":"customer.customer' || k || '","entity_simple_name":"customer' || k || '","id_type":"Integer","custom_methods":[]}' FROM e
+UNION ALL SELECT n_nationkey % 3, 'services', 'nation.nation' || n_nationkey, '{"fqn":"nation.nation' || n_nationkey || '","simple_name":"nation' || n_nationkey || '","dependencies":[],"methods":[],"source_code":""}' FROM nation
+UNION ALL SELECT r_regionkey % 3, 'controllers', 'region.region' || r_regionkey, '{"fqn":"region.region' || r_regionkey || '","simple_name":"region' || r_regionkey || '","base_path":"/r","dependencies":[],"endpoints":[],"source_code":"@RequestMapping(\\"/r\\") class R"}' FROM region
+UNION ALL SELECT n_nationkey % 3, 'gateway_clients', t.name, '{"target_service":"' || t.name || '","methods_needed":[' || string_agg('"m' || n_nationkey || '"', ',' ORDER BY 'm' || n_nationkey) || ']}'
+  FROM nation JOIN names t ON t.c = n_regionkey % 3 WHERE n_nationkey % 3 <> n_regionkey % 3 GROUP BY n_nationkey % 3, t.name""",
     "component_specs": "SELECT n_regionkey::BIGINT AS cluster_id, count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",
     "shared_users": "SELECT DISTINCT (n_nationkey % 3)::BIGINT AS cluster_id FROM nation",
     "missing_components": """

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, extract
+from ..functions import classify, extract, tokens
 from ..graph import CodeGraph
 from ..operators import algorithms, clusters, hierarchy, ledger, merge, vectors, weights
 from ..sources import incremental
 from ..sources.relational import Tables, assignment, nodes, raw_edges
-from . import openapi, report
+from . import openapi, report, specs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -187,6 +187,13 @@ def pair_priority(t):
     return clusters.pair_priority(_boundary(t))
 
 
+@query
+def first_calls(t):
+    """A10, O2: the first edge, by its place, of every pair of services."""
+    edges = merge.merge_edges(raw_edges(t), place=True)
+    return clusters.first_calls(clusters.boundary_edges(edges, assignment(t)))
+
+
 @query
 def called_methods(t):
     """A11 on events: the kinds of events of each user, nulls left out."""
@@ -215,6 +222,15 @@ def proposal_assignment(t):
     return clusters.proposal_assignment(nodes(t, "nation"), a.unionByName(b))
 
 
+@query
+def single_service(t):
+    """A proposal that can't be read gives one service of all classes."""
+    n = nodes(t, "customer", "nation")
+    none = t.spark.createDataFrame([], "service_index long, name string, classes array<string>")
+    proposed = clusters.readable_proposal(n, none)
+    return clusters.proposal_assignment(n, proposed).join(F.broadcast(proposed.select(F.col("service_index").alias("cluster_id"), "name").distinct()), "cluster_id").select("id", "cluster_id", "name")
+
+
 @query
 def domain_split(t):
     """Orders of urgent kinds are the domain, the rest is excluded."""
@@ -629,6 +645,35 @@ def entity_schemas(t):
     return openapi.schema_rows(c)
 
 
+@query
+def openapi_documents(t):
+    """Paths and schemas of each service's document; parts are controllers, regions and nations entities."""
+    points = t.part.select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit('/"x"/'), F.col("p_size").cast("string")).alias("path"), F.lit("get").alias("http_method"), F.concat(F.lit('op"'), F.col("p_partkey").cast("string")).alias("name"), F.lit("void").alias("returns"), F.array().cast("array<struct<type:string,name:string,annotations:array<string>>>").alias("parameters"))
+    c = _family(t).where("package <> 'customer'").withColumn("type", F.lit("Entity")).withColumn("jpa_relationships", F.array(F.struct(F.lit("X").alias("target_class"), F.lit("ManyToOne").alias("relationship_type"), F.lit("code").alias("field_name"))))
+    key = F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 3
+    a = c.select("id", key.alias("cluster_id")).unionByName(points.select("id", key.alias("cluster_id")))
+    return openapi.document_parts(points, openapi.entity_schemas(c), a, t.part.select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("seq")))
+
+
+@query
+def spec_documents(t):
+    """Customers are entities that extend nations (services), which extend regions (controllers); clusters are key modulo 3, the shared one holds keys divisible by 3."""
+    source = F.when(F.col("package") == "region", '@RequestMapping("/r") class R').when(F.col("package") == "customer", F.concat(F.lit("@ManyToOne private Nation home; //"), "simple_name"))
+    c = _family(t).withColumn("type", F.element_at(F.create_map(*map(F.lit, ["customer", "Entity", "nation", "Service", "region", "Controller"])), F.col("package"))).withColumn("source", source)
+    a = c.select("id", (F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 3).alias("cluster_id"))
+    names = t.spark.sql("SELECT * FROM VALUES (0L, 'shared-service'), (1L, 'one-service'), (2L, 'two-service') AS v(cluster_id, name)")
+    both = hierarchy.resolve_superclasses(c).where("parent LIKE 'region%'").select(F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit("INHERITS").alias("type"), F.lit(1.0).alias("weight"), F.concat(F.lit("m"), F.regexp_extract("id", r"(\d+)$", 1)).alias("method_name"))
+    boundary = clusters.boundary_edges(both, a, names)
+    return specs.components(c, boundary, a, names).select("cluster_id", "part", "key", "doc")
+
+
+@query
+def bpe_token_usage(t):
+    """Tokens of every document by a byte-pair vocabulary, and what of a context they take."""
+    u = tokens.usage(t.documents.select("doc_id", "text"), F.lit("gpt-4"))
+    return u.select("doc_id", "tokens", "max_context", "available_input", "fits", "fits_with_margin", "utilization_percent")
+
+
 @query
 def component_specs(t):
     """H3: nations as services, by region."""

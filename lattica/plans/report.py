@@ -57,7 +57,7 @@ def write_plan(path: str | Path, project: str, report: DataFrame, boundary: Data
     head = {"project": project, "analysis_date": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "total_classes": total_classes, "suggested_services": report.count(), "project_metadata": metadata or {}, "excluded_classes": excluded or []}
     with path.open("w", encoding="utf-8") as f:
         f.write(json.dumps(head, indent=2)[:-2])
-        calls = boundary.withColumn("refactoring_required", F.lit(True)).orderBy("from_service", "to_service", "from_class", "to_class")
+        calls = boundary.drop("seq").withColumn("refactoring_required", F.lit(True)).orderBy("from_service", "to_service", "from_class", "to_class")
         for key, rows in (("clusters", cluster_rows(report).orderBy("id")), ("boundary_calls", calls), ("warnings", warning_rows(report, boundary).orderBy("type", "message"))):
             f.write(f',\n  "{key}": [')
             for i, row in enumerate(_objects(rows)):
@@ -100,9 +100,8 @@ def markdown_lines(project: str, nodes: DataFrame, edges: DataFrame, assignment:
         yield from foot()
     if calls:
         yield from ("## Cross-Service Dependencies", "", "| From | To | Method | Priority |", "| --- | --- | --- | --- |")
-        first = boundary.groupBy("from_service", "to_service").agg(F.min_by(F.coalesce("method", "edge_type"), F.struct("from_class", "to_class")).alias("method"), F.count("*").alias("n"))
-        for r in first.orderBy("from_service", "to_service").toLocalIterator():
-            yield f"| {r['from_service']} | {r['to_service']} | {r['method']} | {'HIGH' if r['n'] > 3 else 'MEDIUM'} |"
+        for r in clusters.first_calls(boundary).orderBy("from_service", "to_service").toLocalIterator():
+            yield f"| {r['from_service']} | {r['to_service']} | {r['method']} | {r['priority']} |"
         yield ""
     yield from ("## Recommendations", "")
     for i, r in enumerate(clusters.recommendations(report, edges, assignment).orderBy("step").collect(), 1):
@@ -115,26 +114,67 @@ def markdown_lines(project: str, nodes: DataFrame, edges: DataFrame, assignment:
         yield from (f"- **{r['type']}:** {r['message']}", f"  - Suggestion: {r['suggestion']}")
 
 
-def guide_lines(plan: list[dict], boundary: DataFrame, endpoints: DataFrame | None = None) -> Iterator[str]:
-    """The implementation guide: services in order of coupling, each with its entities' tables and endpoints, then the pairs."""
-    yield from ("# Implementation Guide", "", "## Order", "", "| # | Service | Classes | Coupling |", "| --- | --- | --- | --- |")
-    plan = sorted(plan, key=lambda c: (c["external_coupling"], c["cluster_id"]))
-    for i, c in enumerate(plan, 1):
+#: Sections of a service in the guide: what a row's key and text fill.
+SECTIONS = ["Classes", "Entities and their tables", "Entry points", "Endpoints", "Schemas"]
+#: Properties of a schema that the guide lists.
+LISTED = 10
+STEPS = [
+    ("Set up", "Create an empty project for the service with the libraries that its `spec.json` names."),
+    ("Move classes", "Move entities first, then repositories, services and controllers, and compile after each kind."),
+    ("Cut calls", "Give every row of the tables above a client of the other service's API in place of the direct call."),
+    ("Split tables", "Write a migration that creates the service's own tables and copies their rows."),
+    ("Join up", "Register the service's routes at the gateway, set time limits for its clients, and test both sides."),
+]
+
+
+def guide_rows(nodes: DataFrame, assignment: DataFrame, endpoints: DataFrame, fields: DataFrame) -> DataFrame:
+    """(cluster_id, section, seq, key, text): what the guide says of each service, a row for each line. endpoints (id, path, http_method, name), fields (id, pos, name, api_type)."""
+    member = assignment.join(nodes.select("id", "node_seq", "type", "simple_name"), "id")
+    short = simple_name(F.col("simple_name"), F.col("id"))
+    row = lambda df, section, key, text, seq="node_seq": df.select("cluster_id", F.lit(section).alias("section"), F.col(seq).cast("long").alias("seq"), key.alias("key"), text.alias("text"))
+    table = F.concat(F.lit("`"), short, F.lit("`: table `"), F.lower(short), F.lit("s`"))
+    called = endpoints.join(member.select("id", "cluster_id", "node_seq"), "id")
+    listed = fields.join(member.where("type = 'Entity'"), "id").withColumn("short", short).groupBy("cluster_id", "id", "short", "node_seq").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.concat("name", F.lit(": "), "api_type").alias("t")))).alias("f")
+    )  # an entity's fields
+    more = F.when(F.size("f") > LISTED, F.concat(F.lit(", and "), (F.size("f") - LISTED).cast("string"), F.lit(" more"))).otherwise("")
+    return (
+        row(member, 0, F.col("id"), F.concat(F.lit("`"), "id", F.lit("`")))
+        .unionByName(row(member.where("type = 'Entity'"), 1, F.col("id"), table))
+        .unionByName(row(member.where("type = 'Controller'"), 2, F.col("id"), F.concat(F.lit("`"), short, F.lit("`"))))
+        .unionByName(row(called, 3, F.concat_ws(" ", "path", "http_method"), F.concat(F.lit("`"), F.upper("http_method"), F.lit(" "), "path", F.lit("`: "), "name")))
+        .unionByName(row(listed, 4, F.col("id"), F.concat(F.lit("`"), "short", F.lit("`: "), F.array_join(F.transform(F.slice("f", 1, LISTED), lambda x: x["t"]), ", "), more)))
+    )
+
+
+def guide_lines(project: str, report: DataFrame, boundary: DataFrame, rows: DataFrame) -> Iterator[str]:
+    """The implementation guide: services in order of coupling, each one's classes, tables, endpoints and schemas, the calls to cut, and the steps. rows as of guide_rows."""
+    services = report.select("cluster_id", "name", "class_count", "internal_cohesion", "external_coupling")
+    yield from (f"# Implementation Guide: {project}", "", f"- Services: {services.count()}", f"- Calls between services: {boundary.count()}", "", "## Order", "", "| # | Service | Classes | Coupling |", "| --- | --- | --- | --- |")
+    for i, c in enumerate(services.orderBy("external_coupling", "cluster_id").toLocalIterator(), 1):
         yield f"| {i} | {c['name']} | {c['class_count']} | {c['external_coupling']:.2f} |"
-    by_class: dict[str, list] = {}
-    if endpoints is not None:
-        for r in endpoints.orderBy("id", "path", "http_method").toLocalIterator():
-            by_class.setdefault(r["id"], []).append(f"- `{r['http_method'].upper()} {r['path']}`")
-    for c in plan:
-        yield from ("", f"## {c['name']}", "")
-        for e in c.get("entities") or []:
-            short = e.rpartition(".")[2]
-            yield f"- {short}: table `{short.lower()}s`"
-        for e in c.get("entry_points") or []:
-            yield from by_class.get(e, [])
-    yield from ("", "## Calls between services", "", "| From | To | Calls |", "| --- | --- | --- |")
-    for r in boundary.groupBy("from_service", "to_service").count().orderBy("from_service", "to_service").toLocalIterator():
-        yield f"| {r['from_service']} | {r['to_service']} | {r['count']} |"
+    yield from ("", "## Services")
+    now = section = None
+    told = rows.join(services, "cluster_id").orderBy("cluster_id", "section", F.col("seq").asc_nulls_last(), "key")
+    for r in told.toLocalIterator():
+        if r["cluster_id"] != now:
+            now, section = r["cluster_id"], None
+            yield from ("", f"### {r['name']}", "", f"{r['class_count']} classes, cohesion {r['internal_cohesion']:.1%}, coupling {r['external_coupling']:.1%}")
+        if r["section"] != section:
+            section = r["section"]
+            yield from ("", f"#### {SECTIONS[section]}", "")
+        yield f"- {r['text']}"
+    yield from ("", "## Calls between services")
+    pair = None
+    place = ["seq"] if "seq" in boundary.columns else []
+    for r in boundary.orderBy("from_service", "to_service", *place, "from_class", "to_class").toLocalIterator():
+        if (r["from_service"], r["to_service"]) != pair:
+            pair = (r["from_service"], r["to_service"])
+            yield from ("", f"### {pair[0]} to {pair[1]}", "", "| From | To | Kind | Method |", "| --- | --- | --- | --- |")
+        yield f"| `{r['from_class'].rpartition('.')[2]}` | `{r['to_class'].rpartition('.')[2]}` | {r['edge_type']} | {r['method'] or ''} |"
+    yield from ("", "## Steps for each service", "")
+    for i, (name, text) in enumerate(STEPS, 1):
+        yield f"{i}. **{name}.** {text}"
 
 
 def write_lines(path: str | Path, lines: Iterator[str]) -> None:

@@ -58,9 +58,9 @@ def class_nodes(parsed: DataFrame) -> DataFrame:
 
 
 def class_edges(parsed: DataFrame) -> DataFrame:
-    """Merged edges of the parsed classes' dependencies."""
+    """Merged edges of the parsed classes' dependencies, with their places."""
     numbered = sequential_ids(parsed.where("parsed"), ["file_path"], "node_seq")
-    return merge_edges(dependency_edges(numbered).where(~is_library(F.col("dst"))))
+    return merge_edges(dependency_edges(numbered).where(~is_library(F.col("dst"))), place=True)
 
 
 def graph_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -113,9 +113,24 @@ def test_vectors(spark, monkeypatch):
     want = {(r.a, r.b): round(r.similarity, 6) for r in vectors.all_similarities(v).collect()}
     assert set(want) == {("a", "b"), ("a", "d"), ("b", "d")}
     monkeypatch.setattr(vectors, "BLOCK", 1)
-    monkeypatch.setattr(vectors, "MAX_QUERIES", 1)
+    monkeypatch.setattr(vectors, "QUERIES", 1)
+    monkeypatch.setattr(vectors, "ROWS", 1)
     assert {(r.a, r.b): round(r.similarity, 6) for r in vectors.all_similarities(v).collect()} == want
     assert vectors.find_similar(v, v, 1).count() == 4
     texts = spark.createDataFrame([("1", "h1", "one two"), ("2", "h2", "three")], "id string, file_hash string, text string")
     stored = spark.createDataFrame([("1", "h1", [9.0]), ("2", "old", [9.0]), ("3", "x", [9.0])], "id string, file_hash string, vec array<float>")
     assert {(r.id, len(r.vec)) for r in vectors.refresh(stored, texts).collect()} == {("1", 1), ("2", 384)}
+
+
+def test_token_usage_by_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    from lattica.functions import tokens
+
+    t = Tokenizer.from_file(tokens.vocabulary())
+    t.encode_special_tokens = True
+    texts = ["", None, "a b", "caf\u00e9 <|endoftext|> x", "word " * 20_000]
+    got = tokens.usage(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), F.lit("gpt-4")).orderBy("i").collect()
+    want = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    assert [r.tokens for r in got] == want
+    assert [(r.fits, r.fits_with_margin) for r in got] == [(n <= 4192, n <= 3772) for n in want] and got[2].available_input == 4192

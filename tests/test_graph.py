@@ -184,3 +184,58 @@ def test_json_and_graphml(spark, tmp_path):
     assert n.where("id = 'c'").first()["size"] == 10 and e.first().width == 2.5
     s = CodeGraph(nodes, edges).statistics().first()
     assert (s.node_count, s.edge_count, s.is_dag, s.strongly_connected_components, s.weakly_connected_components) == (2, 1, True, 2, 1)
+
+
+def test_find_similar_blocks_ties_and_odd_vectors(spark, monkeypatch):
+    import math
+
+    from lattica.operators import vectors
+
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    monkeypatch.setattr(vectors, "QUERIES", 3)
+    rows = [(i, [float(i % 5 + 1), float(i % 3), 1.0 - i % 2]) for i in range(40)] + [(100, [0.0, 0.0, 0.0]), (101, None), (102, [1.0, 2.0]), (103, [float("nan"), 1.0, 1.0]), (104, [2.0, None, 1.0])]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    asked = [0, 7, 11, 13, 39, 100, 101, 102]
+    got = {}
+    for r in vectors.find_similar(v, v.where(v.id.isin(asked)), 4).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.id, None if r.similarity is None else round(r.similarity, 9)))
+    good = {i: x for i, x in rows if i < 40}
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y)) / math.hypot(*x) / math.hypot(*y)
+    assert sorted(got) == sorted(asked) and all(sorted(got[q]) == [(n + 1, i, None) for n, i in enumerate([0, 1, 2, 3])] for q in (100, 101, 102))
+    for q in (0, 7, 11, 13, 39):
+        found = got[q]
+        want = sorted((-round(cos(good[q], x), 9), i) for i, x in good.items() if i != q)[:4]
+        assert sorted(found) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+    assert vectors.find_similar(v.limit(0), v, 4).count() == 0 and len(vectors.find_similar(v.where("id < 3 OR id = 100"), v.where("id = 0"), 9).collect()) == 3
+
+
+def test_ledger_streams_each_budget_in_order(spark):
+    import random
+
+    from lattica.operators import ledger
+
+    random.seed(5)
+    rows = [(b, s, float(random.randint(0, 9)), float(random.randint(0, 9))) for b in ("x", "y", None) for s in range(400)] + [("x", 400, None, 1.0)]
+    random.shuffle(rows)
+    got = {(r.budget, r.seq): (r.accepted, r.total) for r in ledger.greedy_accept(spark.createDataFrame(rows, "budget string, seq long, estimate double, cost double"), 50.0).collect()}
+    assert len(got) == len(rows)
+    for b in ("x", "y", None):
+        total = 0.0
+        for _, s, e, c in sorted((r for r in rows if r[0] == b), key=lambda r: r[1]):
+            ok = e is not None and total + e <= 50 and total + c <= 50
+            total += c if ok else 0
+            assert got[b, s] == (ok, total)
+
+
+def test_single_service_and_first_calls(spark):
+    from lattica.operators import clusters
+
+    n = spark.createDataFrame([(i, f"c{i}") for i in range(5)], "node_seq long, id string")
+    none = spark.createDataFrame([], "service_index long, name string, classes array<string>")
+    assert {r.cluster_id for r in clusters.proposal_assignment(n, clusters.readable_proposal(n, none)).collect()} == {0}
+    some = spark.createDataFrame([(3, "s", ["c1"])], none.schema)
+    assert clusters.readable_proposal(n, some).collect() == some.collect()
+    b = spark.createDataFrame([("a", "b", "k.X", "k.Y", None, "CALLS", 9), ("a", "b", "k.Z", "k.Y", "m", "CALLS", 2), ("a", "b", "k.W", "k.Y", "n", "CALLS", 5)], "from_service string, to_service string, from_class string, to_class string, method string, edge_type string, seq long")
+    r = clusters.first_calls(b).first()
+    assert (r.from_class, r.method, r.calls, r.priority) == ("k.Z", "m", 3, "MEDIUM")
+    assert clusters.first_calls(b.drop("seq")).first().from_class == "k.W"

@@ -29,3 +29,24 @@ def test_document(spark):
 def test_shared_cluster(spark):
     r = spark.createDataFrame([(3, "common-service"), (1, "x"), (2, "shared")], "cluster_id long, name string")
     assert o.shared_cluster(r).first().cluster_id == 2 and o.shared_cluster(r.where("cluster_id = 1")).count() == 0
+
+
+def test_documents_of_services(spark):
+    """Names with quotes, a path that two controllers share, services without paths or schemas."""
+    points = spark.createDataFrame([("a.A", "/x", "get", 'o"1', "void", []), ("a.B", "/x", "post", "o2", "Pet", []), ("b.C", "/x", "get", "o3", "List<Pet>", [])], "id string, path string, http_method string, name string, returns string, parameters array<struct<type:string,name:string,annotations:array<string>>>")
+    entities = spark.createDataFrame([("c.E", 'E"', '{"type":"object","properties":{}}')], "id string, name string, schema string")
+    placed = spark.createDataFrame([("a.A", 1), ("a.B", 1), ("b.C", 2), ("c.E", 3)], "id string, cluster_id long")
+    order = spark.createDataFrame([("a.A", 1), ("a.B", 2), ("b.C", 3), ("c.E", 4)], "id string, seq long")
+    rows = o.document_parts(points, entities, placed, order).orderBy("cluster_id", "part", "key").collect()
+    docs = {c: json.loads("\n".join(o.document_lines(f"s{c}", [(r.part, r.key, r.value) for r in rows if r.cluster_id == c]))) for c in (1, 2, 3, 4)}
+    assert list(docs[1]["paths"]["/x"]) == ["post"] and docs[2]["paths"]["/x"]["get"]["operationId"] == "o3"
+    assert docs[3]["components"]["schemas"] == {'E"': {"type": "object", "properties": {}}} and docs[4]["paths"] == {} and docs[4]["info"]["title"] == "s4"
+
+
+def test_spec_lines():
+    from lattica.plans.specs import lines
+
+    rows = [("entities", '{"a":1}'), ("entities", '{"a":2}'), ("services", '{"b":1}')]
+    doc = json.loads("\n".join(lines('{"name":"s"}', iter(rows))))
+    assert doc == {"name": "s", "entities": [{"a": 1}, {"a": 2}], "repositories": [], "services": [{"b": 1}], "controllers": [], "gateway_clients": []}
+    assert json.loads("\n".join(lines('{"name":"s"}', iter([]))))["controllers"] == []

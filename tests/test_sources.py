@@ -99,11 +99,27 @@ def test_analyzer_incremental_and_outputs(spark, tree, tmp_path):
     clusters, calls = read_plan(spark, str(tmp_path / "out/plan.json"))
     assert clusters.count() == len(doc["clusters"]) and calls.count() == len(doc["boundary_calls"])
     assert "## Executive Summary" in (tmp_path / "out/plan.md").read_text() and "# Implementation Guide" in (tmp_path / "out/guide.md").read_text()
-    assert list((tmp_path / "out/services").glob("*/flow.puml"))
+    folders = [f for f in (tmp_path / "out/services").iterdir()]
+    assert len(folders) == clusters.count() and all(json.loads((f / "openapi.yaml").read_text())["info"]["title"] == f.name for f in folders)
+    specs = [json.loads((f / "spec.json").read_text()) for f in folders]
+    assert all(s["name"] == f.name and {"entities", "repositories", "services", "controllers", "gateway_clients"} <= s.keys() for s, f in zip(specs, folders))
+    held = [e for s in specs for e in s["entities"]]
+    assert held and all(e["source_code"] for e in held) and len(held) == sum(len(s["repositories"]) for s in specs)
+    assert all(list(f.glob("diagrams/api-flow.puml")) for f in folders)
+    guide = (tmp_path / "out/guide.md").read_text()
+    assert "#### Entities and their tables" in guide and "## Steps for each service" in guide
+    (tmp_path / "out/services/gone/diagrams").mkdir(parents=True)
+    (tmp_path / "out/services/gone/spec.json").write_text("{}")
+    (tmp_path / "out/services/mine").mkdir()
+    (tmp_path / "out/services/mine/notes.txt").write_text("kept")
+    a.write(str(tmp_path / "out"))
+    assert not (tmp_path / "out/services/gone").exists() and (tmp_path / "out/services/mine/notes.txt").exists()
 
 
 def test_run_and_cli(spark, tree, tmp_path, capsys):
     got = run(spark, str(tree), str(tmp_path / "o"))
+    docs = [json.loads(f.read_text()) for f in (tmp_path / "o/services").glob("*/openapi.yaml")]
+    assert any(d["paths"] for d in docs) and any(d["components"]["schemas"] for d in docs) and "#### Endpoints" in (tmp_path / "o/guide.md").read_text()
     assert got["clustering"]["services"] >= 1 and run(spark, str(tree), str(tmp_path / "o")) == got
     assert cli.main(["analyze", str(tmp_path / "nowhere"), "--out", str(tmp_path / "x")]) == 1
     assert cli.main(["visualize", str(tree), "--out", str(tmp_path / "g.json")]) == 0
