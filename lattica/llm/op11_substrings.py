@@ -4,9 +4,9 @@
 says left and of the second one's says right. A name is a 64-bit hash of what it stands for, so all tasks agree on it without a dictionary of names that would grow with the corpus.
 What stands inside a run of words far enough from its ends is parsed alike wherever the run occurs: in each round, only the outermost symbol of either end may combine with something outside.
 
-**Anchors.** For each window of ``window`` words, what is sure to be parsed alike is followed from round to round until next to nothing is left; the symbol with the least name of
-the last round's is the window's anchor. It depends on the window's words alone, so equal windows have equal anchors. Consecutive windows with one
-anchor make a segment: a row (name, hash of the segment's words, document, place), one for about 20 words.
+**Anchors.** For each window of ``window`` words, what is sure to be parsed alike is followed from round to round, as long as a few symbols are left; of the last round's
+symbols the one with the least name is the window's anchor. It depends on the window's words alone, so equal windows have equal anchors. Consecutive windows with one
+anchor make a segment: a row (name, hash of the segment's words, document, place), one for about 16 windows.
 
 **Matches.** Names that two documents share are kept. Segments with equal words under a shared name prove each other: all their windows repeat, whatever the number of copies, and
 the smallest document of each kind of segment stands for all of it. Where a name has several kinds of segments (the texts part within them), the windows of those that stand for a kind are compared one by one.
@@ -32,7 +32,9 @@ from .common import materialize, tidied
 from .words import Words, pieces_of, ragged
 
 WINDOW = 50
-#: Symbols that should be left of a window for its anchor to be chosen among them.
+#: Rounds of naming; a symbol then stands for four words on average. More rounds make larger symbols but leave less of a window that is sure to be parsed alike.
+ROUNDS = 5
+#: A window whose sure part would have fewer symbols after a round (one, after the first) is not followed further.
 CHOICE = 3
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -120,7 +122,7 @@ def anchors(words: np.ndarray, wall: np.ndarray, at: np.ndarray, window: int = W
         n1, s1, w1, l1, r1 = _runs(names, starts, wall, words, round_ == 0)
         n2, s2, w2, l2, r2 = _pairs(n1, s1, w1, round_)
         next_left, next_right = l2[l1][left], r2[r1][right]
-        stays = next_right - next_left >= (CHOICE if round_ else 1)
+        stays = (next_right - next_left >= (CHOICE if round_ else 1)) & (round_ < ROUNDS)
         if round_:
             done = np.flatnonzero(~stays)
             lo, hi, best = left[done], right[done], left[done].copy()
