@@ -11,7 +11,7 @@ import pyarrow as pa
 GAPS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def pieces_of(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces_of(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch whose texts have about max_bytes at most (a longer text is a slice of its own), as (slice, bytes, offsets). Null texts are empty."""
     texts = batch.column(column).fill_null("").cast(pa.large_string())
     if not len(texts):
