@@ -9,7 +9,8 @@ symbols the one with the least name is the window's anchor. It depends on the wi
 anchor make a segment: a row (name, hash of the segment's words, document, place), one for about 16 windows.
 
 **Matches.** Names that two documents share are kept. Segments with equal words under a shared name prove each other: all their windows repeat, whatever the number of copies, and
-the smallest document of each kind of segment stands for all of it. Where a name has several kinds of segments (the texts part within them), the windows of those that stand for a kind are compared one by one.
+the smallest document of each kind of segment stands for all of it. Where a name has several kinds of segments (the texts part within them), those that stand for a kind are compared: equal windows have equal words on one side of their anchor at least, over half a window, and where
+another document has those too, windows are compared one by one.
 A window thus repeats if 128 bits of hashes agree, taken over exactly its words.
 
 No pairs of documents are made: every join is of rows with the distinct names, segments or windows, pre-aggregated before the shuffle, and Spark can split its hot keys.
@@ -50,20 +51,33 @@ def mix(a: np.ndarray, b) -> np.ndarray:
     return x
 
 
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    """For each place the hash of the ``window`` words that begin there, from those of powers of two; only the places whose window ends inside."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, at, span, powers = None, 0, 1, words
-    while True:
-        if window & span:
-            part = powers[at : at + n]
-            out = part ^ _K[2] if out is None else mix(out, part)
-            at += span
-        if span * 2 > window:
-            return out
-        powers, span = mix(powers[:-span], powers[span:]), span * 2
+def doublings(words: np.ndarray, window: int) -> list[np.ndarray]:
+    """Hashes of the 1, 2, 4, .. words from each place on, up to ``window`` words."""
+    out = [words]
+    while (span := 1 << len(out) - 1) * 2 <= window:
+        out.append(mix(out[-1][:-span], out[-1][span:]) if len(out[-1]) > span else np.zeros(0, np.uint64))
+    return out
+
+
+def span_hashes(powers: list[np.ndarray], at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the ``length`` words from ``at`` on, from the two largest powers that cover them."""
+    out = np.zeros(len(at), np.uint64)
+    level = np.frexp(length)[1] - 1
+    for k in np.unique(level):
+        own = np.flatnonzero(level == k)
+        out[own] = mix(powers[k][at[own]], powers[k][at[own] + length[own] - (1 << int(k))])
+    return out
+
+
+def window_hashes(powers: list[np.ndarray], window: int) -> np.ndarray:
+    """For each place the hash of the ``window`` words from there on; only the places whose window ends inside."""
+    n = max(0, len(powers[0]) - window + 1)
+    out, at = powers[0][:n] ^ _K[2], 0
+    for k, power in enumerate(powers):
+        if window >> k & 1:
+            out = mix(out, power[at : at + n])
+            at += 1 << k
+    return out
 
 
 def _runs(names, starts, wall, words, first: bool):
@@ -109,13 +123,13 @@ def _pairs(names, starts, wall, round_: int):
     return named[new], starts[new], wall[new], before[left], before[right]
 
 
-def anchors(words: np.ndarray, wall: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(name, place) of the anchor of each window that begins at a place of ``at``; place -1: a window of so few different words that nothing is left, named as a whole by the caller.
+def anchors(words: np.ndarray, wall: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, place, words) of the anchor of each window that begins at a place of ``at``; place -1: a window of so few different words that nothing is left, named as a whole by the caller.
 
     words: hashes; wall marks places between texts, which nothing crosses.
     """
     names, starts = words, np.arange(len(words))
-    key, place = np.zeros(len(at), np.uint64), np.full(len(at), -1, np.int64)
+    key, place, size = np.zeros(len(at), np.uint64), np.full(len(at), -1, np.int64), np.zeros(len(at), np.int64)
     alive, left, right = np.arange(len(at)), at.copy(), at + window
     round_ = 0
     while len(alive):
@@ -133,10 +147,11 @@ def anchors(words: np.ndarray, wall: np.ndarray, at: np.ndarray, window: int = W
                 better = more & (x < least)
                 least, best = np.where(better, x, least), np.where(better, lo + k, best)
             key[alive[done]], place[alive[done]] = least, starts[best]
+            size[alive[done]] = np.append(starts, len(words))[best + 1] - starts[best]
         alive, left, right = alive[stays], next_left[stays], next_right[stays]
         names, starts, wall = n2, s2, w2
         round_ += 1
-    return key, place
+    return key, place, size
 
 
 def _hashed(words: Words) -> np.ndarray:
@@ -147,7 +162,10 @@ def _hashed(words: Words) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
-    """Of some texts: (text, first word, windows, name, hash of the words) of each segment, as arrays."""
+    """Of some texts: (text, first word, windows, name, hash of the words, hash of the left half, of the right half) of each segment, as arrays.
+
+    The halves are the anchor with half of what a window holds besides it to the left or right; a half that the text doesn't hold is 0. Two equal windows share their anchor and one of its halves at least.
+    """
     words = Words(data, offsets)
     lengths = np.diff(words.first)
     # A wall after each text.
@@ -159,27 +177,38 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
     begin = words.first[:-1] + np.arange(len(lengths))
     at = ragged(begin, count)
     if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     text = np.repeat(np.arange(len(lengths)), count)
-    key, place = anchors(codes, wall, at, window)
-    own = window_hashes(codes, window)[at]
+    key, place, size = anchors(codes, wall, at, window)
+    powers = doublings(codes, window)
+    own = window_hashes(powers, window)[at]
     whole = place < 0
     key[whole] = mix(own[whole], _K[2])
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    n = last - first + 1
-    return text[first], at[first] - begin[text[first]], n, key[first].view(np.int64), mix(mix(own[first], own[last]), n.astype(np.uint64)).view(np.int64)
+    n, text, place, size = last - first + 1, text[first], place[first], size[first]
+    name, seg = key[first], mix(mix(own[first], own[last]), (last - first + 1).astype(np.uint64))
+    reach = (window - size + 1) // 2
+    halves = []
+    for lo in (place - reach, place):
+        ok = (place >= 0) & (lo >= begin[text]) & (lo + size + reach <= begin[text] + lengths[text])
+        half = np.zeros(len(first), np.int32)
+        half[ok] = (span_hashes(powers, lo[ok], (size + reach)[ok]) >> np.uint64(33)).astype(np.int32) | 1
+        half[place < 0] = 1
+        halves.append(half)
+    return text, at[first] - begin[text], n, name.view(np.int64), seg.view(np.int64), *halves
 
 
 def _parse(window: int):
     def run(batches):
         for b in batches:
             for part, data, offsets in pieces_of(b, 2):
-                text, at, n, name, seg = segments(data, offsets, window)
-                own = part.take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(seg), own.column(0), own.column(1), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["name", "seg", "doc", "tag", "at", "n"])
+                text, at, n, name, seg, left, right = segments(data, offsets, window)
+                of = pa.array(text)
+                columns = [pa.array(name), pa.array(seg), part.column(0).take(of), part.column(1).take(of), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(left), pa.array(right)]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "seg", "doc", "tag", "at", "n", "left", "right"])
 
     return tidied(run)
 
@@ -192,7 +221,7 @@ def _compare(window: int):
             for part, data, offsets in pieces_of(b, 2):
                 words = Words(data, offsets)
                 codes = _hashed(words)
-                own = window_hashes(codes, window)
+                own = window_hashes(doublings(codes, window), window)
                 spans = part.column(3)
                 flat, of = spans.flatten(), np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()))
                 at, n, name = (flat.field(k).to_numpy() for k in range(3))
@@ -200,8 +229,9 @@ def _compare(window: int):
                 place = ragged(at.astype(np.int64), n.astype(np.int64))
                 for lo in range(0, len(rows), 200_000):
                     r, p = rows[lo : lo + 200_000], place[lo : lo + 200_000]
-                    doc = part.take(pa.array(of[r]))
-                    yield pa.RecordBatch.from_arrays([pa.array(name[r]), pa.array(own[words.first[of[r]] + p].view(np.int64)), doc.column(0), doc.column(1), pa.array(p.astype(np.int32))], ["name", "win", "doc", "tag", "at"])
+                    doc = pa.array(of[r])
+                    columns = [pa.array(name[r]), pa.array(own[words.first[of[r]] + p].view(np.int64)), part.column(0).take(doc), part.column(1).take(doc), pa.array(p.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["name", "win", "doc", "tag", "at"])
 
     return tidied(run)
 
@@ -234,7 +264,7 @@ def _cut(window: int, with_text: bool):
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc, tag, at, n): windows of a document, n of them from word ``at`` on, that also stand in a document with a smaller id. tag: hash of the text, which tells rows with one id apart."""
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    segs = materialize(own.mapInArrow(_parse(window), "name long, seg long, doc long, tag long, at int, n int"), "segments")
+    segs = materialize(own.mapInArrow(_parse(window), "name long, seg long, doc long, tag long, at int, n int, left int, right int"), "segments")
     shared = segs.groupBy("name").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("name")
     shared = materialize(shared, "shared")
     segs = materialize(segs.join(shared, "name"), "segments")
@@ -243,8 +273,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     kinds = materialize(kinds.join(several, "name", "left"), "kinds")
     judged = materialize(segs.join(kinds, ["name", "seg"]), "judged")
     whole = judged.where("doc > lo").select("doc", "tag", "at", "n")
-    # Windows one by one, of the smallest document of each kind.
-    spans = judged.where("doc = lo AND open").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n", "name")).alias("spans"))
+    # Windows one by one, of the smallest document of each kind, where another document has the same words on one side of the anchor at least.
+    first = materialize(judged.where("doc = lo AND open").select("name", "doc", "tag", "at", "n", "left", "right"), "first")
+    sides = first.select("name", "doc", "tag", "at", "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("half")), F.struct(F.lit(1).alias("side"), F.col("right").alias("half")))).alias("h"))
+    sides = sides.select("name", "doc", "tag", "at", "n", "h.*").where("half <> 0")
+    met = materialize(sides.groupBy("name", "side", "half").agg(F.min("doc").alias("l"), F.max("doc").alias("h")).where("l < h").drop("l", "h"), "met")
+    first = sides.join(met, ["name", "side", "half"]).select("name", "doc", "tag", "at", "n").distinct()
+    spans = first.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n", "name")).alias("spans"))
     windows = own.join(spans, ["doc", "tag"]).select("doc", "tag", "text", "spans").mapInArrow(_compare(window), "name long, win long, doc long, tag long, at int")
     windows = materialize(windows, "windows")
     least = materialize(windows.groupBy("name", "win").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi"), "least")
