@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from xml.sax.saxutils import escape, quoteattr
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import algorithms, merge
+from .sources import documents, jsondoc
+from .sources.documents import escaped
+from .sources.scratch import materialize
 
 NODES = "node_seq long, id string, type string, complexity_score int, file_path string, package string, simple_name string, is_interface boolean, is_abstract boolean, annotations array<string>, method_count int, field_count int, superclass string, fields array<struct<type:string,name:string>>"
 EDGES = "src string, dst string, type string, weight double, types array<string>, method_name string, seq long"
@@ -23,7 +23,6 @@ class CodeGraph:
     @classmethod
     def from_sources(cls, spark: SparkSession, root: str, ignore: list[str] | None = None) -> CodeGraph:
         from .sources.java import classes, graph_tables, scan
-        from .sources.scratch import materialize
 
         return cls(*graph_tables(materialize(classes(scan(spark, root, ignore)), "classes")))
 
@@ -34,12 +33,12 @@ class CodeGraph:
 
     @classmethod
     def from_json(cls, spark: SparkSession, path: str) -> CodeGraph:
-        """From a document {nodes: [{id, ..}], edges: [{source, target, ..}]}."""
-        schema = f"nodes array<struct<{_struct(NODES)}>>, edges array<struct<source:string,target:string,type:string,weight:double,types:array<string>,method_name:string,seq:bigint>>"
-        doc = spark.read.schema(schema).option("multiLine", "true").json(path)
-        nodes = doc.select(F.posexplode("nodes").alias("p", "n")).select(F.coalesce("n.node_seq", F.col("p").cast("long")).alias("node_seq"), *[F.col(f"n.{f.split(':')[0]}") for f in _names(NODES) if f != "node_seq"])
-        edges = doc.select(F.inline("edges")).withColumnsRenamed({"source": "src", "target": "dst"})
-        return cls(nodes, edges)
+        """From a document {nodes: [{id, ..}], edges: [{source, target, ..}]}, read by as many tasks as it has byte ranges."""
+        elements = materialize(jsondoc.elements(spark, path), "elements")
+        n = elements.where("key = 'nodes'").select("pos", F.from_json("json", f"struct<{_struct(NODES)}>").alias("n"))
+        nodes = n.select(F.coalesce("n.node_seq", "pos").alias("node_seq"), *[F.col(f"n.{f}") for f in _names(NODES) if f != "node_seq"])
+        e = elements.where("key = 'edges'").select(F.from_json("json", "struct<source:string,target:string,type:string,weight:double,types:array<string>,method_name:string,seq:bigint>").alias("e"))
+        return cls(nodes, e.select("e.*").withColumnsRenamed({"source": "src", "target": "dst"}))
 
     def write_json(self, path: str) -> None:
         """The document as lines: each node and edge a JSON object in folders nodes and edges."""
@@ -47,44 +46,38 @@ class CodeGraph:
         self.edges.withColumnsRenamed({"src": "source", "dst": "target"}).write.mode("overwrite").json(f"{path}/edges")
 
     def export(self, path: str, format: str = "json") -> None:
-        """One local file, streamed row by row: json or graphml."""
+        """One file, written by executors: json or graphml."""
         if format not in ("json", "graphml"):
             raise ValueError(f"unknown format {format!r}")
-        with open(path, "w", encoding="utf-8") as f:
-            (self._json if format == "json" else self._graphml)(f)
-
-    def _rows(self, df: DataFrame):
-        for r in df.toLocalIterator(prefetchPartitions=True):
-            yield {k: v for k, v in r.asDict(recursive=True).items() if v is not None}
-
-    def _json(self, f) -> None:
-        f.write('{"nodes": [')
-        for i, n in enumerate(self._rows(self.nodes.orderBy(F.col("node_seq").asc_nulls_last(), "id"))):
-            f.write(",\n" * bool(i) + json.dumps(n))
-        f.write('],\n"edges": [')
-        for i, e in enumerate(self._rows(self.edges.orderBy("src", "dst").withColumnsRenamed({"src": "source", "dst": "target"}))):
-            f.write(",\n" * bool(i) + json.dumps(e))
-        f.write("]}\n")
-
-    def _graphml(self, f) -> None:
-        """Lists and structs are written as JSON strings, nulls are left out."""
+        folder, _, name = path.rpartition("/")
+        documents.write(self.document(name, format), folder or ".")
+
+    def document(self, name: str, format: str = "json") -> DataFrame:
+        """The lines of a document of the whole graph, in rows as :mod:`lattica.sources.documents` writes them. Lists and structs are JSON strings in GraphML; nulls are left out."""
+        file = F.lit(name)
+        one = self.nodes.sparkSession.range(1)
+        if format == "json":
+            nodes = documents.lines(self.nodes, file, 1, F.to_json(F.struct(*self.nodes.columns)), a=F.col("node_seq"), c=F.col("id"))
+            edges = self.edges.withColumnsRenamed({"src": "source", "dst": "target"})
+            edges = documents.lines(edges, file, 3, F.to_json(F.struct(*edges.columns)), c=F.col("source"), d=F.col("target"))
+            fixed = [documents.lines(one, file, s, F.lit(t)) for s, t in ((0, '{"nodes": ['), (2, '],\n"edges": ['), (4, "]}"))]
+            return documents.union(*fixed, documents.listed(nodes), documents.listed(edges))
         kinds = {"bigint": "long", "int": "int", "double": "double", "boolean": "boolean"}
-        f.write('<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
+        head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
         for of, df in (("node", self.nodes), ("edge", self.edges)):
-            for name, kind in df.dtypes:
-                if name not in ("id", "src", "dst"):
-                    f.write(f'<key id="{of}_{name}" for="{of}" attr.name={quoteattr(name)} attr.type="{kinds.get(kind, "string")}"/>\n')
-        f.write('<graph edgedefault="directed">\n')
-
-        def data(of: str, row: dict) -> str:
-            text = lambda v: json.dumps(v) if isinstance(v, (list, dict)) else str(v).lower() if isinstance(v, bool) else str(v)
-            return "".join(f'<data key="{of}_{k}">{escape(text(v))}</data>' for k, v in row.items() if k not in ("id", "src", "dst"))
-
-        for n in self._rows(self.nodes.orderBy("id")):
-            f.write(f"<node id={quoteattr(n['id'])}>{data('node', n)}</node>\n")
-        for e in self._rows(self.edges.orderBy("src", "dst")):
-            f.write(f"<edge source={quoteattr(e['src'])} target={quoteattr(e['dst'])}>{data('edge', e)}</edge>\n")
-        f.write("</graph>\n</graphml>\n")
+            head += [f'<key id="{of}_{n}" for="{of}" attr.name="{n}" attr.type="{kinds.get(kind, "string")}"/>' for n, kind in df.dtypes if n not in ("id", "src", "dst")]
+
+        def data(of: str, df: DataFrame) -> Column:
+            text = lambda n, kind: F.to_json(n) if kind.startswith(("array", "struct", "map")) else F.col(n).cast("string")
+            return F.concat(F.lit(""), *[F.when(F.col(n).isNotNull(), F.concat(F.lit(f'<data key="{of}_{n}">'), escaped(text(n, kind)), F.lit("</data>"))).otherwise("") for n, kind in df.dtypes if n not in ("id", "src", "dst")])
+
+        attribute = lambda c: escaped(F.col(c), quotes=True)
+        node = F.concat(F.lit('<node id="'), attribute("id"), F.lit('">'), data("node", self.nodes), F.lit("</node>"))
+        edge = F.concat(F.lit('<edge source="'), attribute("src"), F.lit('" target="'), attribute("dst"), F.lit('">'), data("edge", self.edges), F.lit("</edge>"))
+        return documents.union(
+            documents.lines(one, file, 0, [F.lit(x) for x in [*head, '<graph edgedefault="directed">']]), documents.lines(self.nodes, file, 1, node, c=F.col("id")),
+            documents.lines(self.edges, file, 2, edge, c=F.col("src"), d=F.col("dst")), documents.lines(one, file, 3, [F.lit("</graph>"), F.lit("</graphml>")]),
+        )
 
     def render_tables(self) -> tuple[DataFrame, DataFrame]:
         """What a drawing needs: (id, label, type, size) and (src, dst, width)."""

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import groupby
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +13,7 @@ from ..functions.extract import endpoints
 from ..graph import CodeGraph
 from ..operators import algorithms, clusters, hierarchy, vectors, weights
 from ..operators.merge import sequential_ids
-from ..sources import incremental, java
+from ..sources import documents, incremental, java
 from ..sources.scratch import materialize
 from . import openapi, specs
 from . import report as reports
@@ -110,37 +108,43 @@ class Analyzer:
 
     def write(self, folder: str) -> None:
         """plan.json, plan.md, guide.md, and for each service openapi.yaml, spec.json and diagrams/api-flow.puml; files of services that the last plan here had and this one hasn't go."""
-        p, out = self.current or self.plan(), Path(folder)
-        names = {r["cluster_id"]: r["name"] for r in p.report.select("cluster_id", "name").toLocalIterator()}
-        _remove_renamed(out / "services", set(names.values()))
-        reports.write_plan(out / "plan.json", self.config.name, p.report, p.boundary, p.assignment.count())
-        reports.write_lines(out / "plan.md", reports.markdown_lines(self.config.name, self.graph.nodes, self.graph.edges, p.assignment, p.report, p.boundary))
+        p, name = self.current or self.plan(), self.config.name
+        names = materialize(p.report.select("cluster_id", "name"), "names")
+        _remove_renamed(f"{folder}/services", names)
         typed, points = materialize(self._typed(), "typed"), materialize(self.endpoints(), "endpoints")
-        reports.write_lines(out / "guide.md", reports.guide_lines(self.config.name, p.report, p.boundary, reports.guide_rows(self.graph.nodes, p.assignment, points, hierarchy.schemas(typed))))
-        for r in reports.diagrams(self.graph.nodes, self.graph.edges, p.assignment, p.report).toLocalIterator():
-            reports.write_lines(out / "services" / r["name"] / "diagrams" / "api-flow.puml", iter([r["diagram"]]))
         parts = openapi.document_parts(points, openapi.entity_schemas(typed), p.assignment, typed.select("id", F.col("node_seq").alias("seq")))
-        wanted = self.spark.createDataFrame([(c,) for c in names], "cluster_id long").join(parts, "cluster_id", "left").orderBy("cluster_id", "part", "key")
-        for c, rows in groupby(wanted.toLocalIterator(), lambda r: r["cluster_id"]):
-            told = ((r["part"], r["key"], r["value"]) for r in rows if r["part"] is not None)
-            reports.write_lines(out / "services" / names[c] / "openapi.yaml", openapi.document_lines(names[c], told))
-        for c, rows in groupby(specs.in_order(self.specs()).toLocalIterator(), lambda r: r["cluster_id"]):
-            head = next(rows)["doc"]
-            reports.write_lines(out / "services" / names[c] / "spec.json", specs.lines(head, ((r["part"], r["doc"]) for r in rows)))
+        drawn = reports.diagrams(self.graph.nodes, self.graph.edges, p.assignment, p.report)
+        documents.write(
+            documents.union(
+                reports.plan_document("plan.json", name, p.report, p.boundary, p.assignment),
+                reports.markdown_document("plan.md", name, self.graph.nodes, self.graph.edges, p.assignment, p.report, p.boundary),
+                reports.guide_document("guide.md", name, p.report, p.boundary, reports.guide_rows(self.graph.nodes, p.assignment, points, hierarchy.schemas(typed))),
+                documents.lines(drawn, F.concat(F.lit("services/"), F.col("name"), F.lit("/diagrams/api-flow.puml")), 0, F.col("diagram")),
+                openapi.documents_of(names, materialize(parts, "parts")),
+                specs.documents_of(names, materialize(self.specs(), "specs")),
+            ),
+            folder,
+        )
 
 
 #: What write() puts into a service's folder.
 SERVICE_FILES = ["openapi.yaml", "spec.json", "diagrams/api-flow.puml"]
 
 
-def _remove_renamed(services: Path, names: set[str]) -> None:
+def _remove_renamed(services: str, names: DataFrame) -> None:
     """Takes away what write() put into folders of services that are no more; other files and their folders stay."""
-    for old in [f for f in services.glob("*") if f.is_dir() and f.name not in names]:
+    spark = names.sparkSession
+    fs, make = documents.file_system(spark, services)
+    if not fs.exists(make(services)):
+        return
+    there = [(s.getPath().getName(),) for s in fs.listStatus(make(services)) if s.isDirectory()]
+    gone = spark.createDataFrame(there, "name string").join(names, "name", "left_anti").collect() if there else []
+    for old in (f"{services}/{r['name']}" for r in gone):
         for name in SERVICE_FILES:
-            (old / name).unlink(missing_ok=True)
-        for folder in (old / "diagrams", old):
-            if folder.is_dir() and not any(folder.iterdir()):
-                folder.rmdir()
+            fs.delete(make(f"{old}/{name}"), False)
+        for folder in (f"{old}/diagrams", old):
+            if fs.exists(make(folder)) and not len(fs.listStatus(make(folder))):
+                fs.delete(make(folder), False)
 
 
 def run(spark: SparkSession, root: str, out: str, config: Config | None = None, checkpoints: str | None = None) -> dict:

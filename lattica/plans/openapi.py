@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import api_type, last_part
 from ..operators.hierarchy import schemas
+from ..sources.documents import lines, listed, quoted, union
 
 
 def _ref(name: Column) -> Column:
     return F.concat(F.lit("#/components/schemas/"), name)
 
 
-def quoted(text: Column) -> Column:
-    """The text as a JSON string."""
-    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
-
-
 def operations(points: DataFrame) -> DataFrame:
     """(id, path, http_method, operation) of endpoints whose parameters have type, name, annotations: operation is its JSON text.
 
@@ -76,8 +72,17 @@ def document_parts(points: DataFrame, entities: DataFrame, assignment: DataFrame
     return found.unionByName(named.select("cluster_id", F.lit("schemas").alias("part"), F.col("name").alias("key"), "value"))
 
 
+def documents_of(names: DataFrame, parts: DataFrame, folder: str = "services") -> DataFrame:
+    """The lines of every service's document, of names (cluster_id, name) and parts as of document_parts: JSON, which is YAML as well."""
+    file = F.concat(F.lit(f"{folder}/"), F.col("name"), F.lit("/openapi.yaml"))
+    head = F.concat(F.lit('{"openapi": "3.0.0", "info": {"title": '), quoted(F.col("name")), F.lit(', "version": "1.0.0"}, "paths": {'))
+    own = parts.join(names, "cluster_id")
+    entry = lambda part, section: listed(lines(own.where(F.col("part") == part), file, section, F.concat(quoted(F.col("key")), F.lit(": "), F.col("value")), c=F.col("key")))
+    return union(lines(names, file, 0, head), entry("paths", 1), lines(names, file, 2, F.lit('}, "components": {"schemas": {')), entry("schemas", 3), lines(names, file, 4, F.lit("}}}")))
+
+
 def document_lines(title: str, parts: Iterable[tuple[str, str, str]]) -> Iterator[str]:
-    """The document of one service, line by line, of its (part, key, value) in order: JSON, which is YAML as well."""
+    """The document of one service, line by line, of its (part, key, value) in order, for a caller that holds them; whole runs use :func:`documents_of`."""
     yield '{"openapi": "3.0.0", "info": ' + json.dumps({"title": title, "version": "1.0.0"}) + ', "paths": {'
     open_part, comma = "paths", ""
     for part, key, value in parts:
@@ -90,7 +95,7 @@ def document_lines(title: str, parts: Iterable[tuple[str, str, str]]) -> Iterato
 
 
 def document(title: str, path_rows: DataFrame, schemas_: DataFrame) -> str:
-    """The document of one service."""
+    """The document of one service as a string, for display."""
     listed = lambda df, key, value: {r[key]: json.loads(r[value]) for r in df.orderBy(key).toLocalIterator()}
     return json.dumps({"openapi": "3.0.0", "info": {"title": title, "version": "1.0.0"}, "paths": listed(path_rows, "path", "verbs"), "components": {"schemas": listed(schemas_, "name", "schema")}}, indent=2)
 

@@ -1,27 +1,27 @@
 """Reports: the plan document, Markdown, sequence diagrams, compose files, final summaries.
 
-Rows are computed by Spark; a writer streams them in order, so only one cluster's or edge's row is held at a time.
+Every document is rows of lines (:mod:`lattica.sources.documents`), which executors write.
 """
 
 from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import simple_name
 from ..operators import clusters
+from ..sources import jsondoc
+from ..sources.documents import lines, listed, quoted, union
+from ..sources.scratch import materialize
 
-PLAN = (
-    "project string, analysis_date string, total_classes long, suggested_services long, clusters array<struct<id:bigint,suggested_name:string,description:string,rationale:string,classes:array<string>,"
-    "metrics:struct<class_count:bigint,internal_cohesion:double,external_coupling:double,complexity_score:bigint>,dominant_type:string,entities:array<string>,entry_points:array<string>>>, "
-    "boundary_calls array<struct<from_service:string,to_service:string,from_class:string,to_class:string,method:string,edge_type:string,weight:double,refactoring_required:boolean>>, "
-    "warnings array<struct<type:string,message:string,suggestion:string>>"
+CLUSTER = (
+    "id bigint,suggested_name string,description string,rationale string,classes array<string>,"
+    "metrics struct<class_count:bigint,internal_cohesion:double,external_coupling:double,complexity_score:bigint>,dominant_type string,entities array<string>,entry_points array<string>"
 )
+CALL = "from_service string,to_service string,from_class string,to_class string,method string,edge_type string,weight double,refactoring_required boolean"
 #: What each kind of warning suggests.
 SUGGESTIONS = {
     "HIGH_COUPLING": "Consider creating shared DTOs or reducing dependencies",
@@ -45,73 +45,74 @@ def warning_rows(report: DataFrame, boundary: DataFrame) -> DataFrame:
     return w.select(F.col("kind").alias("type"), clusters.warning_text(F.col("kind"), F.col("service"), F.col("number")).alias("message"), hint.alias("suggestion"))
 
 
-def _objects(df: DataFrame) -> Iterator[str]:
-    for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-        yield r["j"]
+def _object(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
 
-def write_plan(path: str | Path, project: str, report: DataFrame, boundary: DataFrame, total_classes: int, metadata: dict | None = None, excluded: list[str] | None = None) -> None:
-    """The plan document, one JSON object."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    head = {"project": project, "analysis_date": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "total_classes": total_classes, "suggested_services": report.count(), "project_metadata": metadata or {}, "excluded_classes": excluded or []}
-    with path.open("w", encoding="utf-8") as f:
-        f.write(json.dumps(head, indent=2)[:-2])
-        calls = boundary.drop("seq").withColumn("refactoring_required", F.lit(True)).orderBy("from_service", "to_service", "from_class", "to_class")
-        for key, rows in (("clusters", cluster_rows(report).orderBy("id")), ("boundary_calls", calls), ("warnings", warning_rows(report, boundary).orderBy("type", "message"))):
-            f.write(f',\n  "{key}": [')
-            for i, row in enumerate(_objects(rows)):
-                f.write(",\n    " * bool(i) + row)
-            f.write("]")
-        f.write("\n}\n")
+def plan_document(name: str, project: str, report: DataFrame, boundary: DataFrame, assignment: DataFrame, metadata: dict | None = None, excluded: list[str] | None = None) -> DataFrame:
+    """The lines of the plan document, one JSON object."""
+    file, one = F.lit(name), report.sparkSession.range(1)
+    counts = assignment.agg(F.count("*").alias("classes")).crossJoin(F.broadcast(report.agg(F.count("*").alias("services"))))  # one row each
+    given = {"project_metadata": metadata or {}, "excluded_classes": excluded or []}
+    head = F.concat(
+        F.lit('{"project": ' + json.dumps(project) + ', "analysis_date": "' + time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()) + '", "total_classes": '), F.col("classes").cast("string"), F.lit(', "suggested_services": '), F.col("services").cast("string"),
+        F.lit(", " + json.dumps(given)[1:-1] + ', "clusters": ['),
+    )
+    rows, calls, warned = cluster_rows(report), boundary.drop("seq").withColumn("refactoring_required", F.lit(True)), warning_rows(report, boundary)
+    return union(
+        lines(counts, file, 0, head),
+        listed(lines(rows, file, 1, _object(rows), a=F.col("id"))),
+        lines(one, file, 2, F.lit('], "boundary_calls": [')),
+        listed(lines(calls, file, 3, _object(calls), c=F.concat_ws("\x01", "from_service", "to_service"), d=F.concat_ws("\x01", "from_class", "to_class"))),
+        lines(one, file, 4, F.lit('], "warnings": [')),
+        listed(lines(warned, file, 5, _object(warned), c=F.col("type"), d=F.col("message"))),
+        lines(one, file, 6, F.lit("]}")),
+    )
 
 
 def read_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(clusters, boundary calls) of a plan document."""
-    doc = spark.read.schema(PLAN).option("multiLine", "true").json(path)
-    return doc.select(F.inline("clusters")), doc.select(F.inline("boundary_calls"))
-
-
-def markdown_lines(project: str, nodes: DataFrame, edges: DataFrame, assignment: DataFrame, report: DataFrame, boundary: DataFrame) -> Iterator[str]:
-    """The Markdown report, line by line: summary, a table for each cluster, pairs of services, recommendations, warnings."""
-    total, services, calls = assignment.count(), report.count(), boundary.count()
-    yield from (f"# Migration Plan: {project}", "", "## Executive Summary", "", f"- **Total Classes Analyzed:** {total}", f"- **Suggested Microservices:** {services}", f"- **Estimated Boundary Calls to Refactor:** {calls}", "", "## Suggested Service Decomposition", "")
+    """(clusters, boundary calls) of a plan document, read by as many tasks as it has byte ranges."""
+    found = materialize(jsondoc.elements(spark, path), "elements")
+    part = lambda key, schema: found.where(F.col("key") == key).orderBy("pos").select(F.from_json("json", schema).alias("e")).select("e.*")
+    return part("clusters", CLUSTER), part("boundary_calls", CALL)
+
+
+def markdown_document(name: str, project: str, nodes: DataFrame, edges: DataFrame, assignment: DataFrame, report: DataFrame, boundary: DataFrame) -> DataFrame:
+    """The lines of the Markdown report: summary, a table for each cluster, pairs of services, recommendations, warnings."""
+    file, one = F.lit(name), report.sparkSession.range(1)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    percent = lambda c: F.floor(F.col(c) * 100)
+    number = lambda df, n: df.agg(F.count("*").alias(n))
+    counts = number(assignment, "classes").crossJoin(F.broadcast(number(report, "services"))).crossJoin(F.broadcast(number(boundary, "calls")))  # one row each
+    head = [
+        F.lit(f"# Migration Plan: {project}"), F.lit(""), F.lit("## Executive Summary"), F.lit(""), text("- **Total Classes Analyzed:** ", F.col("classes")), text("- **Suggested Microservices:** ", F.col("services")),
+        text("- **Estimated Boundary Calls to Refactor:** ", F.col("calls")), F.lit(""), F.lit("## Suggested Service Decomposition"), F.lit(""),
+    ]
     member = assignment.join(nodes, "id", "left").select("cluster_id", "node_seq", "id", simple_name(F.col("simple_name"), F.col("id")).alias("short"), F.coalesce("type", F.lit("Unknown")).alias("type"), F.coalesce("complexity_score", F.lit(0)).alias("score"))
-    joined = member.join(report.select("cluster_id", "name", "class_count", "internal_cohesion", "external_coupling"), "cluster_id").orderBy("cluster_id", F.col("node_seq").asc_nulls_last(), "id")
-    now, owned, entries = None, [], []
-
-    def foot() -> Iterator[str]:
-        yield ""
-        if owned:
-            yield from ("**Entities owned:** " + ", ".join(owned), "")
-        if entries:
-            yield from ("**Entry points:**", *(f"- `{e}`" for e in entries), "")
-        yield from ("---", "")
-
-    for r in joined.toLocalIterator():
-        if r["cluster_id"] != now:
-            if now is not None:
-                yield from foot()
-            now, owned, entries = r["cluster_id"], [], []
-            yield from (f"### {now + 1}. {r['name']}", "", f"**Classes:** {r['class_count']} | **Cohesion:** {int(r['internal_cohesion'] * 100)}% | **Coupling:** {int(r['external_coupling'] * 100)}%", "", "| Class | Type | Complexity |", "| --- | --- | --- |")
-        yield f"| {r['short']} | {r['type']} | {r['score']} |"
-        (owned if r["type"] == "Entity" else entries if r["type"] == "Controller" else []).append(r["short"])
-    if now is not None:
-        yield from foot()
-    if calls:
-        yield from ("## Cross-Service Dependencies", "", "| From | To | Method | Priority |", "| --- | --- | --- | --- |")
-        for r in clusters.first_calls(boundary).orderBy("from_service", "to_service").toLocalIterator():
-            yield f"| {r['from_service']} | {r['to_service']} | {r['method']} | {r['priority']} |"
-        yield ""
-    yield from ("## Recommendations", "")
-    for i, r in enumerate(clusters.recommendations(report, edges, assignment).orderBy("step").collect(), 1):
-        yield f"{i}. **{r['title']}**" + (f" - coupling {r['number']:.1f}" if r["number"] is not None else "")
-    heads = True
-    for r in warning_rows(report, boundary).orderBy("type", "message").toLocalIterator():
-        if heads:
-            yield from ("", "## Warnings", "")
-            heads = False
-        yield from (f"- **{r['type']}:** {r['message']}", f"  - Suggestion: {r['suggestion']}")
+    member = member.join(report.select("cluster_id"), "cluster_id", "left_semi")
+    # A cluster's lines: head, a line for each class, then its entities and entry points. c orders these parts, d the classes.
+    titles = [
+        text("### ", F.col("cluster_id") + 1, ". ", F.col("name")), F.lit(""), text("**Classes:** ", F.col("class_count"), " | **Cohesion:** ", percent("internal_cohesion"), "% | **Coupling:** ", percent("external_coupling"), "%"), F.lit(""), F.lit("| Class | Type | Complexity |"), F.lit("| --- | --- | --- |"),
+    ]
+    place = F.coalesce("node_seq", F.lit((1 << 62)))
+    each = lambda df, part, line: lines(df, file, 1, line, a=F.col("cluster_id"), c=F.lit(part), d=text(F.lpad(place.cast("string"), 20, "0"), F.col("id")))
+    title = lambda kind, part, line: lines(member.where(F.col("type") == kind).select("cluster_id").distinct(), file, 1, [F.lit(""), F.lit(line)], a=F.col("cluster_id"), c=F.lit(part))
+    shown = [
+        lines(report, file, 1, titles, a=F.col("cluster_id"), c=F.lit("0")), each(member, "1", text("| ", F.col("short"), " | ", F.col("type"), " | ", F.col("score"), " |")),
+        title("Entity", "2", "**Entities owned:**"), each(member.where("type = 'Entity'"), "3", text("- `", F.col("short"), "`")), title("Controller", "4", "**Entry points:**"), each(member.where("type = 'Controller'"), "5", text("- `", F.col("short"), "`")),
+        lines(report, file, 1, [F.lit(""), F.lit("---"), F.lit("")], a=F.col("cluster_id"), c=F.lit("6")),
+    ]
+    pairs = clusters.first_calls(boundary)
+    pair = text("| ", F.col("from_service"), " | ", F.col("to_service"), " | ", F.col("method"), " | ", F.col("priority"), " |")
+    crossing = lines(boundary.limit(1), file, 2, [F.lit(x) for x in ("## Cross-Service Dependencies", "", "| From | To | Method | Priority |", "| --- | --- | --- | --- |")])
+    advice = clusters.recommendations(report, edges, assignment)
+    advice = lines(advice, file, 5, text("1. **", F.col("title"), "**", F.coalesce(F.format_string(" - coupling %.1f", F.col("number")), F.lit(""))), a=F.col("step"))
+    warned = materialize(warning_rows(report, boundary), "warnings")
+    told = lines(warned, file, 7, [text("- **", F.col("type"), ":** ", F.col("message")), text("  - Suggestion: ", F.col("suggestion"))], c=F.col("type"), d=F.col("message"))
+    return union(
+        lines(counts, file, 0, head), *shown, crossing, lines(pairs, file, 3, pair, c=F.col("from_service"), d=F.col("to_service")), lines(one, file, 4, [F.lit(""), F.lit("## Recommendations"), F.lit("")]), advice,
+        lines(warned.limit(1), file, 6, [F.lit(""), F.lit("## Warnings"), F.lit("")]), told,
+    )
 
 
 #: Sections of a service in the guide: what a row's key and text fill.
@@ -147,42 +148,34 @@ def guide_rows(nodes: DataFrame, assignment: DataFrame, endpoints: DataFrame, fi
     )
 
 
-def guide_lines(project: str, report: DataFrame, boundary: DataFrame, rows: DataFrame) -> Iterator[str]:
-    """The implementation guide: services in order of coupling, each one's classes, tables, endpoints and schemas, the calls to cut, and the steps. rows as of guide_rows."""
-    services = report.select("cluster_id", "name", "class_count", "internal_cohesion", "external_coupling")
-    yield from (f"# Implementation Guide: {project}", "", f"- Services: {services.count()}", f"- Calls between services: {boundary.count()}", "", "## Order", "", "| # | Service | Classes | Coupling |", "| --- | --- | --- | --- |")
-    for i, c in enumerate(services.orderBy("external_coupling", "cluster_id").toLocalIterator(), 1):
-        yield f"| {i} | {c['name']} | {c['class_count']} | {c['external_coupling']:.2f} |"
-    yield from ("", "## Services")
-    now = section = None
-    told = rows.join(services, "cluster_id").orderBy("cluster_id", "section", F.col("seq").asc_nulls_last(), "key")
-    for r in told.toLocalIterator():
-        if r["cluster_id"] != now:
-            now, section = r["cluster_id"], None
-            yield from ("", f"### {r['name']}", "", f"{r['class_count']} classes, cohesion {r['internal_cohesion']:.1%}, coupling {r['external_coupling']:.1%}")
-        if r["section"] != section:
-            section = r["section"]
-            yield from ("", f"#### {SECTIONS[section]}", "")
-        yield f"- {r['text']}"
-    yield from ("", "## Calls between services")
-    pair = None
-    place = ["seq"] if "seq" in boundary.columns else []
-    for r in boundary.orderBy("from_service", "to_service", *place, "from_class", "to_class").toLocalIterator():
-        if (r["from_service"], r["to_service"]) != pair:
-            pair = (r["from_service"], r["to_service"])
-            yield from ("", f"### {pair[0]} to {pair[1]}", "", "| From | To | Kind | Method |", "| --- | --- | --- | --- |")
-        yield f"| `{r['from_class'].rpartition('.')[2]}` | `{r['to_class'].rpartition('.')[2]}` | {r['edge_type']} | {r['method'] or ''} |"
-    yield from ("", "## Steps for each service", "")
-    for i, (name, text) in enumerate(STEPS, 1):
-        yield f"{i}. **{name}.** {text}"
-
-
-def write_lines(path: str | Path, lines: Iterator[str]) -> None:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("w", encoding="utf-8") as f:
-        for line in lines:
-            f.write(line + "\n")
+def guide_document(name: str, project: str, report: DataFrame, boundary: DataFrame, rows: DataFrame) -> DataFrame:
+    """The lines of the implementation guide: services in order of coupling, each one's classes, tables, endpoints and schemas, the calls to cut, and the steps. rows as of guide_rows."""
+    from ..operators.merge import sequential_ids
+
+    file, one = F.lit(name), report.sparkSession.range(1)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    services = materialize(report.select("cluster_id", "name", "class_count", "internal_cohesion", "external_coupling"), "services")
+    counts = services.agg(F.count("*").alias("services")).crossJoin(F.broadcast(boundary.agg(F.count("*").alias("calls"))))  # one row each
+    head = [F.lit(f"# Implementation Guide: {project}"), F.lit(""), text("- Services: ", F.col("services")), text("- Calls between services: ", F.col("calls")), *[F.lit(x) for x in ("", "## Order", "", "| # | Service | Classes | Coupling |", "| --- | --- | --- | --- |")]]
+    order = sequential_ids(services, ["external_coupling", "cluster_id"], "i", 1)
+    ordered = lines(order, file, 1, F.format_string("| %d | %s | %d | %.2f |", F.col("i").cast("long"), F.col("name"), F.col("class_count").cast("long"), F.col("external_coupling").cast("double")), a=F.col("i"))
+    told = rows.join(services.select("cluster_id", "name"), "cluster_id")
+    summed = F.format_string("%d classes, cohesion %.1f%%, coupling %.1f%%", F.col("class_count").cast("long"), (F.col("internal_cohesion") * 100).cast("double"), (F.col("external_coupling") * 100).cast("double"))
+    titles = lines(services.join(rows.select("cluster_id").distinct(), "cluster_id", "left_semi"), file, 3, [F.lit(""), text("### ", F.col("name")), F.lit(""), summed], a=F.col("cluster_id"), b=-1)
+    section = F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("section") + 1)
+    heads = lines(rows.select("cluster_id", "section").distinct(), file, 3, [F.lit(""), text("#### ", section), F.lit("")], a=F.col("cluster_id"), b=F.col("section") * 2)
+    place = F.lpad(F.coalesce("seq", F.lit(1 << 62)).cast("string"), 20, "0")
+    each = lines(told, file, 3, text("- ", F.col("text")), a=F.col("cluster_id"), b=F.col("section") * 2 + 1, c=place, d=F.col("key"))
+    seq = F.lpad(F.coalesce("seq", F.lit(1 << 62)).cast("string"), 20, "0") if "seq" in boundary.columns else F.lit("")
+    pair = F.concat_ws("\x01", "from_service", "to_service")
+    cuts = lines(boundary.select("from_service", "to_service").distinct(), file, 5, [F.lit(""), text("### ", F.col("from_service"), " to ", F.col("to_service")), F.lit(""), F.lit("| From | To | Kind | Method |"), F.lit("| --- | --- | --- | --- |")], c=F.concat(pair, F.lit("\x010")))
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
+    calls = lines(boundary, file, 5, text("| `", last("from_class"), "` | `", last("to_class"), "` | ", F.col("edge_type"), " | ", F.coalesce("method", F.lit("")), " |"), c=F.concat(pair, F.lit("\x011")), d=F.concat_ws("\x01", seq, "from_class", "to_class"))
+    steps = [F.lit(f"{i}. **{name}.** {text_}") for i, (name, text_) in enumerate(STEPS, 1)]
+    return union(
+        lines(counts, file, 0, head), ordered, lines(one, file, 2, [F.lit(""), F.lit("## Services")]), titles, heads, each, lines(one, file, 4, [F.lit(""), F.lit("## Calls between services")]), cuts, calls,
+        lines(one, file, 6, [F.lit(""), F.lit("## Steps for each service"), F.lit(""), *steps]),
+    )
 
 
 def diagrams(nodes: DataFrame, edges: DataFrame, assignment: DataFrame, names: DataFrame) -> DataFrame:

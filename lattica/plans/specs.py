@@ -1,6 +1,6 @@
 """Specifications of services: what a generator is told of each cluster, as one nested document for each.
 
-Spark makes a row for each component (an entity, a repository, a client ..), whose document is JSON text; a writer streams a
+Spark makes a row for each component (an entity, a repository, a client ..), whose document is JSON text, and executors write a
 service's rows in order into its file. No service is gathered, whatever number of classes it has.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import base_package, last_part, table_name
 from ..functions.extract import base_path, relationships
 from ..operators import hierarchy
+from ..sources import documents
 
 #: Libraries of every service, and the versions without others.
 LIBRARIES = ["spring-boot-starter-web", "spring-boot-starter-data-jpa", "spring-boot-starter-validation", "h2", "flyway-core"]
@@ -71,8 +72,20 @@ def components(classes: DataFrame, boundary: DataFrame, assignment: DataFrame, n
     return out
 
 
+def documents_of(names: DataFrame, parts: DataFrame, folder: str = "services") -> DataFrame:
+    """The lines of every service's document, of names (cluster_id, name) and parts as of components: the head's fields, then a list for each of PARTS."""
+    file = F.concat(F.lit(f"{folder}/"), F.col("name"), F.lit("/spec.json"))
+    own = parts.join(names, "cluster_id")
+    head = documents.lines(own.where("part = 'head'"), file, 0, F.concat(F.lit("{"), F.expr("substring(doc, 2, length(doc) - 2)")))
+    out = [head]
+    for i, part in enumerate(PARTS):
+        out.append(documents.lines(names, file, 2 * i + 1, F.lit("]" * bool(i) + f',"{part}":[')))
+        out.append(documents.listed(documents.lines(own.where(F.col("part") == part), file, 2 * i + 2, F.col("doc"), a=F.col("seq"), c=F.col("key"))))
+    return documents.union(*out, documents.lines(names, file, 2 * len(PARTS) + 1, F.lit("]}")))
+
+
 def lines(head: str, rows: Iterator[tuple[str, str]]) -> Iterator[str]:
-    """A service's document, line by line, from its head and its (part, doc) in order of PARTS."""
+    """A service's document, line by line, from its head and its (part, doc) in order of PARTS, for a caller that holds them; whole runs use :func:`documents_of`."""
     yield "{" + head.strip()[1:-1]
     row = next(rows, None)
     for part in PARTS:
@@ -83,9 +96,3 @@ def lines(head: str, rows: Iterator[tuple[str, str]]) -> Iterator[str]:
             comma, row = ",", next(rows, None)
         yield "]"
     yield "}"
-
-
-def in_order(parts: DataFrame) -> DataFrame:
-    """Component rows as the writer takes them."""
-    rank = F.array_position(F.array(*map(F.lit, ["head", *PARTS])), F.col("part"))
-    return parts.orderBy("cluster_id", rank, F.col("seq").asc_nulls_last(), "key")
