@@ -139,21 +139,20 @@ def _pair_rows(texts: pa.Table, words: pa.Table) -> pa.Table:
 
 
 def _longer_rows(max_n: int, texts: pa.Table, known: pa.Table) -> pa.Table:
-    """Distinct n-grams of 3 and 4 words whose pairs are all frequent, as (n, id of the first pair, id of the last pair, count).
+    """Distinct n-grams of 3 and 4 words whose pairs are all frequent, as ids of their words (the fourth is -1 if there is none), with counts.
 
-    known: the chunk's frequent words (local, id) and pairs (x, y, id; local is null).
+    known: the chunk's frequent words (local, x) and pairs (x, y; local is null).
     """
-    schema = pa.schema([("n", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("u", pa.int64()), ("count", pa.int64())])
     if not texts.num_rows or not known.num_rows:
         return schema.empty_table()
     is_pair = known["local"].is_null().to_numpy()
     pairs = known.filter(pa.array(is_pair))
     if not pairs.num_rows:
         return schema.empty_table()
-    at, ids = _named(texts, known.filter(pa.array(~is_pair)).select(["local", "id"]).cast(pa.schema([("local", pa.int32()), ("id", pa.int64())])))
-    key = np.searchsorted(ids, pairs["x"].to_numpy()) * len(ids) + np.searchsorted(ids, pairs["y"].to_numpy())
-    order = np.argsort(key)
-    key, pair_ids = key[order], pairs["id"].to_numpy()[order]
+    words = known.filter(pa.array(~is_pair))
+    at, ids = _named(texts, pa.table({"local": words["local"].cast(pa.int32()), "id": words["x"]}))
+    key = np.unique(np.searchsorted(ids, pairs["x"].to_numpy()) * len(ids) + np.searchsorted(ids, pairs["y"].to_numpy()))
     own = np.where((at[:-1] >= 0) & (at[1:] >= 0), at[:-1] * len(ids) + at[1:], -1)
     found = np.minimum(np.searchsorted(key, own), len(key) - 1)
     pair = np.where(key[found] == own, found, -1)
@@ -163,8 +162,14 @@ def _longer_rows(max_n: int, texts: pa.Table, known: pa.Table) -> pa.Table:
         for k in range(n - 1):
             ok &= pair[k : k + len(ok)] >= 0
         first = np.flatnonzero(ok)
-        x, y, count = _counted(pair[first], pair[first + n - 2], len(key))
-        out.append(pa.table([pa.array(np.full(len(x), n, np.int32)), pa.array(pair_ids[x]), pa.array(pair_ids[y]), pa.array(count)], schema=schema))
+        one, last, count = _counted(pair[first], pair[first + n - 2], len(key))
+        one, last = key[one], key[last]
+        if n == 3:
+            places = [one // len(ids), one % len(ids), last % len(ids)]
+            columns = [ids[p] for p in places] + [np.full(len(one), -1)]
+        else:
+            columns = [ids[p] for p in (one // len(ids), one % len(ids), last // len(ids), last % len(ids))]
+        out.append(pa.table([pa.array(c) for c in columns] + [pa.array(count)], schema=schema))
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
@@ -185,19 +190,16 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", max_n: int
 
     pairs = texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_pair_rows, "chunk long, x long, y long, count long")
     pairs = materialize(pairs.withColumn("f", F.sum("count").over(Window.partitionBy("x", "y"))).where(F.col("f") >= min_count), "pairs")
-    couples = materialize(pairs.groupBy("x", "y").agg(F.first("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), "couples")
-    name = vocabulary.select(F.col("id").alias("x"), "lang", F.col("word").alias("first")), vocabulary.select(F.col("id").alias("y"), F.col("word").alias("last"))
-    couples = materialize(couples.join(name[0], "x").join(name[1], "y").select("id", "x", "y", "f", "lang", "last", F.concat_ws(" ", "first", "last").alias("phrase")), "couples")
-    grams = [vocabulary.select("lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "f"), couples.select("lang", F.lit(2).alias("size"), "phrase", "f")]
+    couples = pairs.groupBy("x", "y").agg(F.first("f").alias("f"))
+    word = lambda x, name: vocabulary.select(F.col("id").alias(x), F.col("word").alias(name))
+    couples = couples.join(vocabulary.select(F.col("id").alias("x"), "lang", F.col("word").alias("w1")), "x").join(word("y", "w2"), "y")
+    grams = [vocabulary.select("lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "f"), couples.select("lang", F.lit(2).alias("size"), F.concat_ws(" ", "w1", "w2").alias("phrase"), "f")]
     if max_n > 2:
-        known = words.select("chunk", "local", "id", F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y")).unionByName(
-            pairs.join(couples.select("x", "y", "id"), ["x", "y"]).select("chunk", F.lit(None).cast("int").alias("local"), "id", "x", "y")
-        )
-        longer = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(partial(_longer_rows, max_n), "n int, x long, y long, count long")
-        longer = materialize(longer.groupBy("n", "x", "y").agg(F.sum("count").alias("f")).where(F.col("f") >= min_count), "longer")
-        begin, end = couples.select(F.col("id").alias("x"), "lang", F.col("phrase").alias("begin")), couples.select(F.col("id").alias("y"), F.col("phrase").alias("end"), "last")
-        phrase = F.concat_ws(" ", "begin", F.when(F.col("n") == 3, F.col("last")).otherwise(F.col("end")))
-        grams.append(longer.join(begin, "x").join(end, "y").select("lang", F.col("n").alias("size"), phrase.alias("phrase"), "f"))
+        known = words.select("chunk", "local", F.col("id").alias("x"), F.lit(None).cast("long").alias("y")).unionByName(pairs.select("chunk", F.lit(None).cast("int").alias("local"), "x", "y"))
+        longer = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(partial(_longer_rows, max_n), "x long, y long, z long, u long, count long")
+        longer = materialize(longer.groupBy("x", "y", "z", "u").agg(F.sum("count").alias("f")).where(F.col("f") >= min_count), "longer")
+        named = longer.join(vocabulary.select(F.col("id").alias("x"), "lang", F.col("word").alias("w1")), "x").join(word("y", "w2"), "y").join(word("z", "w3"), "z").join(word("u", "w4"), "u", "left")
+        grams.append(named.select("lang", F.when(F.col("u") < 0, 3).otherwise(4).alias("size"), F.concat_ws(" ", "w1", "w2", "w3", "w4").alias("phrase"), "f"))
     out = grams[0]
     for g in grams[1:]:
         out = out.unionByName(g)
