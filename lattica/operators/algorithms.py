@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,10 +40,10 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _min_labels(nodes, edges)
 
 
-def trim(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def trim(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """The edges left when nodes without a predecessor or without a successor are taken away again and again: those on or between cycles.
 
-    Each round drops every source and sink at once; self loops are dropped first.
+    Each round drops every source and sink at once; self loops are dropped first. Of longer chains some nodes are left after the rounds: components of one.
     """
     left = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "trim")
     n = left.count()
@@ -100,8 +100,8 @@ def _tarjan(ids: list, succ: dict) -> dict:
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id of the node's strongly connected component.
 
-    What is on no cycle is trimmed first by joins; each weakly connected rest is solved in one task if it has up to LARGEST edges, larger rests by
-    colouring: the largest reachable-from label forward, then the part that reaches it back, again and again.
+    What is on no cycle is trimmed first by joins; each weakly connected rest is solved in one task if it has up to LARGEST edges. Of larger rests nodes of low degree are eliminated in rounds (:func:`eliminate`) until they are small enough;
+    a core that stays larger is dense, so its paths are short, and is solved by colouring: the largest reachable-from label forward, then the part that reaches it back, again and again.
     """
     kind = nodes.schema["id"].dataType.simpleString()
     core = trim(edges)
@@ -110,7 +110,14 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     tagged = core.join(weak.withColumnRenamed("id", "src"), "src")
     sizes = tagged.groupBy("component").agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > LARGEST).select("component")
-    small = tagged.join(large, "component", "left_anti")
+    found = _tarjan_by(tagged.join(large, "component", "left_anti"), "component", kind)
+    if large.count():
+        found = found.unionByName(_by_elimination(tagged.join(large, "component", "left_semi").select("src", "dst"), kind, LARGEST))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("component"))
+
+
+def _tarjan_by(tagged: DataFrame, group: str, kind: str) -> DataFrame:
+    """(id, scc) of the edges of each group, a group in one task."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         succ = defaultdict(list)
@@ -119,10 +126,61 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = _tarjan(sorted(set(pdf.src) | set(pdf.dst)), succ)
         return pd.DataFrame({"id": list(label), "scc": list(label.values())})
 
-    found = small.groupBy("component").applyInPandas(solve, f"id {kind}, scc {kind}")
-    if large.count():
-        found = found.unionByName(_colouring(tagged.join(large, "component", "left_semi").select("src", "dst"), kind))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("component"))
+    return tagged.select(group, "src", "dst").groupBy(group).applyInPandas(solve, f"id {kind}, scc {kind}")
+
+
+def eliminate(edges: DataFrame, small: int, rounds: int = 200) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """Takes nodes out of a graph while every path between the others is kept: (edges left, [(edges into, edges out of the nodes taken) for each round]).
+
+    A node goes if joining each of its predecessors to each of its successors makes no more edges than it had: without one of either, with one of either, or with two of both. In a round those go that come before
+    all their candidate neighbours in a random order, so no two of them are neighbours and a cycle of n nodes shrinks by a third: rounds grow with the logarithm of a path's length. Ends at ``small`` edges, or when a round
+    takes less than a fiftieth of them.
+    """
+    left, taken = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "left"), []
+    n = left.count()
+    for turn in range(rounds):
+        if n <= small:
+            break
+        degree = left.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(left.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"))).groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+        able = materialize(degree.where("o * i <= o + i").select("id", F.xxhash64("id", F.lit(turn)).alias("h")), "able")
+        side = lambda x: able.select(F.col("id").alias(x), F.struct("h", "id").alias(f"{x}_h"))  # noqa: B023, E731
+        beaten = left.join(side("src"), "src").join(side("dst"), "dst").select(F.when(F.col("src_h") < F.col("dst_h"), F.col("dst")).otherwise(F.col("src")).alias("id")).distinct()
+        gone = materialize(able.select("id").join(beaten, "id", "left_anti"), "gone")
+        into = materialize(left.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("p")), "into")
+        out = materialize(left.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("s")), "out")
+        kept = left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
+        joined = into.join(out, "id").where("p <> s").select(F.col("p").alias("src"), F.col("s").alias("dst"))
+        left = materialize(kept.unionByName(joined).distinct(), "left")
+        taken.append((into, out))
+        before, n = n, left.count()
+        if before - n < before // 50:
+            break
+    return left, taken
+
+
+def _by_elimination(edges: DataFrame, kind: str, small: int) -> DataFrame:
+    """(id, scc): nodes eliminated, the core solved, and the nodes put back round by round: a node lies in the component that holds one of its predecessors and one of its successors, if any does."""
+    core, taken = eliminate(edges, small)
+    if core.isEmpty():
+        label = core.select(F.col("src").alias("id"), F.col("dst").alias("scc"))
+    else:
+        label = materialize(_tarjan_by(core.withColumn("all", F.lit(1)), "all", kind) if core.count() <= small else _colouring(core, kind), "label")
+    whole = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    # Ends of core edges may have no edge left at all: components of one, unless nodes put back join them.
+    seen = [into.select("id").unionByName(out.select("id")) for into, out in taken]
+    gone = None
+    for s in seen:
+        gone = s if gone is None else gone.unionByName(s)
+    rest = whole.join(label.select("id"), "id", "left_anti")
+    rest = rest if gone is None else rest.join(gone.distinct(), "id", "left_anti")
+    label = materialize(label.unionByName(rest.select("id", F.col("id").alias("scc"))), "label")
+    for into, out in reversed(taken):
+        own = lambda x, name: label.select(F.col("id").alias(x), F.col("scc").alias(name))  # noqa: B023, E731
+        above, below = into.join(own("p", "scc"), "p").select("id", "scc").distinct(), out.join(own("s", "scc"), "s").select("id", "scc").distinct()
+        back = into.select("id").unionByName(out.select("id")).distinct().join(above.join(below, ["id", "scc"]), "id", "left")
+        label = materialize(label.unionByName(back.select("id", F.coalesce("scc", "id").alias("scc"))), "label")
+    least = label.groupBy("scc").agg(F.min("id").alias("least"))
+    return label.join(least, "scc").select("id", F.col("least").alias("scc"))
 
 
 def _colouring(edges: DataFrame, kind: str, rounds: int = 10_000) -> DataFrame:
@@ -329,76 +387,84 @@ def number_clusters(nodes: DataFrame, leaders: DataFrame) -> DataFrame:
     return whole.join(numbered, "leader").select("id", F.col("cluster_id").cast("long"))
 
 
-def _components(ids: list, near: dict) -> list[list]:
-    seen, out = set(), []
-    for v in ids:
-        if v not in seen:
-            seen.add(v)
-            part, queue = [v], deque([v])
-            while queue:
-                for w in near[queue.popleft()]:
-                    if w not in seen:
-                        seen.add(w)
-                        part.append(w)
-                        queue.append(w)
-            out.append(part)
-    return out
+def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, rows: int = 20_000_000) -> DataFrame:
+    """(a, b, score) of undirected edges (a, b; each once, a < b): over all pairs of nodes, the share of their shortest paths that go over the edge.
 
-
-def betweenness_split(ids: list, links: list[tuple]) -> list[list]:
-    """The parts after edges of the highest betweenness are cut, one at a time, until there is a part more."""
-    near: dict = {v: set() for v in ids}
-    for a, b in links:
-        if a != b:
-            near[a].add(b)
-            near[b].add(a)
-    start = len(_components(ids, near))
-    while any(near.values()):
-        score: dict = defaultdict(float)
-        for s in ids:
-            order, parents, paths, depth = [], defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}
-            queue = deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in sorted(near[v]):
-                    if w not in depth:
-                        depth[w] = depth[v] + 1
-                        queue.append(w)
-                    if depth[w] == depth[v] + 1:
-                        paths[w] += paths[v]
-                        parents[w].append(v)
-            credit: dict = defaultdict(float)
-            for w in reversed(order):
-                for v in parents[w]:
-                    c = paths[v] / paths[w] * (1 + credit[w])
-                    score[min(v, w), max(v, w)] += c
-                    credit[v] += c
-        most = max(score.values())
-        a, b = min(e for e, x in score.items() if x >= most - 1e-9)
-        near[a].discard(b)
-        near[b].discard(a)
-        parts = _components(ids, near)
-        if len(parts) > start:
-            return parts
-    return [[v] for v in ids]
-
-
-def girvan_newman(nodes: DataFrame, wedges: DataFrame, most_edges: int = 20_000) -> DataFrame:
-    """(id, cluster_id) of the first split by edge betweenness. Cubic in a component's edges, so for small graphs: a larger one is refused.
-
-    Of equally central edges the smallest (a, b) is cut. The first cut that splits any component ends it, so the components are solved together.
+    Searches from many sources go on level by level as joins: forward they count the shortest paths to each node, backward each node hands its share to its predecessors. State is a row for each source and node it reaches; sources are taken in
+    batches of about ``rows`` rows, by a hash, so memory and disk don't depend on the number of nodes. sources (id): only searches from these; by default from every node.
     """
-    if wedges.count() > most_edges or nodes.count() > most_edges:
-        raise ValueError(f"more than {most_edges} edges or nodes: use louvain")
-    kind = nodes.schema["id"].dataType.simpleString()
-    whole = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).unionByName(wedges.select("a", "b"))
+    both = materialize(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))), "arcs")
+    from_ = materialize((both.select(F.col("v").alias("id")).distinct() if sources is None else sources.select("id")), "sources")
+    n = both.select("v").distinct().count()
+    batches = max(1, -(-from_.count() * n // rows))
+    scores = None
+    for k in range(batches):
+        own = from_.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k) if batches > 1 else from_
+        part = _searches(own, both)
+        part = materialize(part.groupBy("a", "b").agg(F.sum("score").alias("score")) if scores is None else part.unionByName(scores).groupBy("a", "b").agg(F.sum("score").alias("score")), "scores")
+        scores = part
+    return scores.select("a", "b", (F.col("score") / 2).alias("score"))  # each pair is met from both ends
+
+
+def _searches(sources: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(a, b, score) of edges over the shortest paths from some sources."""
+    level = materialize(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "level")
+    levels = [level]
+    before = None
+    while True:
+        # What a level reaches lies in this level, the one before, or is new.
+        reached = level.join(arcs, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        reached = reached.join(level.select("s", "v"), ["s", "v"], "left_anti")
+        if before is not None:
+            reached = reached.join(before.select("s", "v"), ["s", "v"], "left_anti")
+        before, level = level, materialize(reached, "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    out = given = None
+    for upper, lower in zip(reversed(levels[:-1]), reversed(levels[1:])):
+        # Each node hands 1 and what it was handed to its predecessors, by their numbers of paths.
+        share = lower.withColumn("given", F.lit(0.0)) if given is None else lower.join(given, ["s", "v"], "left").withColumn("given", F.coalesce("given", F.lit(0.0)))
+        handed = upper.join(arcs, "v").join(share.select("s", F.col("v").alias("w"), F.col("paths").alias("p"), "given"), ["s", "w"])
+        handed = materialize(handed.select("s", "v", "w", (F.col("paths") / F.col("p") * (1 + F.col("given"))).alias("score")), "handed")
+        given = handed.groupBy("s", "v").agg(F.sum("score").alias("given"))
+        edges = handed.groupBy(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).agg(F.sum("score").alias("score"))
+        out = edges if out is None else out.unionByName(edges)
+    if out is None:
+        return arcs.select(F.col("v").alias("a"), F.col("w").alias("b"), F.lit(0.0).alias("score")).limit(0)
+    return out
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = betweenness_split(sorted(set(pdf.a) | set(pdf.b)), list(zip(pdf.a, pdf.b)))
-        return pd.DataFrame([(v, min(p)) for p in parts for v in p], columns=["id", "leader"])
 
-    return number_clusters(nodes, whole.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(solve, f"id {kind}, leader {kind}"))
+def girvan_newman(nodes: DataFrame, wedges: DataFrame, most_edges: int | None = None, rows: int = 20_000_000, rounds: int = 10_000) -> DataFrame:
+    """(id, cluster_id) of the first split by edge betweenness: the edge of the highest is cut, again and again, until there is a component more.
+
+    Of equally central edges (to nine digits) the smallest (a, b) is cut. Each cut changes the betweenness of its own component only, so only that is searched again. ``rounds`` bounds the cuts; a graph that isn't split by then raises.
+    Work is that of a search from every node for each cut, so the number of cuts that a split takes, not the size of a task, limits what is feasible; a caller who wants no such work sets most_edges, and larger graphs are refused.
+    """
+    if most_edges is not None and wedges.count() > most_edges:
+        raise ValueError(f"more than {most_edges} edges: use louvain")
+    links = wedges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = materialize(links, "links")
+    parts = lambda e: materialize(weak_components(nodes, e.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "parts")
+    label = parts(links)
+    if links.isEmpty():
+        return number_clusters(nodes, label.withColumnRenamed("component", "leader"))
+    scores = edge_betweenness(links, rows=rows)
+    scores = materialize(scores.join(label.withColumnRenamed("id", "a"), "a"), "scores")
+    for _ in range(rounds):
+        # The smallest edge among those that agree with the highest score to nine digits.
+        top = scores.agg(F.max("score")).first()[0]
+        cut = scores.where(F.col("score") >= top - 1e-9 * max(1.0, top)).agg(F.min(F.struct("a", "b", "component")).alias("x")).first()["x"]
+        links = materialize(links.where(~((F.col("a") == cut["a"]) & (F.col("b") == cut["b"]))), "links")
+        own = links.join(label.where(F.col("component") == cut["component"]).select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
+        inner = label.where(F.col("component") == cut["component"]).select("id")
+        split = materialize(weak_components(inner, own.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "split")
+        if split.select("component").distinct().count() > 1:
+            rest = label.where(F.col("component") != cut["component"])
+            return number_clusters(nodes, rest.unionByName(split).withColumnRenamed("component", "leader"))
+        again = edge_betweenness(own, rows=rows).withColumn("component", F.lit(cut["component"]))
+        scores = materialize(scores.where(F.col("component") != cut["component"]).select("a", "b", "score", "component").unionByName(again), "scores")
+    raise RuntimeError(f"no component was split by {rounds} cuts")
 
 
 def detect_communities(nodes: DataFrame, wedges: DataFrame, algorithm: str = "louvain", resolution: float | None = None, constraints: list[list[str]] | None = None) -> DataFrame:

@@ -158,6 +158,17 @@ WITH n AS (SELECT n_nationkey, 'region:' || n_regionkey AS r FROM nation),
 m AS (SELECT n.r, min(x) AS component FROM n JOIN (SELECT r, 'nation:' || n_nationkey AS x FROM n UNION ALL SELECT r, r FROM n UNION ALL SELECT r, 'customer:' || c_custkey FROM customer JOIN n ON n_nationkey = c_nationkey) y USING (r) GROUP BY n.r)
 SELECT 'customer:' || c_custkey AS id, component FROM customer JOIN n ON n_nationkey = c_nationkey JOIN m USING (r)
 UNION ALL SELECT 'nation:' || n_nationkey, component FROM n JOIN m USING (r) UNION ALL SELECT r, component FROM m""",
+    "girvan_newman": """
+WITH RECURSIVE e AS (SELECT 'nation:' || n_nationkey AS a, 'region:' || n_regionkey AS b FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'region:' || (r_regionkey + 1) FROM region WHERE r_regionkey < 4),
+arc AS (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e),
+walk AS (SELECT v AS s, w AS v, v AS prev FROM arc UNION ALL SELECT walk.s, arc.w, arc.v FROM walk JOIN arc ON arc.v = walk.v WHERE arc.w <> walk.prev),
+side AS (SELECT prev, v, count(*) AS n FROM walk GROUP BY ALL),
+score AS (SELECT x.prev AS a, x.v AS b, x.n * y.n AS score FROM side x JOIN side y ON y.prev = x.v AND y.v = x.prev WHERE x.prev < x.v),
+cut AS (SELECT a, b FROM score ORDER BY score DESC, a, b LIMIT 1),
+kept AS (SELECT arc.* FROM arc, cut WHERE NOT (least(v, w) = cut.a AND greatest(v, w) = cut.b)),
+reach AS (SELECT v AS s, w AS v, v AS prev FROM kept UNION ALL SELECT reach.s, kept.w, kept.v FROM reach JOIN kept ON kept.v = reach.v WHERE kept.w <> reach.prev),
+leader AS (SELECT id, least(id, coalesce(min(reach.v), id)) AS l FROM (SELECT DISTINCT v AS id FROM arc) LEFT JOIN reach ON reach.s = id GROUP BY id)
+SELECT id, (dense_rank() OVER (ORDER BY l) - 1)::BIGINT AS cluster_id FROM leader""",
     "scc": """
 SELECT 'customer:' || c_custkey AS id, 'customer:' || c_custkey AS component FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier:' || s_suppkey FROM supplier
 UNION ALL SELECT 'region:' || r_regionkey, 'region:' || r_regionkey FROM region
