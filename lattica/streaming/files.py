@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import incremental
+from ..sources.buckets import BucketedTable
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -40,3 +41,29 @@ def fold_changes(stream: DataFrame, snapshots: incremental.Snapshots, checkpoint
             latest.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+HASHES = "file_path string, content_hash string"
+
+
+def hash_table(spark: SparkSession, folder: str, buckets: int = 64) -> BucketedTable:
+    """The hashes of files, bucketed by path."""
+    return BucketedTable(spark, folder, ["file_path"], HASHES, buckets)
+
+
+def merge_changes(stream: DataFrame, table: BucketedTable, checkpoint: str, on_change: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """As fold_changes, into a bucketed table: a batch reads and rewrites only the buckets of its own files, and other writers may merge into the table meanwhile."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        latest = df.dropDuplicates(["file_path"]).persist()
+        try:
+            hashes = latest.select("file_path", "content_hash")
+            stored = table.read().join(hashes.select("file_path"), "file_path", "left_semi")
+            changed = incremental.changes(stored, hashes).where("state IN ('new', 'changed')").select("file_path").persist()
+            if on_change:
+                on_change(latest.join(changed, "file_path", "left_semi"))
+            table.merge(hashes.join(changed, "file_path", "left_semi"))
+        finally:
+            latest.unpersist()
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
