@@ -56,6 +56,7 @@ def base_path(source: Column) -> Column:
 
 def tool_calls(replies: DataFrame, id_col: str = "id", text: str = "content") -> DataFrame:
     """(id, pos, name, call): calls in a reply that are valid JSON objects with a name; call is the JSON text."""
+    # Fixed value: how a reply marks a call.
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), F.lit(1))
     rows = replies.select(F.col(id_col).alias("id"), F.posexplode(found).alias("pos", "call"))
     return rows.where(F.try_parse_json("call").isNotNull()).withColumn("name", F.get_json_object("call", "$.name")).where("name IS NOT NULL").select("id", "pos", "name", "call")
@@ -64,6 +65,7 @@ def tool_calls(replies: DataFrame, id_col: str = "id", text: str = "content") ->
 def compile_errors(logs: DataFrame, id_col: str = "id", text: str = "output") -> DataFrame:
     """(id, pos, file_path, line, column, message) of a build log; the plainer pattern serves only logs without a full match."""
     log = F.coalesce(F.col(text), F.lit(""))
+    # The patterns of a build log's errors.
     full = r"(?s)\[ERROR\]\s+([^:]+):?\[(\d+),(\d+)\]\s*(?:error:\s*)?(.*?)(?=\[ERROR\]|\[INFO\]|$)"
     plain = r"\[ERROR\].*?\.java:\[(\d+),(\d+)\]\s*(.*)"
     part = lambda p, g: F.regexp_extract_all(log, F.lit(p), F.lit(g))
@@ -86,6 +88,7 @@ def fenced(text: Column, *languages: str) -> Column:
 
 def fixed_files(replies: DataFrame, id_col: str = "id", text: str = "content") -> DataFrame:
     """(id, pos, file, body): files that a reply gives as a heading and a fence."""
+    # Fixed value: how a reply marks a file.
     pattern = r"(?s)### FIXED:\s*(\S+)\s*```\w*\s*(.*?)```"
     t = F.coalesce(F.col(text), F.lit(""))
     zipped = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("file"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("body"))
@@ -98,6 +101,7 @@ def json_or(text: Column, schema: str, default: Column) -> Column:
 
 
 def service_port(config: Column, default: int = 8080) -> Column:
+    # Fixed value: the pattern of a port.
     return F.coalesce(F.nullif(F.regexp_extract(F.coalesce(config, F.lit("")), r"port:\s*(\d+)", 1), F.lit("")).cast("int"), F.lit(default))
 
 

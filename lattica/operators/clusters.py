@@ -121,7 +121,7 @@ def warnings(report: DataFrame, boundary: DataFrame) -> DataFrame:
 
 
 def warning_text(kind, service, number):
-    """The sentence of a warning."""
+    """The sentence of a warning; fixed values."""
     return (
         F.when(kind == "HIGH_COUPLING", F.format_string("%s has high external coupling (%.1f dependencies per class)", service, number))
         .when(kind == "LOW_COHESION", F.format_string("%s has low internal cohesion (%.1f%%)", service, number * 100))
@@ -130,7 +130,7 @@ def warning_text(kind, service, number):
 
 
 def recommendations(report: DataFrame, edges: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(step, title, number): extract the least coupled cluster first, then the least coupled of those that depend on it; then shared types if anything crosses."""
+    """(step, title, number; titles are fixed values): extract the least coupled cluster first, then the least coupled of those that depend on it; then shared types if anything crosses."""
     first = report.orderBy("external_coupling", "cluster_id").limit(1)
     crossing = with_clusters(edges.select("src", "dst"), assignment).where("src_cluster <> dst_cluster")
     users = crossing.join(F.broadcast(first.select(F.col("cluster_id").alias("dst_cluster"))), "dst_cluster", "left_semi").select(F.col("src_cluster").alias("cluster_id"))

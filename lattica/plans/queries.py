@@ -12,6 +12,7 @@ from ..graph import CodeGraph
 from ..operators import algorithms, clusters, hierarchy, ledger, merge, vectors, weights
 from ..sources import incremental
 from ..sources.relational import Tables, assignment, nodes, raw_edges
+from ..sources.scratch import materialize
 from . import openapi, report, specs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,7 +171,10 @@ def service_names(t):
 @query
 def warnings(t):
     """A9."""
-    w = clusters.warnings(_named_report(t).withColumn("name", F.concat(F.lit("service-"), F.col("cluster_id").cast("string"))), _boundary(t))
+    edges = materialize(_edges(t), "edges")
+    r = clusters.dedup_names(clusters.cluster_report(nodes(t), edges, assignment(t), lists=False), "base_name", "cluster_id")
+    r = materialize(r.withColumn("name", F.concat(F.lit("service-"), F.col("cluster_id").cast("string"))), "report")
+    w = clusters.warnings(r, clusters.boundary_edges(edges, assignment(t)))
     return w.select("kind", "service", F.round("number", 6).alias("number"))
 
 
@@ -183,7 +187,7 @@ def recommend_order(t):
 
 @query
 def pair_priority(t):
-    """A10, P18."""
+    """P18."""
     return clusters.pair_priority(_boundary(t))
 
 
@@ -233,7 +237,7 @@ def single_service(t):
 
 @query
 def domain_split(t):
-    """Orders of urgent kinds are the domain, the rest is excluded."""
+    """Orders of urgent kinds are the domain, the rest is excluded."""
     ids = nodes(t, "orders").select("id", "simple_name")
     domain = ids.where(F.col("simple_name").rlike("^[12]-"))
     out = ids.join(domain.select("id"), "id", "left_anti")
@@ -356,7 +360,7 @@ def girvan_newman(t):
 
 @query
 def cosine_pairs(t):
-    """All pairs of vectors; those that are alike."""
+    """All pairs of vectors; those that are alike."""
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return vectors.all_similarities(v, least=0.3).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
@@ -501,7 +505,7 @@ def table_name_snake(t):
 
 @query
 def extract_links(t):
-    """Every href."""
+    """Every href."""
     return extract.links(t.pages).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
@@ -537,7 +541,7 @@ def compile_errors(t):
 
 @query
 def fenced_code(t):
-    """X6, X7."""
+    """X6."""
     body = F.concat(F.lit("key: "), F.col("n_name"))
     text = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("see\n```yaml\n"), body, F.lit("\n```\nend"))).otherwise(F.concat(F.lit("  "), body, F.lit("``` ")))
     return t.nation.select("n_nationkey", extract.fenced(text, "yaml", "yml").alias("body"))
@@ -612,7 +616,7 @@ def compose_health(t):
 
 @query
 def success_summary(t):
-    """A14, K6."""
+    """A14."""
     return t.labels.agg(F.count_if(F.col("quality") == 1).alias("succeeded"), F.count("*").alias("total"))
 
 
@@ -749,7 +753,7 @@ def render_tables(t):
 
 @query
 def plan_rows(t):
-    """Clusters as the plan document rounds them."""
+    """K3: clusters as the plan document rounds them."""
     r = clusters.dedup_names(clusters.cluster_report(nodes(t, "region", "nation"), _edges(t, "nation"), assignment(t).where("id LIKE 'region%' OR id LIKE 'nation%'")), "base_name", "cluster_id")
     rows = report.cluster_rows(r)
     return rows.select("id", F.size("classes").cast("long").alias("n"), F.round("metrics.internal_cohesion", 3).alias("cohesion"), F.round("metrics.external_coupling", 3).alias("coupling"), F.array_join("entry_points", ",").alias("entry_points"))

@@ -22,7 +22,7 @@ CLUSTER = (
     "metrics struct<class_count:bigint,internal_cohesion:double,external_coupling:double,complexity_score:bigint>,dominant_type string,entities array<string>,entry_points array<string>"
 )
 CALL = "from_service string,to_service string,from_class string,to_class string,method string,edge_type string,weight double,refactoring_required boolean"
-#: What each kind of warning suggests.
+#: What each kind of warning suggests.
 SUGGESTIONS = {
     "HIGH_COUPLING": "Consider creating shared DTOs or reducing dependencies",
     "LOW_COHESION": "Review if classes in this cluster should be split further",
@@ -78,7 +78,7 @@ def read_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def markdown_document(name: str, project: str, nodes: DataFrame, edges: DataFrame, assignment: DataFrame, report: DataFrame, boundary: DataFrame) -> DataFrame:
-    """The lines of the Markdown report: summary, a table for each cluster, pairs of services, recommendations, warnings."""
+    """The lines of the Markdown report (headings and the summary's lines are fixed values): summary, a table for each cluster, pairs of services, recommendations, warnings."""
     file, one = F.lit(name), report.sparkSession.range(1)
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     percent = lambda c: F.floor(F.col(c) * 100)
