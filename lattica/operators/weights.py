@@ -53,35 +53,26 @@ def hybrid_weights(nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None
     return p.select("a", "b", weight.alias("weight")).where("weight > 0")
 
 
-def constraint_members(nodes: DataFrame, constraints: list[list[str]]) -> DataFrame:
-    """(id, super): the nodes that constraint groups merge.
+def constraint_members(nodes: DataFrame, constraints: list[list[str]] | DataFrame) -> DataFrame:
+    """(id, super): the nodes that constraint groups merge. constraints: a list of names for each group, or a table (grp int, pattern string).
 
     A name with a star is a prefix once its stars are gone, another one is literal. A group counts if it names more than one; literal names count even
     if no node has them. A node in several groups goes to the last.
+    Prefixes meet the ids' own beginnings of the lengths that prefixes have, by an equi-join: the plan's size doesn't depend on the number of patterns, and a node has a row for each length at most.
     """
     spark = nodes.sparkSession
-    ids = nodes.select("id")
-    prefixes, literals = [], []
-    for g, names in enumerate(constraints):
-        for name in names:
-            (prefixes if "*" in name else literals).append((g, name.replace("*", "")))
-    hits = spark.createDataFrame([], "grp int, id string")
-    if literals:
-        lit_ = spark.createDataFrame(literals, "grp int, id string")
-        hits = hits.unionByName(ids.join(F.broadcast(lit_), "id").select("grp", "id"))
-    if prefixes:  # patterns come from a configuration: few
-        test = F.array(*[F.when(F.startswith("id", F.lit(p)), F.lit(g)) for g, p in prefixes])
-        hits = hits.unionByName(ids.select(F.explode(F.array_compact(test)).alias("grp"), "id"))
-    hits = hits.distinct()
-    absent = {}
-    for g, name in set(literals):
-        absent.setdefault(g, set()).add(name)
-    found = hits.groupBy("grp").agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("id").isin([x for _, x in literals] or [""]), F.col("id"))).alias("named")).collect()
-    size = {g: len(names) for g, names in absent.items()}
-    for r in found:
-        size[r["grp"]] = r["n"] + len(absent.get(r["grp"], set()) - set(r["named"]))
-    keep = [g for g, n in size.items() if n > 1]
-    return hits.where(F.col("grp").isin(keep)).groupBy("id").agg(F.max("grp").alias("grp")).select("id", F.concat(F.lit("super:"), F.col("grp").cast("string")).alias("super"))
+    if isinstance(constraints, list):
+        constraints = spark.createDataFrame([(g, name) for g, names in enumerate(constraints) for name in names], "grp int, pattern string")
+    patterns = constraints.where("grp IS NOT NULL AND pattern IS NOT NULL").select("grp", "pattern").distinct()
+    ids, star = nodes.select("id").distinct(), F.col("pattern").contains("*")
+    literals = patterns.where(~star).select("grp", F.col("pattern").alias("id"))
+    prefixes = patterns.where(star).select("grp", F.replace("pattern", F.lit("*"), F.lit("")).alias("prefix")).distinct()
+    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())  # at most as many as the longest pattern has characters
+    begins = ids.select("id", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("n")).where(F.length("id") >= F.col("n"))
+    hits = begins.withColumn("prefix", F.expr("substring(id, 1, n)")).join(prefixes, "prefix").select("grp", "id").unionByName(ids.join(literals, "id").select("grp", "id")).distinct()
+    absent = literals.join(ids, "id", "left_anti")
+    keep = hits.unionByName(absent.select("grp", "id")).groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    return hits.join(keep, "grp", "left_semi").groupBy("id").agg(F.max("grp").alias("grp")).select("id", F.concat(F.lit("super:"), F.col("grp").cast("string")).alias("super"))
 
 
 def contract(pairs_: DataFrame, members: DataFrame) -> DataFrame:

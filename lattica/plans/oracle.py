@@ -143,6 +143,13 @@ SELECT name, (row_number() OVER (ORDER BY (name <> 'api-gateway')::INT, name) -
     "data_gravity": f"WITH {PAIRS} SELECT a, b, gravity FROM pairs WHERE kind = 'lineitem'",
     "hybrid_weights": f"""WITH {RING}, w AS (SELECT a, b, 0.5 * structural + 0.2 * list_cosine_similarity(u, v) + 0.3 * gravity AS weight FROM rp)
 SELECT a, b, round(weight, 5)::DOUBLE AS weight FROM w WHERE weight > 0""",
+    "prefix_constraints": """
+WITH n AS (SELECT 'orders:' || o_orderkey AS id FROM orders UNION ALL SELECT 'customer:' || c_custkey FROM customer),
+lit AS (SELECT s_suppkey AS g, 'orders:' || (s_suppkey * 3) AS id FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT s_suppkey, 'nothing:' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0),
+pre AS (SELECT s_suppkey AS g, CASE WHEN s_suppkey % 9 = 0 THEN 'customer:' ELSE 'orders:' END || s_suppkey AS p FROM supplier WHERE s_suppkey % 10 > 0),
+hit AS (SELECT g, id FROM pre JOIN n ON starts_with(id, p) UNION SELECT g, id FROM lit),
+big AS (SELECT g FROM hit GROUP BY g HAVING count(*) > 1)
+SELECT id, 'super:' || max(g) AS super FROM hit JOIN big USING (g) JOIN n USING (id) GROUP BY id""",
     "constraint_contract": f"""WITH {RING},
 m AS (SELECT DISTINCT a AS id, CASE WHEN a IN ('vec:00000005') THEN 'super:2' WHEN starts_with(a, 'vec:0000000') THEN 'super:0' WHEN a IN ('vec:00000020', 'vec:00000021') THEN 'super:1' ELSE a END AS s
       FROM (SELECT a FROM ring UNION SELECT b FROM ring)),

@@ -285,6 +285,18 @@ def hybrid_weights(t):
 GROUPS = [["vec:0000000*"], ["vec:00000020", "vec:00000021"], ["vec:00000005", "vec:absent"]]
 
 
+@query
+def prefix_constraints(t):
+    """suppliers' keys as prefixes of orders and, for every ninth, of customers; every seventh also names an order, every tenth only one that isn't there."""
+    k = F.col("s_suppkey")
+    group = k.cast("int").alias("grp")
+    of = F.when(k % 9 == 0, "customer:").otherwise("orders:")
+    prefixes = t.supplier.where("s_suppkey % 10 > 0").select(group, F.concat(of, k.cast("string"), F.lit("*")).alias("pattern"))
+    literals = t.supplier.where("s_suppkey % 7 = 0").select(group, F.concat(F.lit("orders:"), (k * 3).cast("string")).alias("pattern"))
+    absent = t.supplier.where("s_suppkey % 10 = 0").select(group, F.concat(F.lit("nothing:"), k.cast("string")).alias("pattern"))
+    return weights.constraint_members(nodes(t, "orders", "customer"), prefixes.unionByName(literals).unionByName(absent))
+
+
 @query
 def constraint_contract(t):
     """J7, J8, J9."""

@@ -55,6 +55,8 @@ def test_constraints(spark, two_triangles):
     found = lambda groups: {r.id: r.super for r in weights.constraint_members(nodes, groups).collect()}
     assert found([["a", "absent"]]) == {"a": "super:0"} and found([["a"]]) == {} and found([["x*"]]) == {}
     assert found([["a", "b"], ["b", "c"]]) == {"a": "super:0", "b": "super:1", "c": "super:1"}
+    many = spark.range(20_000).selectExpr("CAST(id + 10 AS INT) AS grp", "concat('n', id, '*') AS pattern").unionByName(spark.createDataFrame([(3, "*"), (5, "a*"), (5, "b")], "grp int, pattern string"))
+    assert {r.id: r.super for r in weights.constraint_members(nodes, many).collect()} == {"a": "super:5", "b": "super:5", **dict.fromkeys("cdefg", "super:3")}
     c = weights.contract(w, weights.constraint_members(nodes, [["a", "b"]]))
     assert {(r.a, r.b): r.weight for r in c.collect()}["c", "super:0"] == 2.0
     assert c.agg(F.sum("weight")).first()[0] == w.count() - 1
