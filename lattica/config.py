@@ -41,15 +41,39 @@ class Config:
 
 
 def find(start: Path | str = ".") -> Path | None:
-    """The nearest configuration file in start or a folder above."""
+    """The nearest configuration file in start or a folder above, each time before one in its folder src."""
     at = Path(start).resolve()
     for folder in (at, *at.parents):
-        for name in NAMES:
-            if (folder / name).is_file():
-                return folder / name
+        for place in (folder, folder / "src"):
+            for name in NAMES:
+                if (place / name).is_file():
+                    return place / name
     return None
 
 
+def runtime_root(root: Path) -> Path:
+    """Where projects and output lie: root or the folder above, the first with a folder projects, else the first with output, else root."""
+    for name in ("projects", "output"):
+        for folder in (root, root.parent):
+            if (folder / name).exists():
+                return folder
+    return root
+
+
+def source_and_output(root: Path, source: str | None = None, project: str | None = None, output: str | None = None) -> tuple[Path, Path]:
+    """(sources, output) of a run: a folder of sources, or a project by its name below projects (its src/main/java if it has one); output by default beside projects. A source that isn't there raises FileNotFoundError."""
+    base = runtime_root(root)
+    if source is not None:
+        at = Path(source).expanduser().resolve()
+    else:
+        at = base / "projects" / (project or "")
+        if project and (at / "src/main/java").is_dir():
+            at = at / "src/main/java"
+    if not at.is_dir() or source is None and not project:
+        raise FileNotFoundError(f"no folder {at}")
+    return at, Path(output).expanduser().resolve() if output else base / "output"
+
+
 def load(path: Path | str | None = None) -> Config:
     path = Path(path) if path else find()
     if path is None or not path.is_file():

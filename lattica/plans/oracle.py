@@ -143,6 +143,13 @@ SELECT name, (row_number() OVER (ORDER BY (name <> 'api-gateway')::INT, name) -
     "data_gravity": f"WITH {PAIRS} SELECT a, b, gravity FROM pairs WHERE kind = 'lineitem'",
     "hybrid_weights": f"""WITH {RING}, w AS (SELECT a, b, 0.5 * structural + 0.2 * list_cosine_similarity(u, v) + 0.3 * gravity AS weight FROM rp)
 SELECT a, b, round(weight, 5)::DOUBLE AS weight FROM w WHERE weight > 0""",
+    "layered_layout": """
+WITH e AS (SELECT 'customer:' || c_custkey AS a, 'nation:' || c_nationkey AS b FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
+l1 AS (SELECT 'nation:' || n_nationkey AS id, n_regionkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 1 ELSE 0 END AS y FROM nation),
+l AS (SELECT 'customer:' || c_custkey AS id, 0 AS y FROM customer UNION ALL SELECT id, y FROM l1 UNION ALL SELECT 'region:' || r_regionkey, coalesce(max(y) + 1, 0) FROM region LEFT JOIN l1 ON n_regionkey = r_regionkey GROUP BY r_regionkey),
+f AS (SELECT id, y, (row_number() OVER (PARTITION BY y ORDER BY id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY y) AS x FROM l),
+m AS (SELECT b AS id, round(avg(x), 9) AS m FROM e JOIN f ON f.id = e.a GROUP BY b)
+SELECT id, round((row_number() OVER (PARTITION BY y ORDER BY coalesce(m, x), id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY y), 6) AS x, y::DOUBLE AS y FROM f LEFT JOIN m USING (id)""",
     "prefix_constraints": """
 WITH n AS (SELECT 'orders:' || o_orderkey AS id FROM orders UNION ALL SELECT 'customer:' || c_custkey FROM customer),
 lit AS (SELECT s_suppkey AS g, 'orders:' || (s_suppkey * 3) AS id FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT s_suppkey, 'nothing:' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, extract, tokens
 from ..graph import CodeGraph
-from ..operators import algorithms, clusters, hierarchy, ledger, merge, vectors, weights
+from ..operators import algorithms, clusters, hierarchy, layout, ledger, merge, vectors, weights
 from ..sources import incremental
 from ..sources.relational import Tables, assignment, nodes, raw_edges
 from ..sources.scratch import materialize
@@ -763,6 +763,13 @@ def render_tables(t):
     return n.select(F.lit("node").alias("of"), "id", "label", F.col("size").cast("double").alias("x")).unionByName(e.select(F.lit("edge").alias("of"), F.col("src").alias("id"), F.col("dst").alias("label"), F.col("width").alias("x")))
 
 
+@query
+def layered_layout(t):
+    """Layers and places of customers, nations and regions, ordered once by their predecessors' places."""
+    n, e = _place(t)
+    return layout.layered(n, e, sweeps=1).select("id", F.round("x", 6).alias("x"), "y")
+
+
 @query
 def plan_rows(t):
     """K3: clusters as the plan document rounds them."""

@@ -182,6 +182,17 @@ def test_stream_and_analysis_share_a_snapshot(spark, tree, tmp_path):
 def test_config(tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "lattica.json").write_text(json.dumps({"project": {"name": "p", "java_version": 11}, "analysis": {"constraints": [{"group": "g", "classes": ["a*"]}], "clustering": {"resolution": 2.0}}, "llm": {"model": "gpt-4"}}))
+    (tmp_path / "below/src").mkdir(parents=True)
+    (tmp_path / "below/src/lattica.yaml").write_text("project: {name: q}")
+    assert config.find(tmp_path / "below") == tmp_path / "below/src/lattica.yaml" and config.load(config.find(tmp_path / "below")).name == "q"
+    (tmp_path / "projects/shop/src/main/java").mkdir(parents=True)
+    (tmp_path / "projects/plain").mkdir()
+    assert config.source_and_output(tmp_path / "sub", project="shop") == (tmp_path / "projects/shop/src/main/java", tmp_path / "output")
+    assert config.source_and_output(tmp_path, project="plain", output=str(tmp_path / "o")) == (tmp_path / "projects/plain", tmp_path / "o")
+    assert config.source_and_output(tmp_path / "sub", source=str(tmp_path / "below"))[0] == tmp_path / "below"
+    for wrong in ({"project": "none"}, {"source": str(tmp_path / "none")}, {}):
+        with pytest.raises(FileNotFoundError):
+            config.source_and_output(tmp_path, **wrong)
     c = config.load(config.find(tmp_path / "sub"))
     assert (c.name, c.resolution, c.constraints, c.model, c.root) == ("p", 2.0, [["a*"]], "gpt-4", tmp_path)
     with pytest.raises(ValueError):
