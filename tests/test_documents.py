@@ -23,8 +23,8 @@ def random_doc(rng, n):
 
 def test_elements_of_any_document(spark, tmp_path):
     rng = random.Random(8)
-    for i in range(4):
-        doc = random_doc(rng, rng.choice([0, 3, 60]))
+    for i, n in enumerate((0, 60)):
+        doc = random_doc(rng, n)
         path = tmp_path / f"{i}.json"
         path.write_text(json.dumps(doc, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5), encoding="utf-8")
         rows = jsondoc.elements(spark, str(path), range_bytes=rng.choice([700, 5000, 1 << 20])).orderBy("pos").collect()
