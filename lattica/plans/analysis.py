@@ -114,17 +114,14 @@ class Analyzer:
         typed, points = materialize(self._typed(), "typed"), materialize(self.endpoints(), "endpoints")
         parts = openapi.document_parts(points, openapi.entity_schemas(typed), p.assignment, typed.select("id", F.col("node_seq").alias("seq")))
         drawn = reports.diagrams(self.graph.nodes, self.graph.edges, p.assignment, p.report)
-        documents.write(
-            documents.union(
-                reports.plan_document("plan.json", name, p.report, p.boundary, p.assignment),
-                reports.markdown_document("plan.md", name, self.graph.nodes, self.graph.edges, p.assignment, p.report, p.boundary),
-                reports.guide_document("guide.md", name, p.report, p.boundary, reports.guide_rows(self.graph.nodes, p.assignment, points, hierarchy.schemas(typed))),
-                documents.lines(drawn, F.concat(F.lit("services/"), F.col("name"), F.lit("/diagrams/api-flow.puml")), 0, F.col("diagram")),
-                openapi.documents_of(names, materialize(parts, "parts")),
-                specs.documents_of(names, materialize(self.specs(), "specs")),
-            ),
-            folder,
-        )
+        guide = materialize(reports.guide_rows(self.graph.nodes, p.assignment, points, hierarchy.schemas(typed)), "guide")
+        # One after the other: a plan of all of them together takes longer to plan than to run.
+        documents.write(reports.plan_document("plan.json", name, p.report, p.boundary, p.assignment), folder)
+        documents.write(reports.markdown_document("plan.md", name, self.graph.nodes, self.graph.edges, p.assignment, p.report, p.boundary), folder)
+        documents.write(reports.guide_document("guide.md", name, p.report, p.boundary, guide), folder)
+        documents.write(documents.lines(drawn, F.concat(F.lit("services/"), F.col("name"), F.lit("/diagrams/api-flow.puml")), 0, F.col("diagram")), folder)
+        documents.write(openapi.documents_of(names, materialize(parts, "parts")), folder)
+        documents.write(specs.documents_of(names, materialize(self.specs(), "specs")), folder)
 
 
 #: What write() puts into a service's folder.
