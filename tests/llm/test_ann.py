@@ -53,3 +53,25 @@ def test_ties_copies_and_bad_vectors(spark):
     assert a.search(df.limit(0), F.lit(True)).count() == 0
     few = spark.createDataFrame([(0, v), (1, w)], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in a.search(few, F.col("vec_id") == 0).collect()] == [(0, 1)]
+
+
+def test_no_loss_in_clusters_finer_than_codes_and_cells(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(40, 24))
+    x = centers[np.arange(6000) % 40] + 1e-5 * rng.normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = a.search(df, F.col("vec_id") % 50 == 0, cells=4).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 6000, 50):  # cosines there agree in ten digits: by distance
+        far = np.linalg.norm(u - u[q], axis=1)
+        assert far[got[got.query_id == q].vec_id].max() <= np.sort(far)[5] + 1e-7
+
+
+def test_no_loss_beyond_the_cells_visited_first(spark, monkeypatch):
+    monkeypatch.setattr(a, "PROBE_LEAST", 1)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = a.search(df, F.col("vec_id") % 50 == 0, probe_recall=0.1).toPandas()
+    for q, near in brute(list(range(3000)), x, range(0, 3000, 50)).items():
+        assert list(got[got.query_id == q].sort_values("rank").vec_id) == [i for i, _ in near]
