@@ -165,3 +165,18 @@ def test_null_and_empty(spark):
     assert rows.count() == rejects.count() == 0
     rows, rejects = yamltext.parse(spark.createDataFrame([], "file string, text string"))
     assert rows.count() == rejects.count() == 0
+
+
+def test_rows_that_no_alias_concerns_are_not_shuffled(spark):
+    """No exchange in the plan of the result: only what aliases and merge keys concern is joined; before, every row was, once for each of its prefixes."""
+    rows, rejects = yamltext.parse(spark.createDataFrame(list(TEXTS.items()), "file string, text string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {r.file for r in rows.where("get(path, 0) = 'services'").collect()} == {"compose"}
+
+
+def test_files_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(yamltext, "LINES", 3)
+    texts = TEXTS | {f"f{i}": TEXTS["compose"] for i in range(20)}
+    got, rejects = made(spark, texts)
+    assert rejects == [] and got == wanted(texts)
