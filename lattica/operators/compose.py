@@ -72,9 +72,11 @@ def problems(files: DataFrame, rows: DataFrame, rejects: DataFrame, expected: Da
 
     unreadable; no_services: no mapping of services, or an empty one; missing_service: an expected one is not there; not_a_mapping: a service's definition; undefined_dependency: no service of that name.
     """
-    bad = rejects.select("file").distinct()
+    from ..sources.scratch import materialize
+
+    bad = materialize(rejects.select("file").distinct(), "bad")
     trusted, asked = rows.join(bad, "file", "left_anti"), files.select("file").distinct()
-    found = services(trusted)
+    found = materialize(services(trusted), "services")
     row = lambda df, problem, name: df.select("file", F.lit(problem).alias("problem"), name.alias("name"))
     none = F.lit(None).cast("string")
     readable = asked.join(bad, "file", "left_anti")
@@ -97,23 +99,33 @@ def start_order(rows: DataFrame, rounds: int = 200) -> DataFrame:
     """
     from ..sources.scratch import materialize
 
-    left = services(rows).select("file", "service")
+    every = materialize(services(rows).select("file", "service"), "services")
     needs = materialize(dependencies(rows).select("file", "service", "needs").where("needs IS NOT NULL"), "needs")
-    left, done = materialize(left, "left"), None
-    for wave in range(rounds):
-        waits = needs.join(left.select("file", "service"), ["file", "service"], "left_semi")
-        if done is not None:
-            waits = waits.join(done.select("file", F.col("service").alias("needs")), ["file", "needs"], "left_anti")
-        ready = materialize(left.join(waits.select("file", "service").distinct(), ["file", "service"], "left_anti"), "ready")
+    of = ["file", "service"]
+    # Services that need nothing start at once; those that need an undefined one never do. Rounds are about the rest, and what they still wait for.
+    asking = needs.select(*of).distinct()
+    never = materialize(needs.join(every.withColumnRenamed("service", "needs"), ["file", "needs"], "left_anti").select(*of).distinct(), "never")
+    ready = materialize(every.join(asking, of, "left_anti"), "ready")
+    left = materialize(every.join(asking, of, "left_semi").join(never, of, "left_anti"), "left")
+    waits = needs.join(left, of, "left_semi")
+    waves = [ready.withColumn("wave", F.lit(0).cast("long"))]
+    for wave in range(1, rounds + 1):
+        if left.isEmpty():
+            break
+        waits = materialize(waits.join(ready.withColumnRenamed("service", "needs"), ["file", "needs"], "left_anti").select(*of, "needs"), "waits")
+        ready = materialize(left.join(waits.select(*of).distinct(), of, "left_anti"), "ready")
         if ready.isEmpty():
             break
-        ready = ready.withColumn("wave", F.lit(wave).cast("long"))
-        done = materialize(ready if done is None else done.unionByName(ready), "done")
-        left = materialize(left.join(ready, ["file", "service"], "left_anti"), "left")
-    else:
-        raise RuntimeError(f"a chain of dependencies is longer than {rounds}")
-    rest = left.withColumn("wave", F.lit(None).cast("long"))
-    return rest if done is None else done.unionByName(rest)
+        if wave == rounds:
+            raise RuntimeError(f"a chain of dependencies is longer than {rounds}")
+        waves.append(ready.withColumn("wave", F.lit(wave).cast("long")))
+        left = materialize(left.join(ready, of, "left_anti"), "left")
+    for rest in (left, never):
+        waves.append(rest.withColumn("wave", F.lit(None).cast("long")))
+    out = waves[0]
+    for w in waves[1:]:
+        out = out.unionByName(w.select(*out.columns))
+    return out
 
 
 def server_ports(rows: DataFrame, default: int = DEFAULT_PORT) -> DataFrame:
