@@ -27,7 +27,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, five-word shingles at a similarity of 0.8 or more: the one with the smallest id."""
+    """One document of each group of near duplicates, five-word shingles at a similarity of 0.8 or more: the one with the smallest id.
+
+    By SimHash with tables of segments; links that these leave out follow by an exact way.
+    """
     return op2_simhash.dedup_similar(docs, shingle=5, similarity=0.8)
 
 

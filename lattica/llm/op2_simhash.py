@@ -8,7 +8,7 @@ A segment value that more than ``CROWDED`` fingerprints share would make all of
 other segment: entries and lookups write the ball of radius 1 around that one too, and meet where both segments agree.
 Links are between distinct fingerprints, of which at most 2,080 lie within distance 2 of any one.
 
-:func:`similar_groups` finds near duplicates by similarity instead of by two bits; see there.
+:func:`similar_groups` finds near duplicates by similarity instead of by two bits, by tables for the segments of longer fingerprints; see there.
 
 Defined results: a null or empty text has no words and fingerprint zero, which links like any other; texts with fewer words than a shingle hash
 their whole sequence; a very long text is hashed whole, in blocks; equal texts share a fingerprint; repeated rows each get a row; a row whose doc_id is null gets
@@ -22,7 +22,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, tidied
@@ -63,6 +63,12 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     return slim.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
+def _one_bit_more(value: Column) -> Column:
+    """Of a segment's value in the lower 32 bits: the values of the ball of radius 1 around it that have one bit more."""
+    bits = F.array(*[F.lit(1 << k).cast("long") for k in range(32)])
+    return F.transform(F.filter(bits, lambda m: value.bitwiseAND(m) == 0), lambda m: value.bitwiseOR(m))
+
+
 def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """nodes (fp long, distinct) -> (a, b): all pairs of fingerprints within RADIUS, in one order or both."""
     half = (1 << 32) - 1
@@ -70,8 +76,7 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     segments = F.array(*[F.struct(F.lit(k).cast("long").alias("seg"), v.alias("value"), o.alias("other")) for k, v, o in ((0, lower, upper), (1, upper, lower))])
     table = nodes.select("fp", F.explode(segments).alias("s")).select("fp", F.shiftleft("s.seg", 32).bitwiseOR(F.col("s.value")).alias("key"), F.col("s.other").alias("other"))
     bits = F.array(*[F.lit(1 << k).cast("long") for k in range(32)])
-    more = F.transform(F.filter(bits, lambda m: F.col("key").bitwiseAND(m) == 0), lambda m: F.col("key").bitwiseOR(m))
-    probes = table.select("fp", "other", F.explode(F.concat(F.array("key"), more)).alias("key"))
+    probes = table.select("fp", "other", F.explode(F.concat(F.array("key"), _one_bit_more(F.col("key")))).alias("key"))
     second = lambda df: df.withColumnRenamed("fp", "fp_2")
 
     def near(met: DataFrame) -> DataFrame:
@@ -303,7 +308,7 @@ def _blocks(df: DataFrame, sizes: DataFrame, key: str, blocks: str, node: str) -
 
 
 def _candidates(members: DataFrame, similarity: float) -> DataFrame:
-    """members (key, node, n, sketch) -> (a, b): a forest over the nodes that meet at a key, by sizes and sketches that the similarity allows."""
+    """members (key, node, known, n, sketch) -> (a, b): a forest over the nodes of different known components that meet at a key, by sizes and sketches that the similarity allows."""
     p, q = _ratio(similarity)
     limit = sketch_limit(similarity)
     keys = ["key", "i", "j"]
@@ -313,7 +318,7 @@ def _candidates(members: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         for t in _whole_groups(batches, keys, 1 << 15):
             ids, place = np.unique(t["node"].to_numpy(), return_inverse=True)
-            n, words = t["n"].to_numpy(), _words(t["sketch"])
+            n, known, words = t["n"].to_numpy(), t["known"].to_numpy(), _words(t["sketch"])
             starts = _starts(t, keys)
             left = np.repeat(starts[1:], np.diff(starts)) - np.arange(t.num_rows)
             forest = _Forest(len(ids))
@@ -323,14 +328,14 @@ def _candidates(members: DataFrame, similarity: float) -> DataFrame:
                 for at in range(0, len(first), 1 << 16):
                     a = first[at : at + (1 << 16)]
                     b = a + step
-                    fits = np.minimum(n[a], n[b]) * q >= np.maximum(n[a], n[b]) * p
+                    fits = (known[a] != known[b]) & (np.minimum(n[a], n[b]) * q >= np.maximum(n[a], n[b]) * p)
                     fits &= np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64) <= limit
                     forest.link(place[a[fits]], place[b[fits]])
                 step += 1
                 first = first[left[first] > step]
             yield forest.edges(ids)
 
-    return dealt.select(*keys, "node", "n", "sketch").mapInArrow(tidied(run), "a long, b long")
+    return dealt.select(*keys, "node", "known", "n", "sketch").mapInArrow(tidied(run), "a long, b long")
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -413,13 +418,55 @@ def _verified(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFram
     return dealt.select(*keys, "node", "shingles").mapInArrow(tidied(run), "a long, b long")
 
 
+def _lookups(nodes: DataFrame) -> DataFrame:
+    """nodes (s0, sketch) -> (s0, key): entries and lookups that meet in the tables of the sketches' 32-bit segments.
+
+    Each segment has a table. Sketches that differ by one bit at most in a segment meet at the value of the one that has the bit, so
+    all within 4 * SKETCH - 1 bits meet (of 2 * SKETCH segments one differs by one bit at most), and of those farther apart many.
+    """
+    half = (1 << 32) - 1
+    place = lambda k, upper: F.shiftleft((2 * k + upper).cast("long"), 32)
+    segments = F.flatten(F.transform("sketch", lambda w, k: F.array(place(k, 0).bitwiseOR(w.bitwiseAND(F.lit(half))), place(k, 1).bitwiseOR(F.shiftrightunsigned(w, 32)))))
+    table = materialize(nodes.select("s0", F.explode(segments).alias("key")), "segments")
+    probes = table.select("s0", F.explode(_one_bit_more(F.col("key"))).alias("key"))
+    hits = materialize(probes.join(table.select("key"), "key", "left_semi").select("s0", "key"), "hits")
+    several = table.groupBy("key").agg(F.min("s0").alias("lo"), F.max("s0").alias("hi")).where("lo < hi").select("key")
+    return table.join(hits.select("key").unionByName(several).distinct(), "key", "left_semi").select("s0", "key").unionByName(hits)
+
+
+def _checked(slim: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """members (key, node, known, n, sketch) -> (a, b): links between those that meet, by the complete distance of sketches and then by whole sets."""
+    groups = materialize(components(_candidates(materialize(members, "members"), similarity)), "groups")
+    return materialize(_verified(materialize(_sets(slim, groups, shingle), "sets"), groups, similarity), "verified")
+
+
+def _by_sketches(slim: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links that the tables of the sketches' segments find."""
+    members = _lookups(nodes).join(nodes, "s0").select("key", "node", F.col("node").alias("known"), "n", "sketch")
+    return _checked(slim, members, shingle, similarity)
+
+
+def _by_prefixes(slim: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the links that lack between components of nodes (s0, node, known, n, sketch); rows (s0, prefix)."""
+    table = rows.select("s0", F.explode("prefix").alias("key"))
+    shared = materialize(table.groupBy("key").agg(F.min("s0").alias("lo"), F.max("s0").alias("hi")).where("lo < hi").select("key"), "keys")
+    members = materialize(table.join(shared, "key").distinct().join(nodes, "s0").select("key", "node", "known", "n", "sketch"), "met")
+    parted = members.groupBy("key").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("key")
+    return _checked(slim, members.join(parted, "key", "left_semi"), shingle, similarity)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row: the components of all pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Lookup keys are chosen so that no pair is lost: with all shingles in one order, sets that similar share one of the first n - ceil(0.8 n) + 1 shingles of
+    By SimHash first: the 256-bit sketch of a set has eight 32-bit segments, each with a lookup table; sketches find each other by balls of radius 1 in a
+    segment. The complete distance of what meets is verified, by a limit that a pair of that similarity passes but once in 10**11, and then, within the groups that
+    these links make, the whole sets. Texts of 0.8 differ by 39 bits on average and the tables are sure of 15, so they leave some out.
+
+    For those there is an exact way: with all shingles in one order, sets that similar share one of the first n - ceil(0.8 n) + 1 shingles of
     each. Any order gives the same result; shingles that are common in a sample come last, so that passages that many texts share are hardly ever keys.
-    What meets at a key is verified twice: by the complete distance of 256-bit SimHash sketches, whose limit a pair of that similarity passes but once in 10**11,
-    and, within the groups that these links make, by the whole sets. A key or group too large for one task is dealt to blocks, and each pair of blocks is compared in a task
+    Only keys at which components of the first step meet count, only pairs of different ones are compared, and they are verified in the same two ways.
+
+    A key or group too large for one task is dealt to blocks, and each pair of blocks is compared in a task
     of its own; tasks write forests, not pairs. Work on a group of unequal copies grows with the square of its members, which no exact comparison of
     texts that are near but not near enough avoids; shuffles grow with members times blocks.
 
@@ -430,15 +477,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = materialize(_prefixes(slim, shingle, similarity), "prefixes")
     known = rows.where("doc_id IS NOT NULL")
     nodes = materialize(known.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.max(F.struct("n", "sketch")).alias("x")).select("s0", "s1", "node", "x.n", "x.sketch"), "nodes")
-    table = known.select("s0", F.explode("prefix").alias("key"))
-    shared = materialize(table.groupBy("key").agg(F.min("s0").alias("lo"), F.max("s0").alias("hi")).where("lo < hi").select("key"), "keys")
-    members = table.join(shared, "key").distinct().join(nodes, "s0").select("key", "node", "n", "sketch")
-    found = components(_candidates(materialize(members, "members"), similarity))
-    groups = materialize(found, "groups")
-    links = _verified(materialize(_sets(slim, groups, shingle), "sets"), groups, similarity)
     twice = known.groupBy("doc_id").agg(F.min("s0").alias("lo"), F.max("s0").alias("hi")).where("lo < hi").select("doc_id")
     same = known.select("doc_id", "s0", "s1").join(twice, "doc_id").join(nodes, ["s0", "s1"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links.unionByName(same))
+    links = materialize(same.unionByName(_by_sketches(slim, nodes, shingle, similarity)), "linked")
+    met = nodes.join(components(links), "node", "left").select("s0", "node", F.coalesce("component", "node").alias("known"), "n", "sketch")
+    rest = _by_prefixes(slim, known, materialize(met, "known"), shingle, similarity)
+    found = components(links.unionByName(rest))
     named = nodes.select("s0", "s1", "node").join(found, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("component_id"))
     named = materialize(named, "named")
     return rows.select("doc_id", "s0", "s1").join(named, ["s0", "s1"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -161,3 +161,50 @@ def test_similar_groups_of_a_family_of_thousands_of_unequal_copies(spark):
     sizes = Counter(want.values())
     assert max(sizes.values()) > 500 and sum(n == 1 for n in sizes.values()) > 100
     assert grouped(spark, texts) == want
+
+
+def test_segment_tables_reach_all_within_fifteen_bits(spark):
+    rng = np.random.default_rng(3)
+    spread = [32 * k + i for k in range(8) for i in range(2)][:15]  # two bits in each segment but one
+    sketches = []
+    for base in rng.integers(0, 2**64, (30, 4), dtype=np.uint64):
+        bits = np.unpackbits(base.view(np.uint8), bitorder="little")
+        for flip in ([], spread, *[rng.choice(256, n, replace=False) for n in (1, 4, 8, 15, 15, 40)]):
+            other = bits.copy()
+            other[list(flip)] ^= 1
+            sketches.append(np.packbits(other, bitorder="little").view("<i8"))
+    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sketches)], "s0 long, sketch array<long>")
+    at = {}
+    for r in s._lookups(nodes).collect():
+        at.setdefault(r.key, set()).add(r.s0)
+    met = {(i, j) for group in at.values() for i in group for j in group if i < j}
+    words = np.array(sketches).view(np.uint64)
+    far = np.bitwise_count(words[:, None] ^ words[None]).sum(2)
+    near = {(i, j) for i, j in zip(*np.nonzero(far <= 15)) if i < j}
+    assert len(near) > 200 and near <= met
+    assert all(i // 8 == j // 8 for i, j in met)
+
+
+def test_prefixes_find_only_what_the_segment_tables_leave(spark, monkeypatch):
+    rng = random.Random(24)
+    texts = [" ".join(w) for k in range(30) for w in family(rng, 4, [0.001], 200)]
+    for _ in range(30):
+        words = family(rng, 1, [0], 200)[0]
+        texts += [" ".join(words), " ".join(edited(rng, words, 0.017))]
+    want, alike = exact_groups(texts)
+    words = np.array([s.sketch(s.shingles(t)) for t in texts]).view(np.uint64)
+    far = np.bitwise_count(words[:, None] ^ words[None]).sum(2)
+    left = []
+
+    def none_left(slim, rows, nodes, shingle, similarity):
+        left.extend(nodes.collect())
+        return spark.createDataFrame([], "a long, b long")
+
+    exact = s._by_prefixes
+    monkeypatch.setattr(s, "_by_prefixes", none_left)
+    first = grouped(spark, texts)
+    assert all(first[i] == first[j] for i, j in zip(*np.nonzero((alike >= 0.8) & (far <= 15))))
+    assert all(want[i] == want[c] for i, c in first.items()) and first != want  # links of the tables are right, but not all
+    assert {r.node: r.known for r in left} == {r.node: first[r.node] for r in left} and len({r.known for r in left}) < len(left)
+    monkeypatch.setattr(s, "_by_prefixes", exact)
+    assert grouped(spark, texts) == want
